@@ -18,6 +18,7 @@ import json
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -72,25 +73,25 @@ def _word_encoder(path: str):
 class _Ids(dict):
     """Lower-case piece between white space -> its ids as little-endian uint16; forgotten when it grows large."""
 
-    def __init__(self, path: str, most: int = 400_000):
-        self.whole, self.piece, self.words, self.most = _tokenizer(path), _word_encoder(path), {}, most
+    def __init__(self, path: str, most: int = 600_000):
+        self.whole, self.piece, self.most = _tokenizer(path), _word_encoder(path), most
+
+    def word(self, w: str) -> bytes:
+        return array("H", self.piece(w.encode() + b"\xff")).tobytes()
 
     def __missing__(self, text: str) -> bytes:
-        if max(text) >= COMBINING:
-            out = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+        if text.isalpha() and (text.isascii() or max(text) < COMBINING):
+            out = self.word(text)
+        elif text.isascii() or max(text) < COMBINING:
+            stem = text[:-1]
+            if stem.isalpha() and text[-1] in ",.":
+                out = (self.get(stem) or self.word(stem)) + self.word(text[-1])
+            else:
+                out = b"".join(map(self.word, _PRETOKENS.findall(text)))
         else:
-            found = []
-            for w in _PRETOKENS.findall(text):
-                ids = self.words.get(w)
-                if ids is None:
-                    ids = np.array(self.piece(w.encode() + b"\xff"), np.uint16).tobytes()
-                    if len(w) <= 32:
-                        self.words[w] = ids
-                found.append(ids)
-            out = b"".join(found)
-        if len(self) + len(self.words) >= self.most:
+            out = array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self) >= self.most:
             self.clear()
-            self.words.clear()
         if len(text) <= 32:
             self[text] = out
         return out
@@ -120,10 +121,11 @@ def _tokenise(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Recor
             ids = np.frombuffer(raw, np.uint16)
             if len(ids):
                 # later ids are rarer ones: the two ids with the highest sum of their ranks over the text
-                weight = np.bincount(ids, weights=ids)
-                top = np.argpartition(weight, -2)[-2:] if len(weight) > 2 else np.array([0, int(weight.argmax())])
-                top = top[np.argsort(weight[top])]
-                keys.append(int(top[-1]) << 16 | int(top[0]))
+                own, times = np.unique(ids, return_counts=True)
+                weight = own * times
+                first = int(weight.argmax())
+                weight[first] = -1
+                keys.append(int(own[first]) << 16 | int(own[weight.argmax()]))
             else:
                 keys.append(-1)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "near", "ids"])
