@@ -1,12 +1,13 @@
 """Byte-level BPE over a whole corpus: each distinct pre-token is encoded once.
 
 Documents are exploded, a block of them at a time, into their pre-tokens by position, kept as codes into the block's own
-word list. The word lists (not the occurrences) are shuffled by word; each distinct word of the corpus is encoded once,
-and its ids are joined to the token-byte table for decoding. Ids and bytes are joined back to the blocks' lists and
-shuffled by block, where every document is put together by position. Rows that cross the network grow with the distinct
-words of the blocks; one very common word has at most one row from each block.
+word list. The word lists (not the occurrences) are dealt by a hash of the word, in packed rows of a block and a bucket;
+each distinct word is encoded once, and its ids are joined back to the blocks' codes, where every document is put
+together by position. What crosses the network grows with the distinct words of the blocks, not with the rows that an
+exploded table would have: one very common word is sent at most once from each block.
 
-The token-byte table has one row per token of the vocabulary file (50,256), so it is broadcast.
+Decoding joins the ids to the token-byte table. It has one row per token of the vocabulary file (50,256), so each task
+holds it whole; decode() is the same join for tables of ids from elsewhere.
 
 Inputs: null text counts as empty (no tokens); repeated rows and null or shared doc_ids give one result row each; extra
 columns are ignored; an empty table gives an empty result. A very long text is a block of its own.
@@ -17,6 +18,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,56 +36,88 @@ WHITE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2
 PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
-class _Pieces(dict):
-    """Piece of text to its pre-tokens; forgotten when it grows large."""
+#: Buckets that a block's word list is dealt into by a hash of the word.
+BUCKETS = 64
 
-    def __init__(self, pattern: str, most: int = 300_000):
-        import regex
 
-        self.find, self.most = regex.compile(pattern).findall, most
+class _Codes(dict):
+    """Within one block: piece of text -> the codes of its pre-tokens as little-endian uint32."""
 
-    def __missing__(self, piece: str) -> list[str]:
-        if len(self) >= self.most:
-            self.clear()
-        found = self.find(piece)
-        if len(piece) <= 64:
-            self[piece] = found
-        return found
+    def __init__(self, find):
+        self.find, self.words = find, {}
 
+    def code(self, word: str) -> bytes:
+        return self.words.setdefault(word, len(self.words)).to_bytes(4, "little")
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to rows of a block: one `docs` row with the codes of all its documents by position, and a row for
-    each distinct word with its code."""
+    def __missing__(self, piece: str) -> bytes:
+        core = piece[1:] if piece[0] == " " else piece
+        if core.isalpha():
+            out = self.code(piece)
+        elif core[-1:] in (",", ".") and core[:-1].isalpha():
+            out = self.code(piece[:-1]) + self.code(piece[-1])
+        else:
+            out = b"".join(map(self.code, self.find(piece)))
+        self[piece] = out
+        return out
+
+
+def _pack_words(words: list[str], codes: np.ndarray) -> bytes:
+    raw = [w.encode() for w in words]
+    head = np.array([len(raw)], "<u4").tobytes() + np.diff(codes, prepend=0).astype("<u4").tobytes() + np.array([len(r) for r in raw], "<u4").tobytes()
+    return zlib.compress(head + b"".join(raw), 1)
+
+
+def _unpack_words(packed: bytes) -> tuple[list[bytes], np.ndarray]:
+    data = zlib.decompress(packed)
+    n = int.from_bytes(data[:4], "little")
+    codes, ends = np.frombuffer(data, "<u4", n, 4), np.cumsum(np.frombuffer(data, "<u4", n, 4 + 4 * n)).tolist()
+    text, at, out = data[4 + 8 * n :], 0, []
+    for e in ends:
+        out.append(text[at:e])
+        at = e
+    return out, codes
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, want_words: bool) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to one row per block with the codes of its documents by position or, want_words, to its word list
+    dealt into buckets. Both count the same blocks and codes, as the rows of a partition come in the same order."""
+    import regex
     from pyspark import TaskContext
 
-    part, number, pieces = TaskContext.get().partitionId(), 0, _Pieces(pattern)
+    part, number, find = TaskContext.get().partitionId(), 0, regex.compile(pattern).findall
 
-    def out(ids: list, lengths: list, codes: list, words: dict) -> pa.RecordBatch:
+    def out(ids: list, lengths: list, texts: list, codes: _Codes) -> pa.RecordBatch:
         nonlocal number
         block = (part << 31) + number
         number += 1
-        packed = np.concatenate([*codes, np.zeros(0, np.uint32)]).astype(np.uint32)
-        payload = (b"\2" + packed.astype(np.uint16).tobytes()) if len(words) <= 65536 else b"\4" + packed.tobytes()
-        n = len(words)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([block] * (n + 1), pa.int64()), pa.array([-1, *range(n)], pa.int32()), pa.array([None, *words], pa.string()), pa.array([ids] + [None] * n, pa.list_(pa.int64())), pa.array([lengths] + [None] * n, pa.list_(pa.int32())), pa.array([payload] + [None] * n, pa.binary())],
-            ["block", "code", "word", "ids", "lengths", "codes"],
-        )
-
-    ids, lengths, codes, words, size = [], [], [], {}, 0
+        if want_words:
+            buckets: list[list] = [[] for _ in range(BUCKETS)]
+            for w in codes.words:
+                buckets[zlib.crc32(w.encode()) % BUCKETS].append(w)
+            use = [b for b in range(BUCKETS) if buckets[b]]
+            packed = [_pack_words(buckets[b], np.array([codes.words[w] for w in buckets[b]], np.int64)) for b in use]
+            return pa.RecordBatch.from_arrays([pa.array([block] * len(use), pa.int64()), pa.array(use, pa.int32()), pa.array(packed, pa.binary())], ["block", "bucket", "words"])
+        flat = np.frombuffer(b"".join(texts), "<u4")
+        wide = 4 if len(codes.words) > 65536 else 2
+        rows = np.concatenate([flat & 255, *(flat >> 8 * k & 255 for k in range(1, wide))]).astype(np.uint8)  # byte planes pack well
+        head = np.array([wide, len(codes.words)], "<u4").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([head + zlib.compress(rows.tobytes(), 1)], pa.binary())], ["block", "ids", "lengths", "codes"])
+
+    ids, lengths, texts, size, codes = [], [], [], 0, _Codes(find)
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             text = text or ""
             if size and size + len(text) > BLOCK_CHARS:
-                yield out(ids, lengths, codes, words)
-                ids, lengths, codes, words, size = [], [], [], {}, 0
-            mine = [words.setdefault(w, len(words)) for p in PIECES.findall(text) for w in pieces[p]]
-            ids.append(doc)
-            lengths.append(len(mine))
-            codes.append(np.array(mine, np.uint32))
+                yield out(ids, lengths, texts, codes)
+                ids, lengths, texts, size, codes = [], [], [], 0, _Codes(find)
+            mine = b"".join(map(codes.__getitem__, PIECES.findall(text)))
+            if not want_words:
+                ids.append(doc)
+                lengths.append(len(mine) // 4)
+                texts.append(mine)
             size += len(text)
-    if ids:
-        yield out(ids, lengths, codes, words)
+    if ids or codes.words:
+        yield out(ids, lengths, texts, codes)
 
 
 @lru_cache(maxsize=2)
@@ -99,72 +134,93 @@ def _encoding(path: str, pattern: str):
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    """Distinct words to their ids: each word is one match of the pattern."""
-    encode = _encoding(path, pattern).encode_ordinary
+    """Word lists of one bucket from all blocks to their ids: each distinct word of the task is encoded once."""
+    encode, known = _encoding(path, pattern)._core_bpe.encode_single_piece, {}
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(encode, batch.column(0).to_pylist())), pa.list_(pa.int32()))], ["word", "ids"])
+        blocks, rows = [], []
+        for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words, codes = _unpack_words(packed)
+            out = []
+            for w in words:
+                ids = known.get(w)
+                if ids is None:
+                    ids = known[w] = array("I", encode(w)).tobytes()
+                out.append(ids)
+            sizes = np.array([len(x) // 4 for x in out], "<u4").tobytes()
+            flat = np.frombuffer(b"".join(out), "<u4")
+            wide = 4 if len(flat) and flat.max() > 65535 else 2
+            head = np.array([len(words), wide], "<u4").tobytes()
+            blocks.append(block)
+            rows.append(zlib.compress(head + np.asarray(codes).astype("<u4").tobytes() + sizes + flat.astype(f"<u{wide}").tobytes(), 1))
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(rows, pa.binary())], ["block", "ids"])
 
 
 def token_bytes(spark: SparkSession, path: str) -> DataFrame:
     """(id, bytes) of the vocabulary file: one row per token."""
-    rows = [(rank, bytearray(token)) for token, rank in _ranks(path).items()]
-    return spark.createDataFrame(pa.table({"id": pa.array([r for r, _ in rows], pa.int32()), "bytes": pa.array([bytes(b) for _, b in rows], pa.binary())}))
-
-
-def vocabulary(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(word, ids array<int>, pieces array<binary>) of the distinct words: encoded once, decoded by the token-byte table."""
-    tokens = F.broadcast(token_bytes(words.sparkSession, path))  # bounded: as many rows as the vocabulary file
-    encoded = words.select("word").distinct().mapInArrow(lambda it: _encode(it, path, pattern), "word string, ids array<int>")
-    each = encoded.select("word", F.posexplode("ids").alias("at", "id"))
-    return each.join(tokens, "id").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "id", "bytes"))).alias("t")).select("word", F.col("t.id").alias("word_ids"), F.col("t.bytes").alias("pieces"))
-
-
-def _together(block: pa.Table, words: pa.Table) -> pa.Table:
-    """One block's documents from the ids and bytes of its words, by position."""
-    order = np.argsort(words.column("code").to_numpy())
-    ids = words.column("word_ids").to_pylist()
-    pieces = words.column("pieces").to_pylist()
-    said = [" ".join(map(str, ids[i])) for i in order]
-    raw = [b"".join(pieces[i]) for i in order]
-    n_ids = np.array([len(ids[i]) for i in order], np.int64)
+    ranks = _ranks(path)
+    return spark.createDataFrame(pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks.keys(), pa.binary())}))
+
+
+def _dictionary(packed: list[bytes], n_words: int) -> list[list[int]]:
+    """ids by code, from the buckets' rows."""
+    out: list = [None] * n_words
+    for x in packed:
+        data = zlib.decompress(x)
+        n, wide = np.frombuffer(data, "<u4", 2).tolist()
+        codes = np.cumsum(np.frombuffer(data, "<u4", n, 8)).tolist()
+        sizes = np.frombuffer(data, "<u4", n, 8 + 4 * n).tolist()
+        ids, at = np.frombuffer(data, f"<u{wide}", -1, 8 + 8 * n).tolist(), 0
+        for c, k in zip(codes, sizes):
+            out[c] = ids[at : at + k]
+            at += k
+    if None in out:
+        raise RuntimeError("a block's word list and codes differ: the rows of a partition must come in the same order in each scan")
+    return out
+
+
+def _documents(block: pa.Table, words: pa.Table) -> Iterator[tuple[list[list[int]], list[tuple[int, np.ndarray]]]]:
+    packed = words.column("ids").to_pylist()
+    for ids, lengths, codes in zip(*(block.column(c).to_pylist() for c in ("ids", "lengths", "codes"))):
+        wide, n_words = np.frombuffer(codes, "<u4", 2).tolist()
+        planes = np.frombuffer(zlib.decompress(codes[8:]), np.uint8).reshape(wide, -1).astype(np.uint32)
+        flat = sum(planes[k] << np.uint32(8 * k) for k in range(wide))
+        ends = np.cumsum([0, *lengths])
+        yield _dictionary(packed, n_words), [(i, flat[ends[k] : ends[k + 1]]) for k, i in enumerate(ids)]
+
+
+def _digests(block: pa.Table, words: pa.Table, path: str) -> pa.Table:
+    """Each document's ids by position, then the bytes that the token-byte table has for them."""
+    table = {rank: token for token, rank in _ranks(path).items()}
     doc, n_tokens, h_ids, h_raw = [], [], [], []
-    for row in range(block.num_rows):
-        payload = block.column("codes")[row].as_py()
-        codes = np.frombuffer(payload, np.uint16 if payload[0] == 2 else np.uint32, offset=1)
-        at = 0
-        for i, n in zip(block.column("ids")[row].as_py(), block.column("lengths")[row].as_py()):
-            mine = codes[at : at + n]
-            at += n
+    for ids, documents in _documents(block, words):
+        said = [" ".join(map(str, x)) for x in ids]
+        raw = [b"".join([table[t] for t in x]) for x in ids]
+        sizes = np.array([len(x) for x in ids], np.int64)
+        for i, mine in documents:
             listed = mine.tolist()
             doc.append(i)
-            n_tokens.append(int(n_ids[mine].sum()))
+            n_tokens.append(int(sizes[mine].sum()))
             h_ids.append(hashlib.sha256(" ".join([said[c] for c in listed]).encode()).hexdigest())
             h_raw.append(hashlib.sha256(b"".join([raw[c] for c in listed])).hexdigest())
     return pa.table([pa.array(doc, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(h_ids, pa.string()), pa.array(h_raw, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def _id_lists(block: pa.Table, words: pa.Table) -> pa.Table:
-    order = np.argsort(words.column("code").to_numpy())
-    ids = words.column("word_ids").to_pylist()
-    ids = [ids[i] for i in order]
     doc, out = [], []
-    for row in range(block.num_rows):
-        payload = block.column("codes")[row].as_py()
-        codes = np.frombuffer(payload, np.uint16 if payload[0] == 2 else np.uint32, offset=1)
-        at = 0
-        for i, n in zip(block.column("ids")[row].as_py(), block.column("lengths")[row].as_py()):
+    for ids, documents in _documents(block, words):
+        for i, mine in documents:
             doc.append(i)
-            out.append([t for c in codes[at : at + n].tolist() for t in ids[c]])
-            at += n
+            out.append([t for c in mine.tolist() for t in ids[c]])
     return pa.table([pa.array(doc, pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
 
 def _joined(docs: DataFrame, path: str, pattern: str, together, schema: str) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _blocks(it, pattern), "block long, code int, word string, ids array<long>, lengths array<int>, codes binary")
-    words = rows.filter("code >= 0").select("block", "code", "word")
-    found = words.join(vocabulary(words, path, pattern), "word").select("block", "code", "word_ids", "pieces")
-    whole = rows.filter("code < 0").select(F.col("block").alias("of_block"), "ids", "lengths", "codes")
-    return whole.groupBy("of_block").cogroup(found.groupBy("block")).applyInArrow(together, schema)
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    words = rows.mapInArrow(lambda it: _blocks(it, pattern, True), "block long, bucket int, words binary")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = words.repartition(min(parts, BUCKETS), "bucket").select(F.col("block").alias("of_block"), "words").mapInArrow(lambda it: _encode(it, path, pattern), "block long, ids binary")
+    whole = rows.mapInArrow(lambda it: _blocks(it, pattern, False), "block long, ids array<long>, lengths array<int>, codes binary")
+    return whole.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(together, schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -185,4 +241,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by a space), decoded_sha256 (of
     the bytes that the ids decode to)."""
-    return _joined(docs, path, pattern, _together, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _joined(docs, path, pattern, lambda a, b: _digests(a, b, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
