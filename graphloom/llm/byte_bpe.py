@@ -36,7 +36,7 @@ WHITE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2
 PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
-#: Buckets that a block's word list is dealt into by a hash of the word.
+#: Least number of buckets that a block's word list is dealt into by a hash of the word; as many as shuffle partitions.
 BUCKETS = 64
 
 
@@ -78,8 +78,8 @@ def _unpack_words(packed: bytes) -> tuple[list[bytes], np.ndarray]:
     return out, codes
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, want_words: bool) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to one row per block with the codes of its documents by position or, want_words, to its word list
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to one row per block with the codes of its documents by position or, if n_buckets, to its word list
     dealt into buckets. Both count the same blocks and codes, as the rows of a partition come in the same order."""
     import regex
     from pyspark import TaskContext
@@ -90,11 +90,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, want_words: bool) -
         nonlocal number
         block = (part << 31) + number
         number += 1
-        if want_words:
-            buckets: list[list] = [[] for _ in range(BUCKETS)]
+        if n_buckets:
+            buckets: list[list] = [[] for _ in range(n_buckets)]
             for w in codes.words:
-                buckets[zlib.crc32(w.encode()) % BUCKETS].append(w)
-            use = [b for b in range(BUCKETS) if buckets[b]]
+                buckets[zlib.crc32(w.encode()) % n_buckets].append(w)
+            use = [b for b in range(n_buckets) if buckets[b]]
             packed = [_pack_words(buckets[b], np.array([codes.words[w] for w in buckets[b]], np.int64)) for b in use]
             return pa.RecordBatch.from_arrays([pa.array([block] * len(use), pa.int64()), pa.array(use, pa.int32()), pa.array(packed, pa.binary())], ["block", "bucket", "words"])
         flat = np.frombuffer(b"".join(texts), "<u4")
@@ -111,7 +111,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, want_words: bool) -
                 yield out(ids, lengths, texts, codes)
                 ids, lengths, texts, size, codes = [], [], [], 0, _Codes(find)
             mine = b"".join(map(codes.__getitem__, PIECES.findall(text)))
-            if not want_words:
+            if not n_buckets:
                 ids.append(doc)
                 lengths.append(len(mine) // 4)
                 texts.append(mine)
@@ -216,10 +216,11 @@ def _id_lists(block: pa.Table, words: pa.Table) -> pa.Table:
 
 def _joined(docs: DataFrame, path: str, pattern: str, together, schema: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    words = rows.mapInArrow(lambda it: _blocks(it, pattern, True), "block long, bucket int, words binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = words.repartition(min(parts, BUCKETS), "bucket").select(F.col("block").alias("of_block"), "words").mapInArrow(lambda it: _encode(it, path, pattern), "block long, ids binary")
-    whole = rows.mapInArrow(lambda it: _blocks(it, pattern, False), "block long, ids array<long>, lengths array<int>, codes binary")
+    buckets = max(parts, BUCKETS)
+    words = rows.mapInArrow(lambda it: _blocks(it, pattern, buckets), "block long, bucket int, words binary")
+    ids = words.repartition(parts, "bucket").select(F.col("block").alias("of_block"), "words").mapInArrow(lambda it: _encode(it, path, pattern), "block long, ids binary")
+    whole = rows.mapInArrow(lambda it: _blocks(it, pattern, 0), "block long, ids array<long>, lengths array<int>, codes binary")
     return whole.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(together, schema)
 
 
