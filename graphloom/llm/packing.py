@@ -100,12 +100,12 @@ class _Ids(dict):
 def _pieces(text: str) -> list[str]:
     if text and max(text) >= COMBINING:
         text = unicodedata.normalize("NFC", text)
-        return _WHITE.sub(" ", text).strip(" ").split(" ") if text.strip(WHITE_CHARS) else []
+        # a piece beyond COMBINING is lower-cased by the tokenizer itself
+        return [p.lower() if max(p) < COMBINING else p for p in _WHITE.split(text) if p]
     text = text.lower()
     return [p for p in _WHITE.split(text) if p] if _ODD_WHITE.search(text) else text.split()
 
 
-WHITE_CHARS = "".join(c for c in map(chr, range(0x3001)) if _WHITE.fullmatch(c))
 _held: dict[str, _Ids] = {}
 
 
