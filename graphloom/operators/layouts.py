@@ -78,7 +78,8 @@ def spring_layout(nodes: DataFrame, edges: DataFrame, initial: DataFrame | None
 
     kinds = dict(start.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*K, "node", "idx"]) + ", layout_type string, x double, y double"
-    return start.groupBy(*K).cogroup(edges.groupBy(*K)).applyInPandas(one, schema)
+    pulls = edges.select(*(F.col(c).alias(f"e_{c}") for c in K), "src", "dst", "weight")
+    return start.groupBy(*K).cogroup(pulls.groupBy(*(f"e_{c}" for c in K))).applyInPandas(one, schema)
 
 
 def spring_step(coords: DataFrame, edges: DataFrame, heat: DataFrame) -> DataFrame:
