@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 #: White space of the word and text rules: space and U+0009..U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step takes together (a longer document is a step of its own).
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
+#: Powers that a worker keeps between steps; more (a document beyond STEP_BYTES) are made for the step alone.
+KEPT_POWERS = 1 << 19
 
 _own_dir: list[str] = []
 
@@ -74,13 +76,15 @@ _pow_tables: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64; the table grows by doubling and stays."""
+    """base**0 .. base**n modulo 2**64; the table grows by doubling and stays up to KEPT_POWERS."""
     have = _pow_tables.get(base)
     if have is None or len(have) <= n:
-        size = max(1024, 1 << int(n + 1).bit_length())
+        size = max(1024, 1 << int(n - 1).bit_length()) if n <= KEPT_POWERS else n
+        have = np.full(size + 1, base, np.uint64)
+        have[0] = 1
         with np.errstate(over="ignore"):
-            have = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, base, np.uint64)]), dtype=np.uint64)
-        if size <= 1 << 22:
+            np.cumprod(have, out=have)
+        if size <= KEPT_POWERS:
             _pow_tables[base] = have
     return have[: n + 1]
 
