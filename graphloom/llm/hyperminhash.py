@@ -182,22 +182,24 @@ def _confirmed(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(cls, comp): the smallest cls reachable over links (a, b). Rounds of neighbour minima and pointer jumps, each a
-    written step, so that a long chain takes logarithmically many and a lost executor costs one round."""
-    both = C.checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    linked = both.select(F.col("a").alias("cls")).distinct()
-    labels = C.checkpointed(linked.withColumn("comp", F.col("cls")))
+    """(cls, comp): the smallest cls reachable over links (a, b), a table that is read once a round and may hold a pair twice.
+
+    A round takes the least label of the neighbours, a written step, and is the last if that changes nothing. Otherwise each
+    label is followed to the least label that its own members took, so that a long chain takes logarithmically many rounds.
+    A lost executor costs one step."""
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = links.select(F.inline(ends).alias("a", "b"))
+    # before the first round each class is its own label
+    step = both.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("near")).select("cls", F.col("cls").alias("old"), F.least("cls", "near").alias("comp"))
     while True:
+        step = C.checkpointed(step)
+        if not step.filter("comp < old").limit(1).count():
+            break
+        to = step.groupBy(F.col("old").alias("root")).agg(F.min("comp").alias("jump"))
+        labels = C.checkpointed(step.join(to, step["comp"] == to["root"], "left").select("cls", F.least("comp", F.coalesce("jump", "comp")).alias("comp")))
         near = both.join(labels, both["b"] == labels["cls"]).groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near, labels["cls"] == near["a"]).select("cls", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        # a class that was the label of others takes their new minimum as well
-        pull = step.groupBy(F.col("old").alias("root")).agg(F.min("comp").alias("pulled"))
-        step = step.join(pull, step["old"] == pull["root"], "left").select("cls", "old", F.least("comp", "pulled").alias("comp"))
-        to = step.select(F.col("cls").alias("root"), F.col("comp").alias("jump"))
-        step = C.checkpointed(step.join(to, step["comp"] == to["root"], "left").select("cls", "old", F.least("comp", F.coalesce("jump", "comp")).alias("comp")))
-        labels = step.select("cls", "comp")
-        if not step.filter("comp <> old").limit(1).count():
-            break
+    labels = step.select("cls", "comp")
     return nodes.join(labels, "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"))
 
 

@@ -291,3 +291,26 @@ def test_pipeline_stages_keep_their_promises(spark, rows, tmp_path):
     assert kept["substring_dedup"][36] == texts[36].removesuffix(" " + passage) and kept["substring_dedup"][5] == texts[5]
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x["doc_id"] for x in packed} == set(kept["substring_dedup"])
+
+
+def test_components_equal_union_find(spark):
+    draw, n = random.Random(5), 200
+    pairs = [(i, i + 1) for i in range(40)] + [(draw.randrange(50, 120), draw.randrange(50, 120)) for _ in range(45)] + [(130, x) for x in range(121, 160)] + [(7, 7)]
+    names = list(range(n))
+    draw.shuffle(names)
+    pairs = [(names[a], names[b]) for a, b in pairs]
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "cls long")
+    got = hyperminhash.components(nodes, spark.createDataFrame(pairs, "a long, b long"))
+    assert dict(map(tuple, got.collect())) == {i: find(i) for i in range(n)}
+    none = hyperminhash.components(nodes, spark.createDataFrame([], "a long, b long"))
+    assert all(c == k for k, c in none.collect())
