@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..keys import K
+from ..keys import K, uniform_sql
+from ..operators import synth
 
 
 def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -63,3 +64,28 @@ b AS (SELECT *, coalesce(val_loss < min(val_loss) OVER (PARTITION BY run_id ORDE
 s AS (SELECT *, epoch - coalesce(max(CASE WHEN best THEN epoch END) OVER (PARTITION BY run_id ORDER BY epoch), -1) >= 5 AND epoch >= 10 AS stops FROM b),
 k AS (SELECT * FROM s QUALIFY coalesce(max(stops::INT) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0)
 """
+
+
+def customer_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wanted graph of 5 to 16 nodes per customer."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").cast("string").alias("bundle"), F.col("c_custkey").cast("long").alias("graph_id"))
+    return synth.with_node_counts(rows, "5-16")
+
+
+_ID = ("bundle", "graph_id::VARCHAR")
+SPECS = f"""WITH c AS (SELECT c_nationkey::VARCHAR AS bundle, c_custkey::BIGINT AS graph_id FROM customer),
+specs AS (SELECT *, (5 + floor({uniform_sql(42, "'n'", *_ID)} * 12))::INT AS num_nodes FROM c),
+first AS (SELECT *, unnest(range(num_nodes))::BIGINT AS node FROM specs)
+"""
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run per order: its hyper-parameters from the order's numbers, its model from the customer's."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("c"))
+    text = {"hidden_dim": (F.col("run_id") % 5 + 1) * 16, "dropout": (F.col("run_id") % 40) / 100.0, "num_layers": F.col("c") % 4 + 1, "top_k": F.col("c") % 33}
+    return o.select("run_id", (F.col("c") % 9).cast("int").alias("model"), F.create_map(*(x for k, v in text.items() for x in (F.lit(k), v.cast("string")))).alias("params"))
+
+
+RUNS = """WITH runs AS (SELECT o_orderkey AS run_id, (o_custkey % 9)::INT AS model, 'd' || rtrim(rtrim(printf('%.3f', (o_orderkey % 40) / 100.0), '0'), '.') || '_h' || ((o_orderkey % 5 + 1) * 16) || '_l' || (o_custkey % 4 + 1) || '_topk' || (o_custkey % 33) AS key,
+(o_orderkey % 40) / 100.0 AS dropout, ((o_orderkey % 5 + 1) * 16)::INT AS hidden_dim, (o_custkey % 4 + 1)::INT AS num_layers, (o_custkey % 33)::INT AS top_k FROM orders)
+"""

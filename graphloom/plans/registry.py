@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..keys import K, rounded
+from ..functions import runs as R
+from ..keys import K, rounded, uniform_sql
 from ..operators import layouts as L
 from ..operators import losses as G
 from ..operators import messages as M
-from ..operators import prep, structure
-from .fixtures import BASE, HISTORY, history, order_graph
+from ..operators import prep, split, structure, synth
+from .fixtures import BASE, HISTORY, RUNS, SPECS, customer_specs, history, order_graph, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -242,3 +243,87 @@ def fr_unrolled(graphs, nodes, edges):
 def edge_pair_features(graphs, nodes, edges):
     rows = M.edge_pair_features(feat(nodes, edges), edges)
     return rows.select(*K, "src", "dst", r(sum((F.col("e")[i] * (i + 1) for i in range(1, 6)), F.col("e")[0]), "digest"))
+
+
+_ID = ("bundle", "graph_id::VARCHAR")
+_SPLIT = f""", r AS (SELECT bundle, graph_id, row_number() OVER (ORDER BY {uniform_sql(42, *_ID)}, bundle, graph_id) - 1 AS rank, count(*) OVER () AS n FROM graphs),
+k AS (SELECT *, floor(n * 0.8::DOUBLE)::BIGINT AS a, floor(n * 0.8::DOUBLE)::BIGINT + floor(n * 0.1::DOUBLE)::BIGINT AS b FROM r),
+s AS (SELECT bundle, graph_id, CASE WHEN rank < a THEN 'train' WHEN rank < b THEN 'val' ELSE 'test' END AS split, CASE WHEN rank < a THEN rank WHEN rank < b THEN rank - a ELSE rank - b END AS position FROM k)
+"""
+
+
+@query(_SPLIT + "SELECT * FROM s")
+def split_dataset(graphs, nodes, edges):
+    return split.split_dataset(graphs.select(*K))
+
+
+@query(_SPLIT + f", e AS (SELECT bundle, graph_id, split, CASE WHEN split = 'train' THEN row_number() OVER (PARTITION BY split ORDER BY {uniform_sql(42, chr(39) + 'epoch 3' + chr(39), *_ID)}, bundle, graph_id) - 1 ELSE position END AS position FROM s) SELECT *, position // 32 AS batch FROM e")
+def assign_batches(graphs, nodes, edges):
+    return split.assign_batches(split.split_dataset(graphs.select(*K)), 32, epoch=3)
+
+
+@query("SELECT bundle, graph_id FROM graphs ORDER BY bundle, graph_id LIMIT 2")
+def monitor_samples(graphs, nodes, edges):
+    """A limit is the feature."""
+    return split.monitor_samples(graphs.select(*K))
+
+
+@query(f"SELECT bundle, graph_id FROM graphs ORDER BY {uniform_sql(42, chr(39) + 'sample' + chr(39), *_ID)}, bundle, graph_id LIMIT 5")
+def sample_graphs(graphs, nodes, edges):
+    """A limit is the feature."""
+    return split.sample_graphs(graphs.select(*K))
+
+
+@query("SELECT bundle, graph_id, node, ((dense_rank() OVER (PARTITION BY bundle, graph_id ORDER BY community) - 1) % 10)::INT AS colour FROM nodes")
+def community_palette(graphs, nodes, edges):
+    return split.community_palette(nodes).select(*K, "node", "colour")
+
+
+@query("SELECT bundle, graph_id, num_nodes, round(0.1 + " + uniform_sql(42, "'mixing_parameter'", *_ID) + " * (0.5::DOUBLE - 0.1::DOUBLE), 6) AS mixing_parameter FROM specs", SPECS)
+def sample_params(spark, sf_dir):
+    return synth.sample_params(customer_specs(spark, sf_dir), {"mixing_parameter": "0.1-0.5"}).withColumn("mixing_parameter", rounded("mixing_parameter"))
+
+
+@query(f"SELECT a.bundle, a.graph_id, a.node AS src, b.node AS dst FROM first a JOIN first b ON a.bundle = b.bundle AND a.graph_id = b.graph_id AND a.node < b.node WHERE {uniform_sql(42, chr(39) + '0' + chr(39), 'a.bundle', 'a.graph_id::VARCHAR', 'a.node::VARCHAR', 'b.node::VARCHAR')} < 0.5", SPECS)
+def er_edges(spark, sf_dir):
+    return synth.er_edges(customer_specs(spark, sf_dir), 0.5).drop("weight")
+
+
+@query("SELECT DISTINCT bundle, graph_id, least(node, other) AS src, greatest(node, other) AS dst FROM (SELECT bundle, graph_id, node, (node + unnest(range(1, greatest(1, least(6, num_nodes - 1) // 2) + 1))) % num_nodes AS other FROM first)", SPECS)
+def ws_lattice(spark, sf_dir):
+    return synth.ws_lattice(customer_specs(spark, sf_dir)).drop("weight")
+
+
+def _drawn(family: synth.Family) -> DataFrame:
+    return family[2].drop("weight")
+
+
+@query(None, SPECS)
+def er_graphs(spark, sf_dir):
+    return _drawn(synth.er_graphs(customer_specs(spark, sf_dir), 0.5))
+
+
+@query(None, SPECS)
+def ba_graphs(spark, sf_dir):
+    return _drawn(synth.ba_graphs(customer_specs(spark, sf_dir)))
+
+
+@query(None, SPECS)
+def ws_graphs(spark, sf_dir):
+    return _drawn(synth.ws_graphs(customer_specs(spark, sf_dir)))
+
+
+@query("SELECT run_id, key AS run_key FROM runs", RUNS)
+def run_key(spark, sf_dir):
+    return runs(spark, sf_dir).select("run_id", R.run_key(F.col("params")).alias("run_key"))
+
+
+_MODELS = "[" + ", ".join(f"'{m}'" for m in R.MODELS) + "]"
+
+
+@query(f"SELECT run_id, dropout::DOUBLE AS dropout, hidden_dim, num_layers, top_k, {_MODELS}[model + 1] AS model_name FROM runs", RUNS)
+def parse_run_name(spark, sf_dir):
+    models = F.array(*map(F.lit, R.MODELS))
+    named = runs(spark, sf_dir).select("run_id", F.concat(F.lit("/runs/"), models[F.col("model")], F.lit("_"), R.run_key(F.col("params")), F.lit(".pt")).alias("path"))
+    told = named.select("run_id", R.parse_run_name(F.col("path")).alias("p"), R.detect_model(F.col("path")).alias("model_name"))
+    return told.select("run_id", "p.dropout", "p.hidden_dim", "p.num_layers", "p.top_k", "model_name")
