@@ -1,0 +1,303 @@
+"""Coordinates for packed samples from given model weights: one pass over the samples, no shuffle.
+
+A sample is one graph, so a task holds one graph's arrays at a time (attention in blocks of rows). Weights are a table
+(name, shape, values) of a checked size. Attention is taken within a graph. No dropout: this only evaluates.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.runs import MODELS
+from ..keys import K
+
+#: Most numbers in a table of weights; every executor gets a copy.
+MAX_WEIGHTS = 20_000_000
+_BLOCK = 1024
+
+
+@dataclass
+class Graph:
+    """One sample: features, and the ends of its edges, forward and then reversed."""
+
+    x: np.ndarray
+    src: np.ndarray
+    dst: np.ndarray
+
+    def total(self, messages: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.x), messages.shape[1]))
+        np.add.at(out, at, messages)
+        return out
+
+    def degree(self) -> np.ndarray:
+        return np.bincount(self.dst, minlength=len(self.x))[:, None].astype(float)
+
+    def mean(self, messages: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return self.total(messages, at) / np.maximum(self.degree(), 1)
+
+    def smooth(self, h: np.ndarray, own: int = 1) -> np.ndarray:
+        """D^-1/2 (A + own I) D^-1/2 h with D the degree plus own."""
+        s = 1 / np.sqrt(np.maximum(self.degree() + own, 1))
+        return s * (self.total((s * h)[self.src], self.dst) + own * s * h)
+
+    def components(self) -> np.ndarray:
+        label = np.arange(len(self.x))
+        while True:
+            low = label.copy()
+            np.minimum.at(low, self.dst, label[self.src])
+            low = low[low]
+            if (low == label).all():
+                return label
+            label = low
+
+
+def relu(h: np.ndarray) -> np.ndarray:
+    return np.maximum(h, 0)
+
+
+def softmax(e: np.ndarray) -> np.ndarray:
+    e = np.exp(e - e.max(-1, keepdims=True))
+    return e / e.sum(-1, keepdims=True)
+
+
+class Weights:
+    """Named arrays. With `draw`, a missing one is drawn; without, it is an error, as is another shape."""
+
+    def __init__(self, have: dict[str, np.ndarray], draw: np.random.Generator | None = None):
+        self.have, self.draw = have, draw
+
+    def get(self, name: str, shape: tuple[int, ...], fill: float | None = None) -> np.ndarray:
+        if name not in self.have:
+            if self.draw is None:
+                raise ValueError(f"no weights named {name!r}")
+            bound = 1 / np.sqrt(shape[0])
+            self.have[name] = self.draw.uniform(-bound, bound, shape) if fill is None else np.full(shape, fill)
+        if self.have[name].shape != shape:
+            raise ValueError(f"weights {name!r} have shape {self.have[name].shape}, the samples need {shape}")
+        return self.have[name]
+
+    def dense(self, name: str, h: np.ndarray, width: int, bias: bool = True) -> np.ndarray:
+        out = h @ self.get(f"{name}.w", (h.shape[-1], width))
+        return out + self.get(f"{name}.b", (width,), 0.0) if bias else out
+
+    def mlp(self, name: str, h: np.ndarray, *widths: int, bias: bool = True) -> np.ndarray:
+        """Dense layers with ReLU between them."""
+        for i, width in enumerate(widths):
+            h = self.dense(f"{name}.{i}", relu(h) if i else h, width, bias)
+        return h
+
+    def norm(self, name: str, h: np.ndarray) -> np.ndarray:
+        z = (h - h.mean(-1, keepdims=True)) / np.sqrt(h.var(-1, keepdims=True) + 1e-5)
+        return z * self.get(f"{name}.w", (h.shape[-1],), 1.0) + self.get(f"{name}.b", (h.shape[-1],), 0.0)
+
+    def attend(self, name: str, h: np.ndarray, heads: int) -> np.ndarray:
+        """Multi-head self-attention over the last axis but one."""
+        width = h.shape[-1]
+        split = lambda v: np.moveaxis(v.reshape(*v.shape[:-1], heads, width // heads), -2, -3)
+        q, k, v = (split(self.dense(f"{name}.{c}", h, width)) for c in "qkv")
+        kt = np.swapaxes(k, -1, -2) / np.sqrt(width // heads)
+        got = np.concatenate([softmax(q[..., i : i + _BLOCK, :] @ kt) @ v for i in range(0, h.shape[-2], _BLOCK)], axis=-2)
+        return self.dense(f"{name}.out", np.moveaxis(got, -3, -2).reshape(h.shape), width)
+
+
+# ---- layers ----
+
+
+def _gcn(w: Weights, g: Graph, name: str, h: np.ndarray, width: int, o: dict) -> np.ndarray:
+    return w.dense(name, g.smooth(h), width)
+
+
+def _gat(w: Weights, g: Graph, name: str, h: np.ndarray, width: int, o: dict) -> np.ndarray:
+    n, heads = len(h), o["heads"]
+    z = w.dense(name, h, heads * width, bias=False).reshape(n, heads, width)
+    src, dst = np.append(g.src, np.arange(n)), np.append(g.dst, np.arange(n))
+    e = (z * w.get(f"{name}.from", (heads, width))).sum(-1)[src] + (z * w.get(f"{name}.to", (heads, width))).sum(-1)[dst]
+    e = np.where(e > 0, e, 0.2 * e)
+    top = np.full((n, heads), -np.inf)
+    np.maximum.at(top, dst, e)
+    a = np.exp(e - top[dst])
+    a = a / g.total(a, dst)[dst]
+    return g.total((a[:, :, None] * z[src]).mean(1), dst) + w.get(f"{name}.b", (width,), 0.0)
+
+
+def _gin(w: Weights, g: Graph, name: str, h: np.ndarray, width: int, o: dict) -> np.ndarray:
+    return w.mlp(name, (1 + w.get(f"{name}.eps", (1,), 0.0)) * h + g.total(h[g.src], g.dst), width, width)
+
+
+def _cheb(w: Weights, g: Graph, name: str, h: np.ndarray, width: int, o: dict) -> np.ndarray:
+    terms = [h]
+    for j in range(1, o["k"]):
+        moved = -g.smooth(terms[-1], own=0)
+        terms.append(moved if j == 1 else 2 * moved - terms[-2])
+    return w.dense(name, np.concatenate(terms, 1), width)
+
+
+def _stack(layer: Callable) -> Callable:
+    """Optional input layer, convolutions with ReLU, head of two layers."""
+
+    def forward(w: Weights, g: Graph, o: dict) -> np.ndarray:
+        h, d = g.x, o["hidden_dim"]
+        if o["use_input_mlp"]:
+            h = relu(w.dense("input", h, d))
+        for i in range(o["num_layers"]):
+            new = relu(layer(w, g, f"conv{i}", h, d, o))
+            h = h + new if o["use_residual"] else new
+        return w.mlp("head", h, d // 2, 2)
+
+    return forward
+
+
+def _force(w: Weights, g: Graph, o: dict) -> np.ndarray:
+    def layer(name: str, h: np.ndarray, width: int) -> np.ndarray:
+        d = h.shape[1]
+        near = w.norm(f"{name}.before", g.mean(w.mlp(f"{name}.message", h, d, d, bias=False)[g.src], g.dst))
+        moved = w.norm(f"{name}.after", h + (h - near) * w.get(f"{name}.w", (d,), 1.0))
+        return w.mlp(f"{name}.out", np.concatenate([moved, near], 1), d, width, bias=False)
+
+    h = layer("layer0", g.x, o["hidden_dim"])
+    for i in range(1, o["num_layers"] - 1):
+        h = h + layer(f"layer{i}", h, o["hidden_dim"])
+    return layer("last", h, 2)
+
+
+def _simple(w: Weights, g: Graph, o: dict) -> np.ndarray:
+    d, xy = o["hidden_dim"], g.x[:, -2:]
+    at = xy
+    for i, size in enumerate(w.get("step_sizes", (o["num_steps"],), 0.1)):
+        h = relu(_gcn(w, g, f"step{i}", np.concatenate([g.x[:, :-2], at], 1), d, o))
+        at = at + size * w.mlp(f"step{i}.mlp", h, d // 2, 2)
+    h = relu(_gcn(w, g, "base1", relu(_gcn(w, g, "base0", g.x, d, o)), d, o))
+    plain = _gcn(w, g, "base2", h, 2, o) + xy
+    share = 1 / (1 + np.exp(-w.get("blend", (1,), 0.5)))
+    return share * at + (1 - share) * plain
+
+
+def _multiscale(w: Weights, g: Graph, o: dict) -> np.ndarray:
+    if g.x.shape[1] < 2:
+        raise ValueError("features need two coordinates at their end")
+    d, xy = o["hidden_dim"], g.x[:, -2:]
+    own = g.x[:, :-2] if g.x.shape[1] > 2 else np.zeros((len(g.x), 1))
+    both = lambda name: np.concatenate([w.dense(f"{name}.node", own, d), w.dense(f"{name}.coord", xy, d // 4)], 1)
+    local = w.dense("local.head", relu(_gcn(w, g, "local.gcn", both("local"), d, o)), 2)
+    h = both("medium")
+    for i in range(3):
+        h = relu(_gcn(w, g, f"medium.gcn{i}", h, d, o))
+    medium = w.dense("medium.head", w.attend("medium.attention", h, 4), 2)
+    h = both("global")
+    q, k, v = (w.dense(f"global.{c}", h, d) for c in "qkv")
+    got = np.empty_like(q)
+    for i in range(0, len(xy), _BLOCK):
+        far = np.linalg.norm(xy[i : i + _BLOCK, None] - xy[None], axis=2)
+        near = np.argsort(far, axis=1, kind="stable")[:, : o["top_k"]]
+        e = np.einsum("id,ijd->ij", q[i : i + _BLOCK], k[near]) / np.sqrt(d) + 1 / (np.take_along_axis(far, near, 1) + 1e-6)
+        got[i : i + _BLOCK] = np.einsum("ij,ijd->id", softmax(e), v[near])
+    share = softmax(w.get("shares", (3,), 1.0))
+    forces = (local, medium, w.dense("global.head", got, 2))
+    return w.mlp("combine", np.concatenate([s * f for s, f in zip(share, forces)], 1), d, d // 2, 2)
+
+
+def _antismoothing(w: Weights, g: Graph, o: dict) -> np.ndarray:
+    d = o["hidden_dim"]
+    start = lambda name: relu(w.dense(f"{name}.in", g.x, d))
+    pull, push, wide = start("attract"), start("repel"), start("global")
+    for i in range(3):
+        pull = pull + relu(_gcn(w, g, f"attract.gcn{i}", pull, d, o))
+    for i in range(2):
+        own = w.dense(f"repel.own{i}", push, d)
+        near = g.mean(w.dense(f"repel.near{i}", own, d)[g.src], g.dst)
+        push = relu(own - np.exp(w.get(f"repel.strength{i}", (1,), 0.3 + 0.2 * i)) * near)
+        if i == 0:
+            push = relu(w.dense("repel.between", push, d))
+    wide = wide + w.attend("global.attention", wide, 8)
+    parts = [relu(w.dense(f"{n}.head", w.dense(f"{n}.out", h, d), d // 2)) for n, h in (("attract", pull), ("repel", push), ("global", wide))]
+    fused = w.attend("fuse", np.stack(parts, 1), 4) * softmax(w.get("shares", (3,), 1.0))[:, None]
+    return w.norm("norm", w.mlp("predict", fused.reshape(len(g.x), -1), d, d // 2, 2))
+
+
+def _unrolled(w: Weights, g: Graph, o: dict) -> np.ndarray:
+    d, n = o["hidden_dim"], len(g.x)
+    at, own = g.x[:, -2:], g.x[:, :-2]
+
+    def gathered(name: str, h: np.ndarray, width: int) -> np.ndarray:
+        near = g.mean(relu(w.mlp(f"{name}.message", h, width, width))[g.src], g.dst)
+        return np.concatenate([h, near], 1)
+
+    h = w.dense("edge.in", np.concatenate([at, own], 1), d)
+    for i in range(2):
+        h = h + w.mlp(f"edge.update{i}", gathered(f"edge{i}", h, d), d, d)
+    half = len(g.src) // 2
+    a, b, degree = g.src[:half], g.dst[:half], g.degree()
+    pull = w.mlp("edge.head", np.concatenate([h[a], h[b], degree[a], degree[b]], 1), 32, 1)
+    pull = np.tile(np.logaddexp(0, pull) + 1e-6, (2, 1))
+    part = g.components()
+    k = 1 / np.sqrt(np.bincount(part, minlength=n)[part])[:, None]
+    for _ in range(o["steps"]):
+        gap = at[g.src] - at[g.dst]
+        force = g.total(-2 * (np.linalg.norm(gap, axis=1, keepdims=True) + 1e-2) / k[g.src] * pull * gap, g.src)
+        for i in range(0, n, _BLOCK):
+            gaps = at[i : i + _BLOCK, None] - at[None]
+            by = (part[i : i + _BLOCK, None] == part[None]) / (np.linalg.norm(gaps, axis=2) + 1e-2) ** 2
+            force[i : i + _BLOCK] += k[i : i + _BLOCK] ** 2 * np.einsum("ij,ijc->ic", by, gaps)
+        move = w.get("alpha", (1,), 1.0) * force
+        move = move + w.mlp("residual", gathered("residual", np.concatenate([at, own], 1), d), d, 2)
+        at = at + move * np.minimum(1, o["clamp"] / (np.linalg.norm(move, axis=1, keepdims=True) + 1e-9))
+    return at
+
+
+_FORWARD = dict(zip(MODELS, (_stack(_gcn), _stack(_gat), _stack(_gin), _stack(_cheb), _simple, _multiscale, _antismoothing, _force, _unrolled)))
+_OPTIONS = {"hidden_dim": 64, "num_layers": 3, "heads": 1, "k": 3, "num_steps": 3, "top_k": 32, "steps": 3, "clamp": 0.05, "use_residual": False, "use_input_mlp": False}
+
+
+def _model(name: str, options: dict | None) -> tuple[Callable, dict]:
+    if name not in _FORWARD:
+        raise ValueError(f"unknown model {name!r}: {', '.join(_FORWARD)}")
+    unknown = set(options or {}) - set(_OPTIONS)
+    if unknown:
+        raise ValueError(f"unknown options {sorted(unknown)}")
+    own = {"hidden_dim": 32, "num_layers": 4} if name == "ForceGNN" else {}
+    return _FORWARD[name], _OPTIONS | own | (options or {})
+
+
+def initial_weights(spark: SparkSession, model: str, input_dim: int, options: dict | None = None, seed: int = 42) -> DataFrame:
+    """A table (name, shape, values) of untrained weights for features of this width."""
+    forward, o = _model(model, options)
+    w = Weights({}, np.random.default_rng(seed))
+    forward(w, Graph(np.zeros((2, input_dim)), np.array([0, 1]), np.array([1, 0])), o)
+    rows = [(name, list(v.shape), v.ravel().tolist()) for name, v in w.have.items()]
+    return spark.createDataFrame(rows, "name string, shape array<int>, values array<double>")
+
+
+def _collected(weights: DataFrame, limit: int) -> dict[str, np.ndarray]:
+    size = weights.agg(F.sum(F.size("values").cast("long")).alias("n")).first()["n"] or 0
+    if size > limit:
+        raise ValueError(f"{size} weights, at most {limit}")
+    return {r["name"]: np.array(r["values"], float).reshape(r["shape"]) for r in weights.collect()}
+
+
+def score(samples: DataFrame, model: str, weights: DataFrame, options: dict | None = None, max_weights: int = MAX_WEIGHTS) -> DataFrame:
+    """(bundle, graph_id, idx, x, y): the model's coordinates for each node of each packed sample.
+
+    No samples give no rows; a sample whose features don't fit the weights, or a name that no model has, is a ValueError.
+    """
+    forward, o = _model(model, options)
+    given = samples.sparkSession.sparkContext.broadcast(_collected(weights, max_weights))
+    flat = samples.select(*K, F.size("x").alias("n"), F.flatten("x").alias("x"), F.col("edge_index.src").alias("src"), F.col("edge_index.dst").alias("dst"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = Weights(given.value)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            graphs = (Graph(np.asarray(x, float).reshape(n, -1), np.asarray(src, np.int64), np.asarray(dst, np.int64)) for n, x, src, dst in zip(pdf["n"], pdf["x"], pdf["src"], pdf["dst"]))
+            at = np.concatenate([forward(w, g, o) for g in graphs])
+            out = pdf[K].loc[pdf.index.repeat(pdf["n"])].reset_index(drop=True)
+            yield out.assign(idx=np.concatenate([np.arange(n, dtype=np.int32) for n in pdf["n"]]), x=at[:, 0], y=at[:, 1])
+
+    kinds = dict(samples.select(*K).dtypes)
+    return flat.mapInPandas(run, f"bundle {kinds['bundle']}, graph_id {kinds['graph_id']}, idx int, x double, y double")

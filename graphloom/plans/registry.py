@@ -12,7 +12,7 @@ from ..keys import K, rounded, uniform_sql
 from ..operators import layouts as L
 from ..operators import losses as G
 from ..operators import messages as M
-from ..operators import prep, split, structure, synth
+from ..operators import prep, scoring, split, structure, synth
 from .fixtures import BASE, HISTORY, RUNS, SPECS, customer_specs, history, order_graph, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -318,6 +318,21 @@ def run_key(spark, sf_dir):
     return runs(spark, sf_dir).select("run_id", R.run_key(F.col("params")).alias("run_key"))
 
 
+def _scored(model: str):
+    """Coordinates of all samples by a model with untrained weights; features end with the standardised grid."""
+
+    def score(graphs, nodes, edges):
+        config = L.FeatureConfig(degree=True, positional=True, initial_position=True)
+        samples = L.build_dataset(graphs, nodes, edges, L.circular_layout(nodes), config, L.grid_positions(nodes))
+        return scoring.score(samples, model, scoring.initial_weights(edges.sparkSession, model, 4))
+
+    score.__name__ = "score_" + model.lower()
+    return score
+
+
+for _model in R.MODELS:
+    query()(_scored(_model))
+
 _MODELS = "[" + ", ".join(f"'{m}'" for m in R.MODELS) + "]"
 
 

@@ -1,0 +1,121 @@
+"""Scoring against the same layers as joins, and its errors."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from graphloom.functions.runs import MODELS
+from graphloom.operators import layouts as L
+from graphloom.operators import messages as M
+from graphloom.operators import scoring
+
+KEY = "bundle string, graph_id long, "
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    """Three graphs, one of two components: (nodes with f and x, y; edges; samples)."""
+    draw = random.Random(7)
+    sizes = {1: 6, 2: 9, 3: 2}
+    nodes = [("a", g, i, i, [draw.random(), draw.random(), draw.uniform(-1, 1), draw.uniform(-1, 1)]) for g, n in sizes.items() for i in range(n)]
+    pairs = {1: [(0, 1), (1, 2), (0, 2), (3, 4), (4, 5)], 2: [(i, j) for i in range(9) for j in range(i + 1, 9) if draw.random() < 0.4] + [], 3: [(0, 1)]}
+    edges = spark.createDataFrame([("a", g, i, j, 1.0) for g, p in pairs.items() for i, j in p], KEY + "src long, dst long, weight double")
+    feat = spark.createDataFrame(nodes, KEY + "node long, idx int, f array<double>")
+    graphs = feat.select("bundle", "graph_id").distinct().withColumn("graph_type", F.lit("t"))
+    samples = L.pack_samples(graphs, feat, edges, L.circular_layout(feat.drop("f")))
+    return feat.drop("idx"), edges, samples.cache()
+
+
+def table(rows, *columns):
+    return {(r["graph_id"], r["node"] if "node" in r else r["idx"]): np.array([r[c] for c in columns], float).ravel() for r in (x.asDict() for x in rows.collect())}
+
+
+def given(spark, weights):
+    return spark.createDataFrame([(k, list(np.shape(v)), np.ravel(v).tolist()) for k, v in weights.items()], "name string, shape array<int>, values array<double>")
+
+
+def known(spark, model, options):
+    return {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in scoring.initial_weights(spark, model, 4, options).collect()}
+
+
+def after(w, h):
+    """The head on top of one convolution."""
+    h = np.maximum(h, 0)
+    h = np.maximum(h @ w["head.0.w"] + w["head.0.b"], 0)
+    return h @ w["head.1.w"] + w["head.1.b"]
+
+
+def close(got, want):
+    assert set(got) == set(want)
+    for k in got:
+        np.testing.assert_allclose(got[k], want[k], atol=1e-9)
+
+
+ONE = {"hidden_dim": 8, "num_layers": 1}
+
+
+def test_gcn_equals_joins(spark, tables):
+    feat, edges, samples = tables
+    w = known(spark, "GCN", ONE)
+    got = table(scoring.score(samples, "GCN", given(spark, w), ONE), "x", "y")
+    close(got, {k: after(w, v @ w["conv0.w"] + w["conv0.b"]) for k, v in table(M.gcn_propagate(feat, edges), "f").items()})
+
+
+def test_gin_equals_joins(spark, tables):
+    feat, edges, samples = tables
+    w = known(spark, "GIN", ONE) | {"conv0.eps": np.array([0.25])}
+    got = table(scoring.score(samples, "GIN", given(spark, w), ONE), "x", "y")
+    conv = lambda v: np.maximum(v @ w["conv0.0.w"] + w["conv0.0.b"], 0) @ w["conv0.1.w"] + w["conv0.1.b"]
+    close(got, {k: after(w, conv(v)) for k, v in table(M.neighbor_sum(feat, edges, 0.25), "f").items()})
+
+
+def test_cheb_equals_joins(spark, tables):
+    feat, edges, samples = tables
+    w = known(spark, "ChebNet", ONE)
+    got = table(scoring.score(samples, "ChebNet", given(spark, w), ONE), "x", "y")
+    close(got, {k: after(w, v @ w["conv0.w"] + w["conv0.b"]) for k, v in table(M.chebyshev_basis(feat, edges, 3), "t0", "t1", "t2").items()})
+
+
+def test_gat_equals_joins(spark, tables):
+    feat, edges, samples = tables
+    w = known(spark, "GAT", ONE)
+    got = table(scoring.score(samples, "GAT", given(spark, w), ONE), "x", "y")
+    z = feat.select("bundle", "graph_id", "node", F.array(*(sum((F.col("f")[i] * float(w["conv0.w"][i, j]) for i in range(4)), F.lit(0.0)) for j in range(8))).alias("f"))
+    dot = lambda c, v: sum((c[j] * float(v[j]) for j in range(8)), F.lit(0.0))
+    heads = M.edge_softmax_aggregate(z, edges, lambda m, f: dot(m, w["conv0.from"][0]) + dot(f, w["conv0.to"][0]), 8)
+    close(got, {k: after(w, v + w["conv0.b"]) for k, v in table(heads, "f").items()})
+
+
+def test_unrolled_without_learned_parts_equals_joins(spark, tables):
+    feat, edges, samples = tables
+    w = known(spark, "FRUnrolled", {"hidden_dim": 8})
+    w |= {"edge.head.1.w": np.zeros((32, 1)), "edge.head.1.b": np.array([math.log(math.exp(1 - 1e-6) - 1)]), "residual.1.w": np.zeros((8, 2)), "residual.1.b": np.zeros(2)}
+    got = table(scoring.score(samples, "FRUnrolled", given(spark, w), {"hidden_dim": 8}), "x", "y")
+    coords = feat.select("bundle", "graph_id", "node", F.col("f")[2].alias("x"), F.col("f")[3].alias("y"))
+    close(got, table(M.fr_unrolled(coords, edges), "x", "y"))
+
+
+@pytest.mark.parametrize("model", MODELS)
+def test_each_model_does_not_depend_on_the_batch(spark, tables, model):
+    _, _, samples = tables
+    weights = scoring.initial_weights(spark, model, 4)
+    whole = table(scoring.score(samples, model, weights), "x", "y")
+    assert len(whole) == 17 and all(np.isfinite(v).all() for v in whole.values())
+    close({k: v for k, v in whole.items() if k[0] == 2}, table(scoring.score(samples.filter("graph_id = 2"), model, weights), "x", "y"))
+
+
+def test_no_samples_and_errors(spark, tables):
+    _, _, samples = tables
+    weights = scoring.initial_weights(spark, "GCN", 4)
+    assert scoring.score(samples.limit(0), "GCN", weights).collect() == []
+    with pytest.raises(ValueError, match="GAT"):
+        scoring.score(samples, "other", weights)
+    with pytest.raises(ValueError, match="at most"):
+        scoring.score(samples, "GCN", weights, max_weights=10)
+    with pytest.raises(Exception, match="have shape"):
+        scoring.score(samples, "GCN", scoring.initial_weights(spark, "GCN", 5)).collect()
+    with pytest.raises(Exception, match="no weights named"):
+        scoring.score(samples, "GCN", weights.filter("name <> 'conv0.w'")).collect()
