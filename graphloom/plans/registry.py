@@ -13,6 +13,7 @@ from ..operators import layouts as L
 from ..operators import losses as G
 from ..operators import messages as M
 from ..operators import prep, scoring, split, structure, synth
+from ..shared import checkpointed
 from .fixtures import BASE, HISTORY, RUNS, SPECS, customer_specs, history, order_graph, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,6 +157,7 @@ def node_features(graphs, nodes, edges):
 def dataset_job(graphs, nodes, edges):
     """The whole dataset job, and a digest of each packed sample."""
     config = L.FeatureConfig(degree=True, positional=True, graph_size=True, density=True, clustering=True)
+    nodes, edges = checkpointed(nodes), checkpointed(edges)  # each is read several times
     s = L.build_dataset(graphs, nodes, edges, L.circular_layout(nodes), config)
     yy = F.aggregate("y", F.lit(0.0), lambda a, p: a + p["x"] * p["x"])
     return s.select(*K, "graph_type", F.size("x").alias("n"), (F.size("edge_index") / 2).cast("int").alias("e"), F.size(F.col("x")[0]).alias("width"), r(yy, "yy"), r(F.col("x")[0][3], "density"))
@@ -323,6 +325,7 @@ def _scored(model: str):
 
     def score(graphs, nodes, edges):
         config = L.FeatureConfig(degree=True, positional=True, initial_position=True)
+        nodes, edges = checkpointed(nodes), checkpointed(edges)  # each is read several times
         samples = L.build_dataset(graphs, nodes, edges, L.circular_layout(nodes), config, L.grid_positions(nodes))
         return scoring.score(samples, model, scoring.initial_weights(edges.sparkSession, model, 4))
 
