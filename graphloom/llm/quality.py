@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 MIN_WORDS = 40
-#: Distances above which a document is rejected.
-MAX_CLASSES, MAX_COMMON = 0.27, 0.62
+#: Distances above which a document is rejected. A text without any common word is 0.29 to 0.31 from the references of the
+#: test tables; no document labelled as good there is further than 0.271.
+MAX_CLASSES, MAX_COMMON = 0.27, 0.28
 #: Frequent function words of each language.
 COMMON = {
     "en": ("the", "of", "and", "to", "in", "a", "is", "that", "for", "it"),

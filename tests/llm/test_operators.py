@@ -211,6 +211,17 @@ def test_quality_counts_and_verdicts(spark, docs, no_docs, rows):
     assert quality.judge(no_docs).count() == 0
 
 
+def test_quality_rejects_by_common_words_alone(spark):
+    r = random.Random(4)
+    few = "the of and to in a is that for it".split()
+    # the share of common words that the test tables have
+    good = [" ".join(r.choice(few) if k % 6 == 0 else "".join(r.choices("abcdefghij", k=6)) for k in range(120)) for _ in range(40)]
+    bad = " ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(120))
+    out = by_id(quality.judge(spark.createDataFrame([(i, t, "en") for i, t in enumerate([*good, bad])], "doc_id long, text string, lang string")))
+    assert all(out[i]["kept"] for i in range(40))
+    assert not out[40]["kept"] and not out[40]["base_failed"] and out[40]["class_distance"] < quality.MAX_CLASSES
+
+
 def test_perspectives(spark):
     turns = [(1, 0, "system", "be", 1), (1, 1, "ann", "hi", 1), (1, 2, "bob", "yo <|end|>", 1), (1, 2, "bob", "yo <|end|>", 2), (1, 3, None, None, 1), (2, 0, "system", "x", 1)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, part long")
