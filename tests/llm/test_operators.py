@@ -304,6 +304,50 @@ def test_pipeline_stages_keep_their_promises(spark, rows, tmp_path):
     assert {x["doc_id"] for x in packed} == set(kept["substring_dedup"])
 
 
+def test_pipeline_stages_with_repeated_shared_and_null_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    few = "the of and to in a is that for it".split()
+    text = lambda n: " ".join(r.choice(few) if r.random() < 0.4 else f"w{r.randrange(9000)}" for _ in range(n))
+    t = [text(120) for _ in range(20)]
+    rows = [(i, t[i]) for i in range(12)]
+    rows += [(0, t[0]), (0, t[0])]  # a row three times
+    rows += [(1, t[12])]  # two texts under one id
+    rows += [(2, "short")]  # a rejected text under the id of a good one
+    rows += [(None, t[13]), (None, t[14]), (None, t[14]), (None, t[3])]  # no id: two texts of their own, one twice, and a copy
+    rows += [(50, t[15]), (None, t[15]), (40, t[15])]
+    rows += [(3, t[16]), (3, t[16] + " end"), (None, t[17]), (None, t[17] + " end")]  # near copies
+    passage = text(60)
+    cut = [text(60), text(60)]
+    rows += [(4, f"{cut[0]} {passage}"), (None, f"{passage} {cut[1]}")]
+    r.shuffle(rows)
+    spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    count = lambda pairs: collections.Counter(pairs)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
+        kept[name] = count((x["doc_id"], x["text"]) for x in docs.collect())
+    want = count(rows) - count([(2, "short")])
+    assert kept["quality_rules"] == want
+    want = count(set(want)) - count([(None, t[3]), (50, t[15]), (None, t[15])])
+    assert kept["exact_dedup"] == want
+    ends = lambda x: [(i, y) for i, y in kept["near_dedup"] if y in (t[x], t[x] + " end")]
+    assert len(ends(16)) == len(ends(17)) == 1
+    rest = lambda c: count({k: n for k, n in c.items() if not any(k[1].startswith(t[x]) for x in (16, 17))})
+    assert rest(kept["near_dedup"]) == rest(want)
+    want = kept["near_dedup"] - count([(4, f"{cut[0]} {passage}"), (None, f"{passage} {cut[1]}")]) + count([(4, cut[0]), (None, cut[1])])
+    assert kept["substring_dedup"] == want
+    tok = packing._tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    packed, ids = collections.Counter(), collections.Counter()
+    for x in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        packed[x["doc_id"]] += x["length"]
+    for (i, x), n in want.items():
+        ids[i] += n * (len(tok.encode(x, add_special_tokens=False).ids) + 1)
+    near_ids = {i for i in ids if i in (None, 3)}  # which near copy stays is free
+    assert set(packed) == set(ids) and all(packed[i] == ids[i] for i in ids if i not in near_ids)
+
+
 def test_components_equal_union_find(spark):
     draw, n = random.Random(5), 200
     pairs = [(i, i + 1) for i in range(40)] + [(draw.randrange(50, 120), draw.randrange(50, 120)) for _ in range(45)] + [(130, x) for x in range(121, 160)] + [(7, 7)]
