@@ -20,6 +20,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,14 +41,25 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd label mark q s samp small span strong sub sup time tt u var wbr img input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("p div ul ol dl table section article aside nav header footer main form h1 h2 h3 h4 h5 h6 blockquote pre hr figure address fieldset".split())
+#: An opening tag -> the open elements that it ends, and those beyond which it ends none (None: any but p).
+_CELLS, _ROWS = ("td", "th"), ("tr", "td", "th")
+_ENDS: dict[str, tuple[tuple[str, ...], tuple[str, ...] | None]] = {
+    "li": (("li",), None), "dt": (("dt", "dd"), None), "dd": (("dt", "dd"), None),
+    "td": (_CELLS, ("table", "tr")), "th": (_CELLS, ("table", "tr")), "tr": (_ROWS, ("table",)),
+    **{k: ((*_ROWS, "thead", "tbody", "tfoot", "caption"), ("table",)) for k in ("thead", "tbody", "tfoot")},
+    "option": (("option",), ("select", "datalist", "optgroup")), "optgroup": (("option", "optgroup"), ("select",)),
+}
 
 Block = tuple[tuple[str, ...], str, float]
 
 
 def blocks_of(page: str) -> list[Block]:
-    """(tag path, text with single spaces, share of it in links) of each leaf block with text, in page order."""
+    """(tag path, text with single spaces, share of it in links) of each leaf block with text, in page order. The path has
+    every open element, equal ones once, from the outermost on."""
     out: list[Block] = []
     path: list[tuple[str, str]] = []  # (tag, tag with its class and id words)
+    open_tags: Counter[str] = Counter()
+    shown: dict[str, int] = {}  # the distinct elements of the path, and how often each is on it
     text: list[str] = []
     linked, in_link = 0, 0
 
@@ -56,10 +68,31 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             said = " ".join(entities.unescape("".join(text)).split())
             if said:
-                out.append((tuple(x for _, x in path), said, min(1.0, linked / len(said))))
+                out.append((tuple(shown), said, min(1.0, linked / len(said))))
             text.clear()
         linked = 0
 
+    def leave(depth: int) -> None:
+        while len(path) > depth:
+            name, element = path.pop()
+            open_tags[name] -= 1
+            shown[element] -= 1
+            if not shown[element]:
+                del shown[element]
+
+    def end_implicitly(tag: str) -> None:
+        ended, bounds = _ENDS[tag]
+        if not any(open_tags[x] for x in ended):
+            return
+        depth = len(path)
+        for i in range(len(path) - 1, -1, -1):
+            name = path[i][0]
+            if name in ended:
+                depth = i
+            elif name != "p" if bounds is None else name in bounds:
+                break
+        leave(depth)
+
     for m in _TOKEN.finditer(page):
         tag = m[3]
         if tag is None:
@@ -79,17 +112,19 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if m[2]:
-            for i in range(len(path) - 1, -1, -1):
+            for i in range(len(path) - 1, -1, -1) if open_tags[tag] else ():
                 if path[i][0] == tag:
-                    del path[i:]
+                    leave(i)
                     break
         else:
-            if path and path[-1][0] == "p" and tag in CLOSES_P or path and path[-1][0] == tag == "li":
-                path.pop()
+            if path and path[-1][0] == "p" and tag in CLOSES_P:
+                leave(len(path) - 1)
+            if tag in _ENDS:
+                end_implicitly(tag)
             names = " ".join(x for found in _NAMES.findall(m[4]) for x in found if x) if m[4] else ""
             path.append((tag, tag + "." + ".".join(names.lower().split()) if names else tag))
-            if len(path) > 64:
-                del path[0]
+            open_tags[tag] += 1
+            shown[path[-1][1]] = shown.get(path[-1][1], 0) + 1
     close()
     return out
 
@@ -271,7 +306,9 @@ def train_labeller(pages: list[str], copies: int = 3) -> Labeller:
     for page in pages:
         plain = blocks_of(page)
         sets = [(plain, labelled(plain))] + [varied(page, r) for _ in range(copies)] if plain else []
-        data += [(_vectors(b)[:400], y[:400]) for b, y in sets if b]
+        for b, y in sets:
+            # a long page is several sequences
+            data += [(_vectors(b[k : k + 400]), y[k : k + 400]) for k in range(0, len(b), 400)]
     model = Labeller()
     if data:
         model.train(data)

@@ -268,6 +268,21 @@ def test_html_extraction(spark):
     assert right / total > 0.95
 
 
+def test_html_paths_keep_their_containers(monkeypatch):
+    rows = "".join(f"<tr><td>a{i}<td><p>b{i}" for i in range(100))
+    deep = "<div>" * 300 + "inside"
+    page = f"<html><body><nav><table>{rows}</table></nav><article><dl>{'<dt>k<dd>v' * 80}</dl>{deep}</article><footer>end</footer>"
+    blocks = html_extract.blocks_of(page)
+    where = {t: set(p) for p, t, _ in blocks}
+    assert all({"html", "body", "nav", "table", "tr", "td"} <= where[f"{c}{i}"] for c in "ab" for i in range(100))
+    assert {"body", "article", "div"} <= where["inside"] and where["k"] == {"html", "body", "article", "dl", "dt"} and "nav" not in where["inside"]
+    assert where["end"] == {"html", "body", "footer"}
+    got = []
+    monkeypatch.setattr(html_extract.Labeller, "train", lambda self, data: got.extend(data))
+    html_extract.train_labeller(["<article>" + "<p>x y</p>" * 1000 + "</article>"], copies=0)
+    assert sum(len(v) for v, _ in got) == sum(len(y) for _, y in got) == 1000
+
+
 def test_arrow_offsets_of_a_slice():
     from graphloom.llm import common
 
