@@ -8,8 +8,13 @@ document that starts it is the query, and unused documents are taken in order of
 The last one is cut there; what is left of it starts the next window. Only the end of a partition leaves a window
 unfilled, and that rest is cut into sequences whose lengths are powers of two, which need no padding.
 
-Inputs: null text counts as empty (its one id is the end id); equal and repeated rows are packed each; a text of any
-length is cut into windows; extra columns are ignored; an empty table gives an empty result.
+Ids are those of the tokenizers library for the whole text with the file as it is: the name of an added token in a text
+is that token.
+
+Inputs: null text counts as empty (its one id is the end id); equal and repeated rows are packed each, and so are rows
+with a null or shared doc_id, under that id; doc_id is a whole number or text of one, else it becomes null; a text of any length
+is cut into windows; equal scores are taken in the order of the shard; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -47,9 +52,15 @@ _WHITE = re.compile(f"[{WHITE}]+")
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def _added(path: str) -> re.Pattern:
+    """What the tokenizer's file says to take out of a text whole, before all else. Case counts there; here it does not, as
+    lower-casing pieces must not make one."""
+    names = [t["content"] for t in json.load(open(path, encoding="utf-8"))["added_tokens"]]
+    return re.compile("|".join(map(re.escape, names)) or r"(?!)", re.I)
 
 
 @lru_cache(maxsize=2)
@@ -71,7 +82,8 @@ def _word_encoder(path: str):
 
 
 class _Ids(dict):
-    """Lower-case piece between white space -> its ids as little-endian uint16; forgotten when it grows large."""
+    """Lower-case piece between white space -> its ids as little-endian uint16; forgotten when it grows large. A piece with
+    characters of which this module's patterns and the tokenizer could think differently goes through the tokenizer."""
 
     def __init__(self, path: str, most: int = 600_000):
         self.whole, self.piece, self.most = _tokenizer(path), _word_encoder(path), most
@@ -82,7 +94,7 @@ class _Ids(dict):
     def __missing__(self, text: str) -> bytes:
         if text.isalpha() and (text.isascii() or max(text) < COMBINING):
             out = self.word(text)
-        elif text.isascii() or max(text) < COMBINING:
+        elif (text.isascii() or max(text) < COMBINING) and not _ODD_WHITE.search(text):
             stem = text[:-1]
             if stem.isalpha() and text[-1] in ",.":
                 out = (self.get(stem) or self.word(stem)) + self.word(text[-1])
@@ -111,12 +123,15 @@ _held: dict[str, _Ids] = {}
 
 def _tokenise(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to its ids with the end id, and a key near which documents with the same telling tokens sort."""
-    ids_of = _held.setdefault(path, _Ids(path))
+    ids_of, added = _held.setdefault(path, _Ids(path)), _added(path).search
     get = ids_of.__getitem__
     for batch in batches:
         out, keys = [], []
         for text in batch.column(1).to_pylist():
-            raw = b"".join(map(get, _pieces(text))) if text else b""
+            if text and added(text):
+                raw = array("H", ids_of.whole.encode(text, add_special_tokens=False).ids).tobytes()
+            else:
+                raw = b"".join(map(get, _pieces(text))) if text else b""
             out.append(raw + END_ID.to_bytes(2, "little"))
             ids = np.frombuffer(raw, np.uint16)
             if len(ids):
@@ -133,7 +148,7 @@ def _tokenise(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Recor
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, near, ids): ids as little-endian uint16 with the end id, a written table."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _tokenise(it, path), "doc_id long, near long, ids binary")
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _tokenise(it, path), "doc_id long, near long, ids binary")
     return C.written(rows, "tokens")
 
 

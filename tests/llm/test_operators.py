@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -155,7 +156,7 @@ def test_hyperminhash_estimates_similarity():
 
 def test_packing_places_every_id_once(docs, no_docs, rows):
     path = public_tokenizers.path("word_bpe_49k.json")
-    tok = packing._tokenizer(path)
+    tok = Tokenizer.from_file(path)
     want = {i: tok.encode(t or "", add_special_tokens=False).ids + [1] for i, t, *_ in rows}
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for r in packing.pack(docs, path).collect():
@@ -176,6 +177,23 @@ def test_packing_places_every_id_once(docs, no_docs, rows):
     assert packing.pack(no_docs, path).count() == 0
 
 
+def test_packing_tokens_are_those_of_the_plain_tokenizer():
+    path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(1)
+    pool = list("abcXYZ 012'’.,!?<|>_-") + [chr(c) for c in range(33)] + list("\x85\xa0éÉªº²½\xadßİı\u0301\u0308ﬁ中あ\u1160٣Ⅷ\u2028\u200b\u3000😀ǅΩÅ\ufeff\u0345ΣK")
+    pool += ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "'s", "'LL", "don't"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randrange(24))) for _ in range(20_000)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    tok, got = Tokenizer.from_file(path), [x for b in packing._tokenise(iter([batch]), path) for x in b.column(2).to_pylist()]
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
+def test_packing_of_repeated_null_and_odd_ids(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = spark.createDataFrame([(None, "a b"), (None, "a b"), (None, None), ("7", "c <|endoftext|>"), ("7", "d"), ("x", "e")], "doc_id string, text string")
+    out = [(x["doc_id"], x["doc_tokens"]) for x in packing.pack(rows, path).collect() if x["start"] == 0]
+    assert sorted(out, key=str) == sorted([(None, 3), (None, 3), (None, 1), (7, 3), (7, 2), (None, 2)], key=str)
+
+
 def test_packing_takes_the_nearest_documents_first():
     docs = [np.array(x, np.uint16) for x in ([5, 6, 7, 8], [50, 51], [5, 6, 9], [60])]
     index = packing.Index(docs, np.ones(1 << 16, np.float32), 3.0)
@@ -353,7 +371,7 @@ def test_pipeline_stages_with_repeated_shared_and_null_ids(spark, tmp_path):
     assert rest(kept["near_dedup"]) == rest(want)
     want = kept["near_dedup"] - count([(4, f"{cut[0]} {passage}"), (None, f"{passage} {cut[1]}")]) + count([(4, cut[0]), (None, cut[1])])
     assert kept["substring_dedup"] == want
-    tok = packing._tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     packed, ids = collections.Counter(), collections.Counter()
     for x in corpus_pipeline.run(spark, str(tmp_path)).collect():
         packed[x["doc_id"]] += x["length"]
