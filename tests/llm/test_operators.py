@@ -276,25 +276,86 @@ def test_html_extraction(spark):
     got = {x["page_id"]: x for x in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert [got[i]["text"] for i in range(60)] == want and got[60]["text"] == got[61]["text"] == "" and got[3]["n_chars"] == len(want[3])
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-    held = [html_extract.varied(p[2], random.Random(100 + i)) for i, p in enumerate(pages[:40])]
     model = html_extract.train_labeller([p[2] for p in pages[:60]])
     right = total = 0
-    for blocks, y in held:
-        x, mask, _ = html_extract._padded([(html_extract._vectors(blocks), None)])
-        right += int(((model.scores(x, mask) > 0)[0] == (y > 0)).sum())
+    for i, p in enumerate(pages[:40]):
+        page = html_extract.blocks_of(p[2])
+        laid, y = html_extract.varied(page, html_extract.labelled(page), random.Random(100 + i))
+        right += int((judged(model, laid) == (y > 0)).sum())
         total += len(y)
     assert right / total > 0.95
 
 
+def judged(model, page):
+    x, mask, _ = html_extract._padded([(html_extract._vectors(page), None)])
+    return (model.scores(x, mask) > 0)[0]
+
+
+LAYOUTS = ("sections", "divs", "table", "unclosed")
+
+
+def laid_out(kind, i, r):
+    """(html, texts of the article): the same kinds of texts in layouts that say less and less."""
+    words = lambda n: " ".join("".join(r.choices("abdeiklmnoprstu", k=r.randint(2, 9))) for _ in range(n))
+    sentence = lambda n: (words(n).capitalize() + ".")
+    own = [words(r.randint(3, 9)).capitalize()] + [sentence(r.randint(12, 90)) for _ in range(r.randint(3, 9))]
+    menu, ad, foot = [f"<a href=/{i}>{words(r.randint(1, 2))}</a>" for _ in range(6)], sentence(r.randint(5, 15)), "&copy; " + words(5)
+    paragraphs = lambda tag, end=True: "".join(f"<{tag}>{t}" + (f"</{tag.split()[0]}>" if end else "") for t in own[1:])
+    if kind == "sections":
+        return f"<nav><ul>{''.join(f'<li>{m}</li>' for m in menu)}</ul></nav><div class=ad>{ad}</div><article><h1>{own[0]}</h1>{paragraphs('p')}</article><footer>{foot}</footer>", own
+    if kind == "divs":
+        return f"<body><div class=c1>{''.join(f'<div>{m}</div>' for m in menu)}</div><div class=c2><h1>{own[0]}</h1>{paragraphs('div class=c5')}</div><div class=c3>{ad}</div><div class=c4>{foot}</div>", own
+    if kind == "table":
+        return f"<body><table><tr><td colspan=2>{' | '.join(menu)}</td></tr><tr><td><h1>{own[0]}</h1>{paragraphs('p')}</td><td>{ad}</td></tr><tr><td>{foot}</td></tr></table>", own
+    return f"<body><div class=q1><ul>{''.join(f'<li>{m}' for m in menu)}</ul></div><div class=q2><h1>{own[0]}</h1>{paragraphs('p', False)}</div><div class=q3>{ad}<div class=q4>{foot}", own
+
+
+@pytest.mark.parametrize("learnt", ["sections", "divs"])
+def test_html_labeller_on_layouts_that_it_was_not_shown(learnt):
+    r = random.Random(6)
+    model = html_extract.train_labeller([laid_out(learnt, i, r)[0] for i in range(48)], [f"h{i % 12}" for i in range(48)])
+    for kind in LAYOUTS:
+        right = total = 0
+        for i in range(60):
+            source, own = laid_out(kind, i, r)
+            page = html_extract.blocks_of(source)
+            right += sum((b.text in own) == bool(k) for b, k in zip(page.blocks, judged(model, page)))
+            total += len(page.blocks)
+        assert right / total >= 0.9, (kind, right, total)
+
+
+def test_html_sample_is_distinct_spread_and_bounded(spark):
+    pages = [(i, "http://a.b/1", "<p>same") for i in range(50)] + [(100 + i, f"http://h{i % 3}.c/{i}", f"<p>page {i}") for i in range(60)] + [(500, "http://z.z", "x" * 300_000), (501, None, "<p>no url"), (502, "u", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows = html_extract.training_sample(df, 8).collect()
+    hosts = collections.Counter(x["host"] for x in rows)
+    assert len(rows) == len({x["html"] for x in rows}) == 8 and hosts["a.b"] == 1 and len(hosts) == 5 and max(hosts.values()) == 2
+    assert max(len(x["html"]) for x in rows) < 1000
+
+
+def test_html_repeated_rows_extra_columns_and_long_pages(spark):
+    r = random.Random(2)
+    pages = [(i, "http://h/", laid_out("sections", i, r)[0], 1, "t") for i in range(20)]
+    pages += [pages[3], pages[3], (50, None, "<article><p>" + "long text here</p><p>" * 30_000, 1, "t"), (51, None, None, 1, "t")]
+    got = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string, h long, text string")).collect()
+    assert len(got) == len(pages) and len({x["text"] for x in got if x["page_id"] == 3}) == 1
+    by = {x["page_id"]: x for x in got}
+    assert by[50]["n_chars"] == 15 * 30_000 - 1 and by[51]["text"] == "" and list(by[50].asDict()) == ["page_id", "url", "text", "n_chars"]
+    empty = html_extract.extract(spark.createDataFrame([(1, "u", None)], "page_id long, url string, html string")).collect()
+    assert [x["text"] for x in empty] == [""]
+
+
 def test_html_paths_keep_their_containers(monkeypatch):
     rows = "".join(f"<tr><td>a{i}<td><p>b{i}" for i in range(100))
     deep = "<div>" * 300 + "inside"
     page = f"<html><body><nav><table>{rows}</table></nav><article><dl>{'<dt>k<dd>v' * 80}</dl>{deep}</article><footer>end</footer>"
-    blocks = html_extract.blocks_of(page)
-    where = {t: set(p) for p, t, _ in blocks}
-    assert all({"html", "body", "nav", "table", "tr", "td"} <= where[f"{c}{i}"] for c in "ab" for i in range(100))
-    assert {"body", "article", "div"} <= where["inside"] and where["k"] == {"html", "body", "article", "dl", "dt"} and "nav" not in where["inside"]
-    assert where["end"] == {"html", "body", "footer"}
+    where = {b.text: b for b in html_extract.blocks_of(page).blocks}
+    bits = lambda *tags: sum({1 << html_extract._element(t, "")[0][0] for t in tags})
+    assert all(where[f"a{i}"].path == bits("html", "body", "nav", "table", "tr", "td") for i in range(100))
+    assert all(where[f"{c}{i}"].aside for c in "ab" for i in range(100))
+    assert where["inside"].path == bits("html", "body", "article", "div") and where["inside"].home and not where["inside"].aside
+    assert where["k"].path == bits("html", "body", "article", "dl", "dt") and where["v"].path == bits("html", "body", "article", "dl", "dd")
+    assert where["end"].path == bits("html", "body", "footer") and where["end"].aside and not where["end"].home
     got = []
     monkeypatch.setattr(html_extract.Labeller, "train", lambda self, data: got.extend(data))
     html_extract.train_labeller(["<article>" + "<p>x y</p>" * 1000 + "</article>"], copies=0)
