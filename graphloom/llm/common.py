@@ -48,20 +48,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    """docs with only `columns`, and `row_key`: a long that is unique to the row and the same in every scan.
+def unique_ids(docs: DataFrame) -> bool:
+    """Whether doc_id is a whole number that no row lacks and no two rows share."""
+    if dict(docs.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        return False
+    return not docs.select("doc_id").groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count()
 
-    doc_id is the key if no row lacks it and no two rows share it. Otherwise the rows are numbered and written once,
-    as a number given while reading could change when a lost task runs again.
-    """
-    ids = docs.select("doc_id")
-    odd = ids.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count()
-    rows = docs.select(*columns)
-    if not odd:
-        return rows.withColumn("row_key", docs["doc_id"].cast("long"))
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with `row_key`, a long that is unique to the row, written once: a number given while reading could change when a
+    lost task runs again."""
     return written(rows.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
 
 
+def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs with only `columns`, and `row_key`: a long that is unique to the row and the same in every scan. doc_id is the
+    key if it can be; otherwise (a text, null or shared) the rows are numbered."""
+    rows = docs.select(*columns)
+    return rows.withColumn("row_key", docs["doc_id"].cast("long")) if unique_ids(docs) else numbered(rows)
+
+
 def words_column(text: Column | str) -> Column:
     """array<string> of the words `[^\\x20\\x09-\\x0D]+`; null gives none."""
     return F.filter(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), SPACE), lambda w: w != "")

@@ -7,8 +7,9 @@ positives are joined to the snapshot's exact buckets by digest, and their texts
 
 Digest: SHA-256 of the normalised text (each run of [\\x20\\x09-\\x0D] is one space).
 
-Inputs: null text counts as empty; the smallest doc_id of a group stays (of a shared doc_id every row, of null ids only
-if the group has no other: keep_id is null then); extra columns are ignored; an empty batch or snapshot is allowed.
+Inputs: null text counts as empty; a long text is digested whole; the smallest doc_id of a group stays (of a shared doc_id
+every row, of null ids only if the group has no other: keep_id is null then); doc_id may be a text; extra columns are
+ignored; an empty batch or snapshot is allowed.
 """
 
 from __future__ import annotations
@@ -136,8 +137,13 @@ def _deduplicate(both: DataFrame, shard_keys: int) -> DataFrame:
     old, new = groups.filter("NOT new"), groups.filter("new")
     shards = max(1, -(-old.count() // shard_keys))
     filters = snapshot_filters(old, shards)
-    keys = new.select(F.pmod(F.shiftrightunsigned("head", 20), F.lit(shards)).cast("int").alias("shard"), "head", "digest")
-    may = keys.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(_screened, "digest binary")
+    # A group of incoming digests is screened by one copy of its shard's filter: as many copies as keep a group small,
+    # however small the snapshot is.
+    copies = max(1, -(-new.count() // (shards * shard_keys)))
+    filters = filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    shard, salt = F.pmod(F.shiftrightunsigned("head", 20), F.lit(shards)), F.pmod(F.shiftrightunsigned("head", 44), F.lit(copies))
+    keys = new.select(shard.cast("int").alias("shard"), salt.cast("int").alias("salt"), "head", "digest")
+    may = keys.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt")).applyInPandas(_screened, "digest binary")
     hit = may.join(new.select("digest", "n", F.col("first_id").alias("new_id")), "digest").join(old.select("digest", "n", F.col("first_id").alias("old_id")), ["digest", "n"])
     hit = C.checkpointed(hit)
     # Byte check of each positive's two texts, one for either side, whatever the number of copies.

@@ -7,7 +7,7 @@ Overlapping windows are merged by the positions that they cover.
 Counts per window are summed before the shuffle, and the join of windows to the repeated ones is an equi-join that
 adaptive execution can split, so a window in a third of all documents stays off one task.
 
-Inputs: null text counts as empty; lines without a word are never counted nor removed; a document of fewer than three
+Inputs: null text counts as empty; a long text is one row with all its lines; doc_id may be a text; lines without a word are never counted nor removed; a document of fewer than three
 such lines has no window; equal rows are separate documents (of one doc_id, the one that is read first comes first, nulls before
 all); extra columns are ignored; an empty table gives an empty result.
 """
