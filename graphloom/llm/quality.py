@@ -5,8 +5,9 @@ its language by the Jensen-Shannon distance (base 2, so in [0, 1]). The referenc
 documents of the language that have MIN_WORDS words. Shorter documents are not judged by divergence. Base rules come first:
 a document of fewer than 10 words, or with more than a fifth of its words in repeated 5-word windows, fails.
 
-Inputs: null text counts as empty; a null or unlisted language is judged against the reference of all documents; equal
-rows give equal results; extra columns are ignored; an empty table gives an empty result.
+Inputs: null text counts as empty; a null or unlisted language is judged against the reference of all documents, by the
+words of ANY, which are counted in every one; a long text is judged whole; equal rows give equal results, null and shared
+doc_ids one row each; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -65,18 +66,24 @@ def _counts(text: Column, lang: Column) -> dict[str, Column]:
     words, total = C.words_column(text), F.length(text)
     gone = [total - F.length(F.regexp_replace(text, c, "")) for c in CLASSES]
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    common = F.coalesce(*(F.when(lang == k, F.array(*map(F.lit, v))) for k, v in COMMON.items()), F.array(*map(F.lit, ANY)))
-
-    def histogram(w: Column) -> Column:
-        def of(few: Column) -> Column:
-            each = F.transform(common, lambda c: F.size(F.filter(few, lambda x: x == c)).cast("double"))
-            return F.concat(each, F.array((F.size(w) - F.size(few)).cast("double")))
-
-        return _let(F.filter(F.transform(w, lambda x: F.lower(x)), lambda x: F.array_contains(common, x)), of)
-
-    facts = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).cast("long").alias("n_repeat_words"), histogram(w).alias("common")))
+    listed = F.coalesce(*(F.when(lang == k, F.array(*map(F.lit, v))) for k, v in COMMON.items()), F.array(*map(F.lit, ANY)))
+    own = [listed[i] for i in range(len(ANY))]
+    # every word between two spaces of its own, so that taking a word out tells how often it is there
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), C.SPACE, "  "), F.lit(" "))
+    # of which only those stay that some list has
+    some = "|".join(sorted({w for v in (*COMMON.values(), ANY) for w in v}))
+    spaced = F.regexp_replace(spaced, f" (?!(?:{some}) )[^ ]+ ", "")
+
+    def counts(spaced: Column, those: list[Column]) -> Column:
+        left = lambda w: F.octet_length(F.replace(spaced, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))
+        return F.array(*(((F.octet_length(spaced) - left(w)) / (F.octet_length(w) + 2)).cast("double") for w in those))
+
+    common = _let(spaced, lambda s: F.struct(counts(s, own).alias("own"), counts(s, list(map(F.lit, ANY))).alias("any")))
+    # apart from the above: nested in one lambda, both take twice as long
+    facts = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).cast("long").alias("n_repeat_words")))
     return {
         "facts": facts,
+        "common": common,
         "gone": F.array(*gone),
         "total": total,
         "wide": F.octet_length(text) - total,
@@ -106,15 +113,17 @@ def measured(docs: DataFrame) -> DataFrame:
     gone = F.col("gone")
     rest = F.col("total") - sum((gone[i] for i in range(1, len(CLASSES))), gone[0])
     classes = F.array(*(x.cast("double") for x in [*(gone[i] for i in range(len(CLASSES))), rest, F.col("wide")]))
-    return rows.select("doc_id", "kind", F.col("facts.n_words").alias("n_words"), (F.col("total") - gone[3]).cast("long").alias("word_chars"), gone[2].cast("long").alias("n_symbols"), "n_dup_lines", F.col("facts.n_repeat_words").alias("n_repeat_words"), classes.alias("classes"), F.col("facts.common").alias("common"))
+    # the words of the list, and all others
+    with_rest = lambda c: F.concat(F.col(c), F.array(F.col("facts.n_words") - F.aggregate(c, F.lit(0.0), lambda a, b: a + b)))
+    return rows.select("doc_id", "kind", F.col("facts.n_words").alias("n_words"), (F.col("total") - gone[3]).cast("long").alias("word_chars"), gone[2].cast("long").alias("n_symbols"), "n_dup_lines", F.col("facts.n_repeat_words").alias("n_repeat_words"), classes.alias("classes"), with_rest("common.own").alias("common"), with_rest("common.any").alias("common_any"))
 
 
 def references(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(ref, ref_classes, ref_common): for each listed language, and "any" for all documents: five rows at most."""
-    use = rows.filter(F.col("n_words") >= min_words).select("kind", "classes", "common")
+    use = rows.filter(F.col("n_words") >= min_words).select("kind", "classes", "common", "common_any")
     sums = lambda c, n: F.array(*(F.sum(F.col(c)[i]) for i in range(n)))
-    by = use.groupBy("kind").agg(sums("classes", len(CLASSES) + 2).alias("c"), sums("common", len(ANY) + 1).alias("w"))
-    everything = by.agg(sums("c", len(CLASSES) + 2).alias("ref_classes"), F.first(F.when(F.col("kind") == "any", F.col("w")), True).alias("ref_common")).select(F.lit("any").alias("ref"), "ref_classes", F.coalesce("ref_common", F.array(*[F.lit(0.0)] * (len(ANY) + 1))).alias("ref_common"))
+    by = use.groupBy("kind").agg(sums("classes", len(CLASSES) + 2).alias("c"), sums("common", len(ANY) + 1).alias("w"), sums("common_any", len(ANY) + 1).alias("a"))
+    everything = by.agg(sums("c", len(CLASSES) + 2).alias("ref_classes"), sums("a", len(ANY) + 1).alias("ref_common")).select(F.lit("any").alias("ref"), "ref_classes", "ref_common")
     return by.filter("kind <> 'any'").select(F.col("kind").alias("ref"), F.col("c").alias("ref_classes"), F.col("w").alias("ref_common")).unionByName(everything)
 
 
@@ -149,10 +158,11 @@ win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1) GROUP BY doc_id),
 m AS (SELECT b.doc_id, kind, len(w)::BIGINT AS n_words, (length(text) - g[4])::BIGINT AS word_chars, g[3]::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
       list_concat(g, [length(text) - list_sum(g), (strlen(text) - length(text))::DOUBLE]) AS c,
-      list_concat(list_transform(cw, lambda x: len(list_filter(w, lambda y: lower(y) = x))::DOUBLE), [len(list_filter(w, lambda y: NOT list_contains(cw, lower(y))))::DOUBLE]) AS h
+      list_concat(list_transform(cw, lambda x: len(list_filter(w, lambda y: lower(y) = x))::DOUBLE), [len(list_filter(w, lambda y: NOT list_contains(cw, lower(y))))::DOUBLE]) AS h,
+      list_concat(list_transform({any_list}, lambda x: len(list_filter(w, lambda y: lower(y) = x))::DOUBLE), [len(list_filter(w, lambda y: NOT list_contains({any_list}, lower(y))))::DOUBLE]) AS ha
       FROM b LEFT JOIN rep USING (doc_id)),
-r AS (SELECT kind, {sums("c", len(CLASSES) + 2)} AS rc, {sums("h", n)} AS rh FROM m WHERE n_words >= {MIN_WORDS} GROUP BY kind),
-refs AS (SELECT kind, rc, rh FROM r WHERE kind <> 'any' UNION ALL SELECT 'any', {sums("rc", len(CLASSES) + 2)}, coalesce(first(rh) FILTER (kind = 'any'), list_transform(range({n}), lambda x: 0.0)) FROM r),
+r AS (SELECT kind, {sums("c", len(CLASSES) + 2)} AS rc, {sums("h", n)} AS rh, {sums("ha", n)} AS ra FROM m WHERE n_words >= {MIN_WORDS} GROUP BY kind),
+refs AS (SELECT kind, rc, rh FROM r WHERE kind <> 'any' UNION ALL SELECT 'any', {sums("rc", len(CLASSES) + 2)}, {sums("ra", n)} FROM r),
 j AS (SELECT m.*, CASE WHEN n_words >= {MIN_WORDS} THEN round({js("c", "rc")}, 6) ELSE 0.0 END + 0.0 AS class_distance, CASE WHEN n_words >= {MIN_WORDS} THEN round({js("h", "rh")}, 6) ELSE 0.0 END + 0.0 AS common_distance FROM m LEFT JOIN refs USING (kind)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM j)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND class_distance <= {MAX_CLASSES} AND common_distance <= {MAX_COMMON} AS kept, class_distance, common_distance FROM f"""
