@@ -11,9 +11,10 @@ corrected Jaccard estimate is far below the threshold; the rest are confirmed on
 A pair at similarity 0.8 misses all 32 bands of 4 registers with probability (1 - 0.8**4)**32 = 5e-8.
 
 Inputs: a row without words has an empty set and is linked with nothing; one with fewer than SHINGLE words has its whole
-sequence as its one shingle. Rows of equal sets form a class and are never paired with each other. Null or shared
-doc_ids are allowed: the smallest non-null doc_id reachable names the component (null if there is none). Extra columns
-are ignored. An empty table gives an empty result.
+sequence as its one shingle; a text of any length is one set, hashed whole. Rows of equal sets form a class and are never
+paired with each other. doc_id may be a text, null or shared (rows are numbered then): the smallest non-null doc_id reachable
+names the component (null if there is none), and each row that has it is kept. Extra columns are ignored. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -208,7 +209,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     if not 0.5 <= threshold < 1:
         raise ValueError("the threshold lies in [0.5, 1)")
     least = int(np.ceil(threshold / (1 - threshold) - 1e-9))
-    rows = C.keyed(docs, "doc_id", "text")
+    by_id = C.unique_ids(docs)
+    rows = docs.select("doc_id", "text")
+    rows = rows.withColumn("row_key", F.col("doc_id").cast("long")) if by_id else C.numbered(rows)
     kind = dict(rows.dtypes)["doc_id"]
     signed = rows.select("row_key", "text").mapInArrow(lambda it: _sign(it, shingle, least), "row_key long, n_shingles long, d1 long, d2 long, bands array<long>")
     signed = C.written(signed, "signatures")
@@ -260,10 +263,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     if more.limit(1).count():
         labels = components(nodes.select("cls"), links.unionByName(more))
 
+    has = F.col("n_shingles") > 0
     of_class = classes.select("d1", "d2", "cls").join(labels, "cls", "left").select("d1", "d2", F.coalesce("comp", "cls").alias("comp"))
     placed = signed.select("row_key", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left")
-    placed = placed.join(rows.select("row_key", "doc_id"), "row_key").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("comp")).alias("comp"))
-    first = placed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("first_id"))
-    out = placed.join(first, "comp", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("first_id")).otherwise(F.col("doc_id")).cast(kind)
+    if by_id:  # the key is doc_id, so the smallest of a component is its name already
+        placed = placed.select(F.col("row_key").alias("doc_id"), "n_shingles", F.when(has, F.col("comp")).otherwise(F.col("row_key")).alias("name"))
+        return placed.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_shingles", F.col("name").cast(kind).alias("component_id"), (F.col("doc_id") == F.col("name")).alias("kept"))
+    # the smallest doc_id of each class first, so that a component is joined by its classes and not by its rows
+    ids = signed.select("row_key", "d1", "d2").join(rows.select("row_key", "doc_id"), "row_key")
+    of_class = of_class.join(ids.groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id")), ["d1", "d2"])
+    first = of_class.groupBy("comp").agg(F.min("class_id").alias("first_id"))
+    names = of_class.join(first, "comp").select("d1", "d2", "first_id")
+    out = signed.select("row_key", "n_shingles", "d1", "d2").join(names, ["d1", "d2"], "left").join(rows.select("row_key", "doc_id"), "row_key")
+    component = F.when(has, F.col("first_id")).otherwise(F.col("doc_id")).cast(kind)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

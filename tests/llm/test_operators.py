@@ -142,6 +142,77 @@ def test_near_duplicates(docs, no_docs, rows, shingle):
     assert hyperminhash.near_duplicates(no_docs, shingle).count() == 0
 
 
+IDS = {"shared and null": ("long", [1, 1, None, 2, None, 7, 3]), "texts": ("string", ["b", "b", None, "a", None, "x", "c"])}
+
+
+@pytest.mark.parametrize("ids", IDS)
+def test_ids_that_are_shared_null_or_texts(spark, ids):
+    """Rows 0 and 4 have one text, 1, 2 and 3 near copies of another; 5 is null and 6 has no word."""
+    kind, names = IDS[ids]
+    r = random.Random(11)
+    base, other = prose(r, 200), prose(r, 200)
+    texts = [base, other, other + " end", other + " more", base.replace(" ", "\n"), None, " "]
+    df = spark.createDataFrame(list(zip(names, texts, range(7))), f"doc_id {kind}, text string, row_key long").repartition(3)
+    near = sorted(((x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in hyperminhash.near_duplicates(df).collect()), key=str)
+    first = min(n for n in (names[1], names[3]))
+    want = [(names[i], 196 + (i in (2, 3)), names[0] if i in (0, 4) else first, names[i] == (names[0] if i in (0, 4) else first)) for i in range(5)]
+    want += [(names[i], 0, names[i], True) for i in (5, 6)]
+    assert near == sorted(want, key=str)
+    exact = sorted(((x["doc_id"], x["keep_id"], x["group_size"], x["kept"]) for x in exact_dedup.deduplicate(df).collect()), key=str)
+    alone = [(names[i], names[i], 1, True) for i in (1, 2, 3)]
+    # null counts as empty and " " does not, as one space is left of white space
+    assert exact == sorted([*alone, (names[0], names[0], 2, True), (None, names[0], 2, False), (names[5], names[5], 1, True), (names[6], names[6], 1, True)], key=str)
+    assert {x["n_removed"] for x in line_dedup.remove_repeated_lines(df).collect()} == {0}
+
+
+def test_a_component_of_null_ids_has_no_name(spark):
+    r = random.Random(12)
+    t = prose(r, 100)
+    rows = hyperminhash.near_duplicates(spark.createDataFrame([(None, t), (None, t + " end"), (4, prose(r, 100))], "doc_id long, text string")).collect()
+    assert sorted((str(x["doc_id"]), str(x["component_id"]), x["kept"]) for x in rows) == [("4", "4", True), ("None", "None", False), ("None", "None", False)]
+
+
+def test_screening_is_dealt_out_without_a_snapshot(spark, monkeypatch):
+    """However small the snapshot, no group of incoming digests is larger than a shard's share."""
+    seen = spark.sparkContext.accumulator(0)
+    groups = spark.sparkContext.accumulator(0)
+
+    def counted(incoming, filters):
+        seen.add(len(incoming))
+        groups.add(bool(len(incoming)))
+        return screened(incoming, filters)
+
+    screened = exact_dedup._screened
+    monkeypatch.setattr(exact_dedup, "_screened", counted)
+    rows = [(i, f"text {i % 900}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = exact_dedup.deduplicate(docs.filter("doc_id >= 10"), docs.filter("doc_id < 10"), shard_keys=100).collect()
+    assert sum(x["kept"] for x in out) == 900 and seen.value == 900 and groups.value >= 8
+
+
+def test_quality_reference_of_other_languages_is_that_of_all(spark):
+    r = random.Random(4)
+    few = "the of and".split()
+    good = [" ".join(r.choice(few) if k % 6 == 0 else "".join(r.choices("abcdefghij", k=6)) for k in range(120)) for _ in range(40)]
+    bad = " ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(120))
+    out = by_id(quality.judge(spark.createDataFrame([(i, t, "en") for i, t in enumerate(good)] + [(98, good[0], None), (99, bad, "xx")], "doc_id long, text string, lang string")))
+    assert out[98]["kept"] and out[98]["common_distance"] < 0.2 and not out[99]["kept"] and out[99]["common_distance"] > quality.MAX_COMMON
+
+
+def test_hyperminhash_screen_loses_no_similar_pair():
+    """Pairs just at the threshold, whose estimates are lowest, all pass the screen."""
+    r, lost, n = np.random.default_rng(3), 0, 0
+    for size in (8, 20, 100, 1000):
+        shared = int(np.ceil(size * 0.89))
+        for _ in range(250):
+            common = r.integers(0, 2**64, shared, dtype=np.uint64)
+            a, b = (np.unique(np.concatenate([common, r.integers(0, 2**64, size - shared, dtype=np.uint64)])) for _ in range(2))
+            x = hyperminhash._registers([a, b])
+            lost += bool(hyperminhash.estimate(x[:1], x[1:], np.array([size]), np.array([size]))[0] < 0.8 - hyperminhash.SLACK)
+            n += 1
+    assert lost == 0 and n == 1000
+
+
 def test_hyperminhash_estimates_similarity():
     r = np.random.default_rng(1)
     for n, shared in ((400, 300), (60, 50), (20, 17)):
