@@ -10,8 +10,11 @@ Documents are read in blocks of some megabytes. Hashes are sent as packed rows o
 block once, with a mark if the block has it twice), and what comes back is a bit for each. So a passage in a third of all
 documents sends one hash per block, and nothing is paired. The texts themselves are shuffled once, by block.
 
+Both scans of the texts must give a partition's rows in the same order, as files do; a checksum of each block's hashes
+goes along, and a block that differs is an error.
+
 Inputs: a row without text or with fewer than WINDOW words keeps all its words; equal rows are two documents, so their
-windows repeat; null or shared doc_ids are allowed (a row key is used); extra columns are ignored; an empty table gives
+windows repeat; a text beyond a block's size is a block of its own; null, shared or text doc_ids are allowed (rows are known by block and place); extra columns are ignored; an empty table gives
 an empty result.
 """
 
@@ -33,6 +36,8 @@ PERIOD = 21
 COVER = (3, 6, 7, 12, 14)
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
+#: Buckets of hashes, at least and for each shuffle partition; a task holds one bucket at a time.
+LEAST_BUCKETS, BUCKETS_A_PART = 64, 4
 SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
@@ -139,22 +144,42 @@ def _send_anchors(batches: Iterator[pa.RecordBatch], window: int, buckets: int)
         yield _sent(block, _anchor_hashes(texts, window)[0], buckets)
 
 
-def _repeats(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[pa.RecordBatch]:
-    """Rows of whole buckets to a bit for each hash: whether another block has it, or its own block twice. A task holds
-    the hashes of its partition, so more shuffle partitions make it smaller."""
-    rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+def _answered(rows: list[tuple], kind: np.dtype) -> pa.RecordBatch:
+    """All rows of one bucket to a bit for each hash: whether another block has it, or its own block twice. A checksum of
+    the hashes goes back with the bits."""
     parts = [np.frombuffer(r[2], kind) for r in rows]
-    if not rows:
-        return
-    whole = np.concatenate(parts)
-    _, inverse, counts = np.unique(whole, return_inverse=True, return_counts=True)
+    _, inverse, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     more, lo = counts[inverse] > 1, 0
     out = []
     for r, p in zip(rows, parts):
         own = np.unpackbits(np.frombuffer(r[3], np.uint8), count=len(p)).astype(bool)
-        out.append(zlib.compress(np.packbits(own | more[lo : lo + len(p)]).tobytes(), 1))
+        out.append(_stamp(r[2]) + zlib.compress(np.packbits(own | more[lo : lo + len(p)]).tobytes(), 1))
         lo += len(p)
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array(out, pa.binary())], ["of_block", "bucket", "bits"])
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array(out, pa.binary())], ["of_block", "bucket", "bits"])
+
+
+def _repeats(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket to their answers, one bucket at a time; a block's note (its bucket is negative) passes through."""
+    now, rows = None, []
+    for batch in batches:
+        notes = pa.array(batch.column("bucket").to_numpy() < 0)
+        passed = batch.filter(notes)
+        if passed.num_rows:
+            yield pa.RecordBatch.from_arrays([passed.column("block"), passed.column("bucket"), passed.column("hashes")], ["of_block", "bucket", "bits"])
+        columns = [batch.column(c) for c in ("block", "bucket", "hashes", "twice")]
+        for i in range(passed.num_rows, batch.num_rows):
+            row = tuple(c[i].as_py() for c in columns)
+            if row[1] != now and rows:
+                yield _answered(rows, kind)
+                rows = []
+            now = row[1]
+            rows.append(row)
+    if rows:
+        yield _answered(rows, kind)
+
+
+def _stamp(hashes: bytes) -> bytes:
+    return zlib.crc32(hashes).to_bytes(4, "little")
 
 
 def _marks(hashes: np.ndarray, row: np.ndarray, at: np.ndarray, answers: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,10 +188,9 @@ def _marks(hashes: np.ndarray, row: np.ndarray, at: np.ndarray, answers: pa.Tabl
     bits = np.zeros(len(distinct), bool)
     for b, raw in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()):
         n = int(begins[b + 1] - begins[b])
-        got = np.unpackbits(np.frombuffer(zlib.decompress(raw), np.uint8))
-        if not n <= len(got) < n + 8:
+        if raw[:4] != _stamp(distinct[begins[b] : begins[b + 1]].tobytes()):
             raise RuntimeError("a block differs between scans: the rows of a partition must come in the same order")
-        bits[begins[b] : begins[b + 1]] = got[:n]
+        bits[begins[b] : begins[b + 1]] = np.unpackbits(np.frombuffer(zlib.decompress(raw[4:]), np.uint8), count=n)
     return row[bits[place]], at[bits[place]]
 
 
@@ -188,21 +212,6 @@ def _send_windows(docs: pa.Table, answers: pa.Table, window: int, buckets: int)
     return pa.Table.from_batches([sent, note])
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As _repeats() for windows; a block's note passes through."""
-
-    def hashes() -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = pa.array(b.column("bucket").to_numpy() < 0)
-            notes.append(b.filter(own))
-            yield b.filter(pa.array(~own.to_numpy(zero_copy_only=False)))
-
-    notes: list[pa.RecordBatch] = []
-    yield from _repeats(hashes(), WINDOW_KIND)
-    for b in notes:
-        yield pa.RecordBatch.from_arrays([b.column("block"), b.column("bucket"), b.column("hashes")], ["of_block", "bucket", "bits"])
-
-
 def _finish(docs: pa.Table, answers: pa.Table, window: int, buckets: int, with_text: bool) -> pa.Table:
     docs = _in_order(docs)
     own = answers.column("bucket").to_numpy() < 0
@@ -262,13 +271,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
         raise ValueError(f"a window has at least {PERIOD} words")
     rows = docs.select("doc_id", "text")
     kind = dict(rows.dtypes)["doc_id"]
-    buckets = max(64, parts := int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(LEAST_BUCKETS, BUCKETS_A_PART * parts)
     bits = "of_block long, bucket int, bits binary"
-    anchors = rows.mapInArrow(lambda it: _send_anchors(it, window, buckets), _SENT).repartition(parts, "bucket")
+    anchors = rows.mapInArrow(lambda it: _send_anchors(it, window, buckets), _SENT).repartition(parts, "bucket").sortWithinPartitions("bucket")
     near = anchors.mapInArrow(lambda it: _repeats(it, ANCHOR_KIND), bits)
     # Both steps group the same rows by block: the texts are shuffled once, and that exchange is used again.
     blocks = rows.mapInArrow(_numbered, f"block long, place int, doc_id {kind}, text string")
     windows = blocks.groupBy("block").cogroup(near.groupBy("of_block")).applyInArrow(lambda a, b: _send_windows(a, b, window, buckets), _SENT)
-    repeats = windows.repartition(parts, "bucket").mapInArrow(_answer, bits)
+    repeats = windows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _repeats(it, WINDOW_KIND), bits)
     out = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, removed_from array<int>, removed_to array<int>" + (", kept_text string" if with_text else "")
     return blocks.groupBy("block").cogroup(repeats.groupBy("of_block")).applyInArrow(lambda a, b: _finish(a, b, window, buckets, with_text), out)

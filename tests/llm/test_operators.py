@@ -112,6 +112,17 @@ def test_substring_dedup(spark, docs, no_docs, rows):
     assert substring_dedup.remove_repeats(no_docs).count() == 0
 
 
+def test_substring_answers_of_another_block_are_refused():
+    kind = substring_dedup.ANCHOR_KIND
+    hashes = np.arange(1, 60, dtype="<u8").view(kind)
+    rows = np.arange(59)
+    answers = pa.Table.from_batches(list(substring_dedup._repeats(iter([substring_dedup._sent(0, hashes, 4), substring_dedup._sent(1, hashes[:9], 4)][:1]), kind)))
+    assert len(substring_dedup._marks(hashes, rows, rows, answers, 4)[0]) == 0
+    other = np.arange(2, 61, dtype="<u8").view(kind)  # as many, but not the same
+    with pytest.raises(RuntimeError):
+        substring_dedup._marks(other, rows, rows, answers, 4)
+
+
 def test_the_cover_meets_every_shift():
     c = set(substring_dedup.COVER)
     assert {(a - b) % substring_dedup.PERIOD for a in c for b in c} == set(range(substring_dedup.PERIOD))
