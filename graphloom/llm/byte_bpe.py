@@ -1,16 +1,20 @@
 """Byte-level BPE over a whole corpus: each distinct pre-token is encoded once.
 
 Documents are exploded, a block of them at a time, into their pre-tokens by position, kept as codes into the block's own
-word list. The word lists (not the occurrences) are dealt by a hash of the word, in packed rows of a block and a bucket;
-each distinct word is encoded once, and its ids are joined back to the blocks' codes, where every document is put
-together by position. What crosses the network grows with the distinct words of the blocks, not with the rows that an
-exploded table would have: one very common word is sent at most once from each block.
-
-Decoding joins the ids to the token-byte table. It has one row per token of the vocabulary file (50,256), so each task
-holds it whole; decode() is the same join for tables of ids from elsewhere.
-
-Inputs: null text counts as empty (no tokens); repeated rows and null or shared doc_ids give one result row each; extra
-columns are ignored; an empty table gives an empty result. A very long text is a block of its own.
+word list. One pass over the texts gives both: the codes are dealt by block and the word lists (not the occurrences) by a
+hash of the word, in packed rows of a block and a bucket. Each distinct word is encoded once, and its ids are joined back
+to the blocks' codes, where every document is put together by position. What crosses the network grows with the distinct
+words of the blocks, not with the rows that an exploded table would have: one very common word is sent at most once from
+each block.
+
+Decoding joins the token-byte table (one row per token of the vocabulary file: 50,256, so it is broadcast) to the distinct
+ids of each block; the documents' ids then become bytes by what was joined. decode() is the same join for tables of ids
+from elsewhere.
+
+Inputs: null text counts as empty (no tokens); repeated rows and null or shared doc_ids give one result row each, and a
+doc_id that is no whole number becomes null; extra columns are ignored; an empty table gives an empty result. A very long
+text is a block of its own. A block whose word list and codes stem from different runs of a task (a lost executor, and a
+source that gives its rows in another order) is an error, told by a checksum.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,26 +66,39 @@ class _Codes(dict):
         return out
 
 
-def _pack_words(words: list[str], codes: np.ndarray) -> bytes:
+def _packed(*parts: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def _unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _pack_words(words: list[str], codes: np.ndarray, stamp: int) -> bytes:
     raw = [w.encode() for w in words]
-    head = np.array([len(raw)], "<u4").tobytes() + np.diff(codes, prepend=0).astype("<u4").tobytes() + np.array([len(r) for r in raw], "<u4").tobytes()
-    return zlib.compress(head + b"".join(raw), 1)
+    head = np.array([len(raw), stamp], "<u4").tobytes() + np.diff(codes, prepend=0).astype("<u4").tobytes() + np.array([len(r) for r in raw], "<u4").tobytes()
+    return _packed(head, *raw)
 
 
-def _unpack_words(packed: bytes) -> tuple[list[bytes], np.ndarray]:
-    data = zlib.decompress(packed)
-    n = int.from_bytes(data[:4], "little")
-    codes, ends = np.frombuffer(data, "<u4", n, 4), np.cumsum(np.frombuffer(data, "<u4", n, 4 + 4 * n)).tolist()
-    text, at, out = data[4 + 8 * n :], 0, []
+def _unpack_words(packed: bytes) -> tuple[list[bytes], np.ndarray, int]:
+    """(words, steps of their codes, stamp of the block)"""
+    data = _unpacked(packed)
+    n, stamp = np.frombuffer(data, "<u4", 2).tolist()
+    codes, ends = np.frombuffer(data, "<u4", n, 8), np.cumsum(np.frombuffer(data, "<u4", n, 8 + 4 * n)).tolist()
+    text, at, out = data[8 + 8 * n :], 0, []
     for e in ends:
         out.append(text[at:e])
         at = e
-    return out, codes
+    return out, codes, stamp
+
+
+#: A row of codes (key: its block) or of words (key: -1 - bucket).
+_BLOCKS = "key long, block long, ids array<long>, lengths array<int>, data binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to one row per block with the codes of its documents by position or, if n_buckets, to its word list
-    dealt into buckets. Both count the same blocks and codes, as the rows of a partition come in the same order."""
+    """(doc_id, text) to a row per block with the codes of its documents by position, and rows with its word list dealt
+    into buckets."""
     import regex
     from pyspark import TaskContext
 
@@ -90,18 +108,18 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int) ->
         nonlocal number
         block = (part << 31) + number
         number += 1
-        if n_buckets:
-            buckets: list[list] = [[] for _ in range(n_buckets)]
-            for w in codes.words:
-                buckets[zlib.crc32(w.encode()) % n_buckets].append(w)
-            use = [b for b in range(n_buckets) if buckets[b]]
-            packed = [_pack_words(buckets[b], np.array([codes.words[w] for w in buckets[b]], np.int64)) for b in use]
-            return pa.RecordBatch.from_arrays([pa.array([block] * len(use), pa.int64()), pa.array(use, pa.int32()), pa.array(packed, pa.binary())], ["block", "bucket", "words"])
+        stamp = zlib.crc32("\n".join(codes.words).encode())
+        buckets: list[list] = [[] for _ in range(n_buckets)]
+        for w in codes.words:
+            buckets[zlib.crc32(w.encode()) % n_buckets].append(w)
+        use = [b for b in range(n_buckets) if buckets[b]]
+        words = [_pack_words(buckets[b], np.array([codes.words[w] for w in buckets[b]], np.int64), stamp) for b in use]
         flat = np.frombuffer(b"".join(texts), "<u4")
         wide = 4 if len(codes.words) > 65536 else 2
-        rows = np.concatenate([flat & 255, *(flat >> 8 * k & 255 for k in range(1, wide))]).astype(np.uint8)  # byte planes pack well
-        head = np.array([wide, len(codes.words)], "<u4").tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([head + zlib.compress(rows.tobytes(), 1)], pa.binary())], ["block", "ids", "lengths", "codes"])
+        planes = np.concatenate([flat & 255, *(flat >> 8 * k & 255 for k in range(1, wide))]).astype(np.uint8)  # byte planes pack well
+        head = np.array([wide, len(codes.words), stamp], "<u4").tobytes()
+        none = [None] * len(use)
+        return pa.RecordBatch.from_arrays([pa.array([block, *(-1 - b for b in use)], pa.int64()), pa.array([block] * (1 + len(use)), pa.int64()), pa.array([ids, *none], pa.list_(pa.int64())), pa.array([lengths, *none], pa.list_(pa.int32())), pa.array([head + _packed(planes.tobytes()), *words], pa.binary())], ["key", "block", "ids", "lengths", "data"])
 
     ids, lengths, texts, size, codes = [], [], [], 0, _Codes(find)
     for batch in batches:
@@ -111,12 +129,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, n_buckets: int) ->
                 yield out(ids, lengths, texts, codes)
                 ids, lengths, texts, size, codes = [], [], [], 0, _Codes(find)
             mine = b"".join(map(codes.__getitem__, PIECES.findall(text)))
-            if not n_buckets:
-                ids.append(doc)
-                lengths.append(len(mine) // 4)
-                texts.append(mine)
+            ids.append(doc)
+            lengths.append(len(mine) // 4)
+            texts.append(mine)
             size += len(text)
-    if ids or codes.words:
+    if ids:
         yield out(ids, lengths, texts, codes)
 
 
@@ -133,13 +150,17 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=_ranks(path), special_tokens={})
 
 
+_ENCODED = "of_block long, packed binary, tokens array<int>"
+
+
 def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    """Word lists of one bucket from all blocks to their ids: each distinct word of the task is encoded once."""
+    """Word lists of whole buckets from all blocks to their ids, and the distinct ids of each list. Each distinct word of the
+    task is encoded once."""
     encode, known = _encoding(path, pattern)._core_bpe.encode_single_piece, {}
     for batch in batches:
-        blocks, rows = [], []
-        for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words, codes = _unpack_words(packed)
+        rows, tokens = [], []
+        for packed in batch.column("data").to_pylist():
+            words, codes, stamp = _unpack_words(packed)
             out = []
             for w in words:
                 ids = known.get(w)
@@ -149,10 +170,10 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
             sizes = np.array([len(x) // 4 for x in out], "<u4").tobytes()
             flat = np.frombuffer(b"".join(out), "<u4")
             wide = 4 if len(flat) and flat.max() > 65535 else 2
-            head = np.array([len(words), wide], "<u4").tobytes()
-            blocks.append(block)
-            rows.append(zlib.compress(head + np.asarray(codes).astype("<u4").tobytes() + sizes + flat.astype(f"<u{wide}").tobytes(), 1))
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(rows, pa.binary())], ["block", "ids"])
+            head = np.array([len(words), wide, stamp], "<u4").tobytes()
+            rows.append(_packed(head, np.asarray(codes).astype("<u4").tobytes(), sizes, flat.astype(f"<u{wide}").tobytes()))
+            tokens.append(np.unique(flat).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(rows, pa.binary()), pa.array(tokens, pa.list_(pa.int32()))], ["of_block", "packed", "tokens"])
 
 
 def token_bytes(spark: SparkSession, path: str) -> DataFrame:
@@ -161,36 +182,39 @@ def token_bytes(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks.keys(), pa.binary())}))
 
 
-def _dictionary(packed: list[bytes], n_words: int) -> list[list[int]]:
+def _dictionary(packed: list[bytes], n_words: int, stamp: int) -> list[list[int]]:
     """ids by code, from the buckets' rows."""
     out: list = [None] * n_words
     for x in packed:
-        data = zlib.decompress(x)
-        n, wide = np.frombuffer(data, "<u4", 2).tolist()
-        codes = np.cumsum(np.frombuffer(data, "<u4", n, 8)).tolist()
-        sizes = np.frombuffer(data, "<u4", n, 8 + 4 * n).tolist()
-        ids, at = np.frombuffer(data, f"<u{wide}", -1, 8 + 8 * n).tolist(), 0
+        data = _unpacked(x)
+        n, wide, mine = np.frombuffer(data, "<u4", 3).tolist()
+        if mine != stamp:
+            break
+        codes = np.cumsum(np.frombuffer(data, "<u4", n, 12)).tolist()
+        sizes = np.frombuffer(data, "<u4", n, 12 + 4 * n).tolist()
+        ids, at = np.frombuffer(data, f"<u{wide}", -1, 12 + 8 * n).tolist(), 0
         for c, k in zip(codes, sizes):
             out[c] = ids[at : at + k]
             at += k
     if None in out:
-        raise RuntimeError("a block's word list and codes differ: the rows of a partition must come in the same order in each scan")
+        raise RuntimeError("a block's word list and codes differ: the rows of a partition must come in the same order in each run")
     return out
 
 
 def _documents(block: pa.Table, words: pa.Table) -> Iterator[tuple[list[list[int]], list[tuple[int, np.ndarray]]]]:
-    packed = words.column("ids").to_pylist()
-    for ids, lengths, codes in zip(*(block.column(c).to_pylist() for c in ("ids", "lengths", "codes"))):
-        wide, n_words = np.frombuffer(codes, "<u4", 2).tolist()
-        planes = np.frombuffer(zlib.decompress(codes[8:]), np.uint8).reshape(wide, -1).astype(np.uint32)
+    packed = [x for row in words.column("packed").to_pylist() for x in row]
+    for ids, lengths, codes in zip(*(block.column(c).to_pylist() for c in ("ids", "lengths", "data"))):
+        wide, n_words, stamp = np.frombuffer(codes, "<u4", 3).tolist()
+        planes = np.frombuffer(_unpacked(codes[12:]), np.uint8).reshape(wide, -1).astype(np.uint32)
         flat = sum(planes[k] << np.uint32(8 * k) for k in range(wide))
         ends = np.cumsum([0, *lengths])
-        yield _dictionary(packed, n_words), [(i, flat[ends[k] : ends[k + 1]]) for k, i in enumerate(ids)]
+        yield _dictionary(packed, n_words, stamp), [(i, flat[ends[k] : ends[k + 1]]) for k, i in enumerate(ids)]
 
 
-def _digests(block: pa.Table, words: pa.Table, path: str) -> pa.Table:
-    """Each document's ids by position, then the bytes that the token-byte table has for them."""
-    table = {rank: token for token, rank in _ranks(path).items()}
+def _digests(block: pa.Table, words: pa.Table) -> pa.Table:
+    """Each document's ids by position, then the bytes that the token-byte table, joined for the block, has for them."""
+    joined = [pair for row in words.column("joined").to_pylist() for pair in row or ()]
+    table = {pair["id"]: pair["bytes"] for pair in joined}
     doc, n_tokens, h_ids, h_raw = [], [], [], []
     for ids, documents in _documents(block, words):
         said = [" ".join(map(str, x)) for x in ids]
@@ -214,19 +238,26 @@ def _id_lists(block: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table([pa.array(doc, pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
 
-def _joined(docs: DataFrame, path: str, pattern: str, together, schema: str) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+def _joined(docs: DataFrame, path: str, pattern: str, together, schema: str, with_bytes: bool) -> DataFrame:
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, BUCKETS)
-    words = rows.mapInArrow(lambda it: _blocks(it, pattern, buckets), "block long, bucket int, words binary")
-    ids = words.repartition(parts, "bucket").select(F.col("block").alias("of_block"), "words").mapInArrow(lambda it: _encode(it, path, pattern), "block long, ids binary")
-    whole = rows.mapInArrow(lambda it: _blocks(it, pattern, 0), "block long, ids array<long>, lengths array<int>, codes binary")
-    return whole.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(together, schema)
+    # one exchange for both kinds of rows; the condition that tells them apart must stay above it, or each would cut the texts
+    dealt = rows.mapInArrow(lambda it: _blocks(it, pattern, buckets), _BLOCKS).repartition(parts, "key")
+    above = lambda c: F.when(F.monotonically_increasing_id() >= 0, c)
+    codes, words = dealt.filter(above(F.col("key") >= 0)), dealt.filter(above(F.col("key") < 0))
+    ids = words.mapInArrow(lambda it: _encode(it, path, pattern), _ENCODED).repartition(parts, "of_block")
+    of_block = ids.groupBy("of_block").agg(F.collect_list("packed").alias("packed"))
+    if with_bytes:
+        used = ids.groupBy("of_block").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens")).select("of_block", F.explode("tokens").alias("id"))
+        known = used.join(F.broadcast(token_bytes(docs.sparkSession, path)), "id").groupBy("of_block").agg(F.collect_list(F.struct("id", "bytes")).alias("joined"))
+        of_block = of_block.join(known, "of_block", "left")
+    return codes.groupBy("key").cogroup(of_block.groupBy("of_block")).applyInArrow(together, schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids array<int>) of docs (doc_id, text) by the ranks in `path`, each match of `pattern` by itself."""
-    return _joined(docs, path, pattern, _id_lists, "doc_id long, ids array<int>")
+    return _joined(docs, path, pattern, _id_lists, "doc_id long, ids array<int>", False)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -242,4 +273,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by a space), decoded_sha256 (of
     the bytes that the ids decode to)."""
-    return _joined(docs, path, pattern, lambda a, b: _digests(a, b, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _joined(docs, path, pattern, _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", True)
