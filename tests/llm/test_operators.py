@@ -346,14 +346,65 @@ def test_perspectives(spark):
     assert chat.perspectives(df.limit(0)).count() == 0
 
 
+def template(license, n=0):
+    return [t for k, t in license_scan.TEMPLATES if k == license][n]
+
+
+def scanned(spark, files):
+    df = spark.createDataFrame([(*f, 1, "x") for f in files], "doc_id long, path string, text string, row_key long, license string").repartition(3)
+    rows = license_scan.scan(df).collect()
+    assert len(rows) == len(files)
+    return rows
+
+
 def test_license_inheritance(spark):
-    apache, gpl = license_scan.TEMPLATES["Apache-2.0"], license_scan.TEMPLATES["GPL-3.0"]
+    apache, gpl = template("Apache-2.0"), template("GPL-3.0")
     files = [(1, "p/LICENSE", apache), (2, "p/a/b/x.py", "code"), (3, "p/a/LICENSE", gpl + "\nmore"), (4, "p/a/b/y.py", "# " + apache), (5, "q/z.py", "no licenses here"), (6, None, None), (7, "p/x.py", "")]
-    got = by_id(license_scan.scan(spark.createDataFrame(files, "doc_id long, path string, text string")))
+    got = {r["doc_id"]: r for r in scanned(spark, files)}
     assert {i: (r["license"], r["how"], r["from_dir"]) for i, r in got.items()} == {1: ("Apache-2.0", "own", None), 2: ("GPL-3.0", "inherited", "p/a"), 3: ("GPL-3.0", "own", None), 4: ("Apache-2.0", "own", None), 5: (None, "none", None), 6: (None, "none", None), 7: ("Apache-2.0", "inherited", "p")}
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 
 
+def test_license_texts_headers_and_identifiers(spark):
+    import textwrap
+
+    def wrapped(text, mark):
+        return "\n".join(mark + x for x in textwrap.wrap(text, 60))
+
+    mit, bsd2, bsd3, isc = template("MIT", 1), template("BSD-2-Clause"), template("BSD-3-Clause", 1), template("ISC")
+    code = "\n\nimport os\nprint(os.name)\n"
+    files = [
+        (1, "a/LICENSE", "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + wrapped(mit, "")),
+        (2, "b/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n"),
+        (3, "c/LICENSE.txt", "\n                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n"),
+        (4, "d/LICENSE", "Copyright (c) 2001, Someone\nAll rights reserved.\n\n" + wrapped(bsd3, "")),
+        (5, "e/LICENSE", "Copyright (c) 2001, Someone\n\n" + wrapped(bsd2, "")),
+        (6, "f/x.py", "# Copyright 2019 B\n#\n" + wrapped(template("Apache-2.0", 2), "# ") + code),
+        (7, "f/y.c", "/*\n" + wrapped(template("GPL-2.0", 2), " * ") + "\n */" + code),
+        (8, "f/z.c", "// " + wrapped(template("GPL-3.0", 3), "// ")[3:] + code),
+        (9, "f/s.py", "#!/bin/python\n# SPDX-License-Identifier: MIT" + code),
+        (10, "f/t.rs", "// SPDX-License-Identifier: GPL-2.0-or-later" + code),
+        (11, "g/LICENSE", wrapped(isc, "")),
+        (12, "h/readme", "The driver needs a license plate. He has the copyright of a song, and one licence to fish."),
+        (13, "i/l.py", "-- " + wrapped(template("LGPL-2.1", 1), "-- ")[3:] + code),
+    ]
+    got = {r["doc_id"]: (r["license"], r["how"]) for r in scanned(spark, files)}
+    want = ["MIT", "GPL-3.0", "Apache-2.0", "BSD-3-Clause", "BSD-2-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "MIT", "GPL-2.0", "ISC", None, "LGPL-2.1"]
+    assert got == {i + 1: (w, "own" if w else "none") for i, w in enumerate(want)}
+
+
+def test_license_ties_repeated_rows_and_shared_ids(spark, tmp_path):
+    mit, apache = template("MIT"), template("Apache-2.0")
+    files = [(1, "p/LICENSE", mit), (1, "p/LICENSE", mit), (2, "p/NOTICE", apache), (3, "p/x", "none"), (4, "q/x", mit), (4, "q/x", "text"), (None, "p/q/r", None), (5, "y", apache + "\n" + mit), (6, "z", "long " * 50_000 + "\n" + mit)]
+    rows = sorted([(r["doc_id"] or 0, r["license"] or "", r["how"], r["cosine"] or 0) for r in scanned(spark, files)])
+    # at equal cosine the smaller name decides
+    assert rows == [(0, "Apache-2.0", "inherited", 1.0), (1, "MIT", "own", 1.0), (1, "MIT", "own", 1.0), (2, "Apache-2.0", "own", 1.0), (3, "Apache-2.0", "inherited", 1.0), (4, "", "none", 0), (4, "MIT", "own", 1.0), (5, "Apache-2.0", "own", 1.0), (6, "MIT", "own", 1.0)]
+    (tmp_path / "Own-1.0.txt").write_text("You may use this work under the licence of the house, version one")
+    own = license_scan.read_templates(spark, str(tmp_path))
+    got = license_scan.scan(spark.createDataFrame([(1, "a", "x\nUse this work under the licence of the house, version one")], "doc_id long, path string, text string"), own).collect()
+    assert [(r["license"], r["how"]) for r in got] == [("Own-1.0", "own")]
+
+
 def test_html_extraction(spark):
     r = random.Random(4)
     pages, want = [], []
