@@ -42,25 +42,30 @@ def _those_kept(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the base rules or the divergence from their language reject go."""
+    """Rows that the base rules or the divergence from their language reject go: among them rows with null or empty text.
+    Equal rows get one verdict; rows that share a doc_id or have none are judged each by itself; an empty table stays empty,
+    as in every stage."""
     rows = _keyed(docs)
     return _those_kept(rows, quality.judge(_by_key(rows)))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, one row of the smallest doc_id stays; a row without doc_id only if the group has no other."""
+    """Of equal texts (null counts as empty), one row of the smallest doc_id stays; a row without doc_id only if the group has
+    no other."""
     rows = _keyed(docs)
     return _those_kept(rows, exact_dedup.deduplicate_split(_by_key(rows), F.xxhash64("doc_id") % 2 == 0))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays; a document without words is in no group and stays."""
+    """One row of each group of near copies stays, that of the smallest doc_id; a document without words (null and empty texts
+    among them) is in no group and stays."""
     rows = _keyed(docs)
     return _those_kept(rows, hyperminhash.near_duplicates(_by_key(rows)))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of repeated passages go; what is left of a changed text is joined by one space."""
+    """Words of repeated passages go; what is left of a changed text is joined by one space, and may be empty. A text of
+    which nothing goes, null among them, stays as it is. No row goes."""
     rows = _keyed(docs)
     cut = substring_dedup.remove_repeats(_by_key(rows), with_text=True).select(F.col("doc_id").alias("row_key"), "n_removed", "kept_text")
     changed = F.col("n_removed") > 0
@@ -70,7 +75,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of lexical neighbours."""
+    """Training sequences of lexical neighbours: every row is packed, one without text as its end id alone; rows that share a
+    doc_id or have none are packed each, under that id."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -84,7 +90,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the whole table. What a stage needed is dropped once its result is written; the tables that the last
+    one reads stay, as its result is not computed yet."""
+    docs, start = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(C.paths)
     for name, stage in STAGES[:-1]:
         docs = C.written(stage(spark, docs, sf_dir), name)
+        C.drop_since(spark, start, len(C.paths) - 1)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -41,13 +41,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Paths of the tables that written() made and drop_since() has not removed.
+paths: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: columns stay compressed and can be pruned when read again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_since(spark: SparkSession, first: int, last: int) -> None:
+    """Removes the tables paths[first:last]: what was made from them has been written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths[first:last]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    del paths[first:last]
+
+
 def unique_ids(docs: DataFrame) -> bool:
     """Whether doc_id is a whole number that no row lacks and no two rows share."""
     if dict(docs.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):

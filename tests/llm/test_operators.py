@@ -584,6 +584,103 @@ def test_pipeline_stages_with_repeated_shared_and_null_ids(spark, tmp_path):
     assert set(packed) == set(ids) and all(packed[i] == ids[i] for i in ids if i not in near_ids)
 
 
+def divergence(p, q):
+    p, q = np.array(p, float) / max(sum(p), 1), np.array(q, float) / max(sum(q), 1)
+    if not p.any() or not q.any():
+        return 0.0
+    m = (p + q) / 2
+    part = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m) if x > 0)
+    return np.sqrt(max(0.0, (part(p) + part(q)) / 2))
+
+
+def brute_quality(docs):
+    """The rows that stay, by the rules said plainly."""
+    facts = []
+    for row in docs:
+        text = row["text"] or ""
+        words = WORD.findall(text)
+        kind = row["lang"] if row["lang"] in quality.COMMON else "any"
+        sets = ["[A-Z]", "[0-9]", "[#*$%&|<>]", r"[\x20\x09-\x0D]", r"[!\"'()+,\-./:;=?@\[\\\]^_`{}~]"]
+        classes = [len(re.findall(c, text)) for c in sets]
+        classes += [len(text) - sum(classes), len(text.encode()) - len(text)]
+        low = collections.Counter(w.lower() for w in words)
+        listed = lambda names: [low[w] for w in names] + [len(words) - sum(low[w] for w in names)]  # noqa: E731, B023
+        grams = collections.Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+        again = {p for k in range(len(words) - 4) if grams[tuple(words[k : k + 5])] > 1 for p in range(k, k + 5)}
+        facts.append((row, kind, len(words), classes, listed(quality.COMMON.get(kind, quality.ANY)), listed(quality.ANY), len(again)))
+    enough = [f for f in facts if f[2] >= quality.MIN_WORDS]
+    total = lambda rows: np.sum(rows, axis=0) if len(rows) else [0]
+    out = []
+    for row, kind, n, classes, common, _, again in facts:
+        peers = enough if kind == "any" else [f for f in enough if f[1] == kind]
+        far = n >= quality.MIN_WORDS and (divergence(classes, total([f[3] for f in peers])) > quality.MAX_CLASSES or divergence(common, total([f[5 if kind == "any" else 4] for f in peers])) > quality.MAX_COMMON)
+        if not (n < 10 or 100 * again > 20 * n or far):
+            out.append(row)
+    return out
+
+
+def brute_pipeline(docs):
+    """Rows after quality rules, exact, near and substring dedup, for unique ids."""
+    stages, by = [brute_quality(docs)], {}
+    for row in sorted(stages[-1], key=lambda r: r["doc_id"]):
+        by.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", row["text"] or ""), row)
+    stages.append(list(by.values()))
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets, parent = {}, {}
+    for row in stages[-1]:
+        w = WORD.findall((row["text"] or "").translate(lower))
+        sets[row["doc_id"]] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        parent[row["doc_id"]] = row["doc_id"]
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    stages.append([row for row in stages[-1] if find(row["doc_id"]) == row["doc_id"]])
+    counts, words = collections.Counter(), {}
+    for row in stages[-1]:
+        w = words[row["doc_id"]] = WORD.findall(row["text"] or "")
+        counts.update(tuple(w[k : k + 35]) for k in range(len(w) - 34))
+    cut = []
+    for row in stages[-1]:
+        w = words[row["doc_id"]]
+        gone = {p for k in range(len(w) - 34) if counts[tuple(w[k : k + 35])] > 1 for p in range(k, k + 35)}
+        cut.append(row | {"text": " ".join(x for p, x in enumerate(w) if p not in gone)} if gone else row)
+    return [*stages, cut]
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*corpus_pipeline.COLUMNS).limit(170).collect()
+    rows = [r.asDict() for r in docs]
+    r = random.Random(21)
+    for k in range(30):  # more copies, near copies and passages than so few rows have, and languages that no list has
+        a, b = r.choice(rows[:170]), r.choice(rows[:170])
+        text = [a["text"], f"{a['text']} end", f"{b['text']} {' '.join((a['text'] or '').split()[:50])}"][k % 3]
+        rows.append(a | {"doc_id": 10_000 + k, "text": text, "lang": [a["lang"], None, "xx"][k % 3], "n_chars": len(text)})
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    want, docs = brute_pipeline(rows), spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for (name, stage), expected in zip(corpus_pipeline.STAGES[:-1], want):
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
+        assert {x["doc_id"]: x["text"] for x in docs.collect()} == {x["doc_id"]: x["text"] for x in expected}, name
+    assert len(rows) > len(want[0]) > len(want[1]) > len(want[2]) and want[2] != want[3]
+    tok, pieces = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), collections.defaultdict(list)
+    for x in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        pieces[x["doc_id"]].append((x["start"], x["length"], x["ids_crc32"]))
+    ids = {x["doc_id"]: tok.encode(x["text"] or "", add_special_tokens=False).ids + [1] for x in want[-1]}
+    assert set(pieces) == set(ids)
+    for i, parts in pieces.items():
+        assert sum(n for _, n, _ in parts) == len(ids[i])
+        assert all(zlib.crc32(np.array(ids[i][a : a + n], "<u4").tobytes()) == c for a, n, c in parts)
+
+
 def test_components_equal_union_find(spark):
     draw, n = random.Random(5), 200
     pairs = [(i, i + 1) for i in range(40)] + [(draw.randrange(50, 120), draw.randrange(50, 120)) for _ in range(45)] + [(130, x) for x in range(121, 160)] + [(7, 7)]
