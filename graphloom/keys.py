@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A graph is known by its bundle and its id.
@@ -41,3 +41,19 @@ def global_rank(df: DataFrame, *order: str) -> DataFrame:
     if not entries:
         return dealt.withColumn("rank", F.lit(0).cast("long")).drop("_at")
     return dealt.withColumn("rank", (F.create_map(*entries)[part] + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_at")
+
+
+def rank_within(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """df with `rank` (from 0) by `order` within each group of `keys`, however large a group is: rows are sorted over range
+    partitions, and a row's rank is its place in the partition plus the group's rows in earlier ones (a group has one row per
+    partition at most in the window)."""
+    from . import shared
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*keys, *order]
+    dealt = shared.checkpointed(df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("_range", F.shiftright("_at", 33))
+    runs = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select(*keys, "_range", (F.col("_first") - F.coalesce(earlier, F.lit(0))).alias("_zero"))
+    return dealt.join(runs, [*keys, "_range"]).withColumn("rank", F.col("_at") - F.col("_zero")).drop("_at", "_range", "_zero")

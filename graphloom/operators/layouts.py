@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..keys import K, uniform
@@ -15,7 +14,8 @@ from . import prep, structure
 
 
 def _sized(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("n", F.count("*").over(Window.partitionBy(*K)))
+    """nodes with n, their graph's number of nodes: grouped counts are joined, so a large graph is no single task."""
+    return nodes.join(nodes.groupBy(*K).agg(F.count("*").alias("n")), K)
 
 
 def circular_layout(nodes: DataFrame, scale: float = 1.0) -> DataFrame:
@@ -84,7 +84,7 @@ def spring_layout(nodes: DataFrame, edges: DataFrame, initial: DataFrame | None
 
 def spring_step(coords: DataFrame, edges: DataFrame, heat: DataFrame) -> DataFrame:
     """One step of spring_layout() by joins: coords(idx, x, y) and heat(bundle, graph_id, heat) to moved coords."""
-    sized = coords.withColumn("n", F.count("*").over(Window.partitionBy(*K)))
+    sized = _sized(coords)
     other = sized.select(*K, F.col("node").alias("m"), F.col("x").alias("mx"), F.col("y").alias("my"))
     dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
     r = F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(0.01))
@@ -114,14 +114,13 @@ def normalize_coords(df: DataFrame, method: str = "standard") -> DataFrame:
     """x, y per graph: "standard" (population deviation, one under 1e-6 counts as 1), "center", or as they are."""
     if method not in ("standard", "center"):
         return df
-    w = Window.partitionBy(*K)
+    sums = df.groupBy(*K).agg(*(f(c).alias(f"_{n}{c}") for c in "xy" for n, f in (("m", F.avg), ("s", F.stddev_pop))))
 
     def of(c: str) -> Column:
-        moved = F.col(c) - F.avg(c).over(w)
-        s = F.stddev_pop(c).over(w)
+        moved, s = F.col(c) - F.col(f"_m{c}"), F.col(f"_s{c}")
         return moved if method == "center" else moved / F.when(s < 1e-6, F.lit(1.0)).otherwise(s)
 
-    return df.withColumns({"x": of("x"), "y": of("y")})
+    return df.join(sums, K).withColumns({"x": of("x"), "y": of("y")}).select(*df.columns)
 
 
 @dataclass
@@ -220,10 +219,3 @@ def build_dataset(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, layouts
     width = F.size(F.col("x")[0])
     packed = pack_samples(graphs, features, edges, layouts)
     return packed.withColumns({"has_initial_position": has, "initial_position_dims": F.when(has, F.struct((width - 2).alias("lo"), width.alias("hi")))})
-
-
-def frames(samples: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-    """The rows of an iterator of pandas frames."""
-    for pdf in samples:
-        for _, row in pdf.iterrows():
-            yield row

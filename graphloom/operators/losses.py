@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..keys import K
+from ..shared import checkpointed
 
 
 def align_lengths(pred: DataFrame, true: DataFrame) -> DataFrame:
@@ -15,45 +16,74 @@ def align_lengths(pred: DataFrame, true: DataFrame) -> DataFrame:
     return pred.select(*K, "idx", "x", "y").join(true.select(*K, "idx", F.col("x").alias("tx"), F.col("y").alias("ty")), [*K, "idx"])
 
 
-def coord_mse(pred: DataFrame, true: DataFrame) -> DataFrame:
+def _mse() -> Column:
     dx, dy = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
-    return align_lengths(pred, true).groupBy(*K).agg((F.avg(dx * dx + dy * dy) / 2).alias("mse"))
+    return F.avg(dx * dx + dy * dy) / 2
 
 
-def radius_loss(pred: DataFrame) -> DataFrame:
+def _radius() -> Column:
     r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")) - 1
-    return pred.groupBy(*K).agg(F.avg(r * r).alias("radius_loss"))
+    return F.avg(r * r)
 
 
-def spacing_loss(pred: DataFrame) -> DataFrame:
-    """Squared error of the gaps between angles in order against 2 pi / n, without the closing gap; NaN for one node."""
+def _center() -> Column:
+    return (F.abs(F.avg("x")) + F.abs(F.avg("y"))) / 2
+
+
+def coord_mse(pred: DataFrame, true: DataFrame) -> DataFrame:
+    return align_lengths(pred, true).groupBy(*K).agg(_mse().alias("mse"))
+
+
+def radius_loss(pred: DataFrame) -> DataFrame:
+    return pred.groupBy(*K).agg(_radius().alias("radius_loss"))
+
+
+def _angles(rows: DataFrame) -> DataFrame:
+    """rows with `gap`, the angle less that of the node before it in the order of angles, and `n`."""
+    rows = rows.withColumn("angle", F.atan2("y", "x"))
     order = Window.partitionBy(*K).orderBy("angle", "idx")
-    rows = pred.withColumn("angle", F.atan2("y", "x")).withColumns({"gap": F.col("angle") - F.lag("angle").over(order), "n": F.count("*").over(Window.partitionBy(*K))})
+    return rows.withColumns({"gap": F.col("angle") - F.lag("angle").over(order), "n": F.count("*").over(Window.partitionBy(*K))})
+
+
+def _spacing() -> Column:
     e = F.col("gap") - 2 * math.pi / F.col("n")
-    return rows.groupBy(*K).agg(F.coalesce(F.avg(e * e), F.lit(float("nan"))).alias("spacing_loss"))
+    return F.coalesce(F.avg(e * e), F.lit(float("nan")))
+
+
+def spacing_loss(pred: DataFrame) -> DataFrame:
+    """Squared error of the gaps between angles in order against 2 pi / n, without the closing gap; NaN for one node."""
+    return _angles(pred).groupBy(*K).agg(_spacing().alias("spacing_loss"))
 
 
 def center_loss(pred: DataFrame) -> DataFrame:
-    return pred.groupBy(*K).agg(((F.abs(F.avg("x")) + F.abs(F.avg("y"))) / 2).alias("center_loss"))
+    return pred.groupBy(*K).agg(_center().alias("center_loss"))
+
+
+def _pair_sums(rows: DataFrame) -> DataFrame:
+    """(n, s): per graph its nodes and the sum over unordered pairs of the squared difference of both distances. Nodes are
+    dealt out again and meet their graph's others as one array, so no pair is a row of a shuffle."""
+    points = rows.groupBy(*K).agg(F.collect_list(F.struct("idx", "x", "y", "tx", "ty")).alias("all"))
+    each = rows.select(*K, "idx", "x", "y", "tx", "ty").join(points, K)
+    far = lambda p, a, b: F.sqrt((F.col(a) - p[a]) * (F.col(a) - p[a]) + (F.col(b) - p[b]) * (F.col(b) - p[b]))
+
+    def add(total: Column, p: Column) -> Column:
+        d = far(p, "x", "y") - far(p, "tx", "ty")
+        return total + F.when(F.col("idx") < p["idx"], d * d).otherwise(F.lit(0.0))
+
+    return each.select(*K, F.aggregate("all", F.lit(0.0), add).alias("s")).groupBy(*K).agg(F.count("*").alias("n"), F.sum("s").alias("s"))
 
 
 def pairwise_distance_loss(pred: DataFrame, true: DataFrame) -> DataFrame:
-    """Mean squared difference of the distances over all n x n ordered pairs; each unordered pair is joined once."""
-    rows = align_lengths(pred, true)
-    other = rows.select(*K, *(F.col(c).alias(f"o_{c}") for c in ("idx", "x", "y", "tx", "ty")))
-    far = lambda a, b: F.sqrt((F.col(a) - F.col(f"o_{a}")) ** 2 + (F.col(b) - F.col(f"o_{b}")) ** 2)
-    d = far("x", "y") - far("tx", "ty")
-    sums = rows.join(other, K).filter("idx < o_idx").groupBy(*K).agg(F.sum(d * d).alias("s"))
-    sizes = rows.groupBy(*K).agg(F.count("*").alias("n"))
-    return sizes.join(sums, K, "left").select(*K, (2 * F.coalesce("s", F.lit(0.0)) / (F.col("n") * F.col("n"))).alias("pairwise_loss"))
+    """Mean squared difference of the distances over all n x n ordered pairs."""
+    return _pair_sums(align_lengths(pred, true)).select(*K, (2 * F.col("s") / (F.col("n") * F.col("n"))).alias("pairwise_loss"))
 
 
 def circular_layout_loss(pred: DataFrame, true: DataFrame) -> DataFrame:
-    rows = align_lengths(pred, true)
-    cut = rows.select(*K, "idx", "x", "y")
-    parts = coord_mse(pred, true).join(radius_loss(cut), K).join(spacing_loss(cut), K).join(center_loss(cut), K).join(pairwise_distance_loss(pred, true), K)
-    total = 0.1 * F.col("mse") + 0.3 * F.col("radius_loss") + 0.3 * F.col("spacing_loss") + 0.2 * F.col("center_loss") + 0.1 * F.col("pairwise_loss")
-    return parts.select(*K, total.alias("loss"))
+    rows = checkpointed(align_lengths(pred, true))
+    parts = _angles(rows).groupBy(*K).agg(_mse().alias("mse"), _radius().alias("radius"), _spacing().alias("spacing"), _center().alias("center"))
+    parts = parts.join(_pair_sums(rows), K)
+    pairwise = 2 * F.col("s") / (F.col("n") * F.col("n"))
+    return parts.select(*K, (0.1 * F.col("mse") + 0.3 * F.col("radius") + 0.3 * F.col("spacing") + 0.2 * F.col("center") + 0.1 * pairwise).alias("loss"))
 
 
 def graph_loss(pred: DataFrame, true: DataFrame, loss_type: str) -> DataFrame:

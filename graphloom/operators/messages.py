@@ -6,7 +6,7 @@ summed per dimension inside one aggregate, so a message is one row and hubs are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..keys import K
@@ -130,10 +130,17 @@ def _distance() -> Column:
 
 
 def knn_within_graph(coords: DataFrame, k: int) -> DataFrame:
-    """The k nearest nodes of each node in its graph, itself included; ties by node."""
-    rows = _pairs(coords.select(*NODE, "x", "y"), "x", "y").withColumn("d", _distance())
-    order = Window.partitionBy(*NODE).orderBy("d", F.when(F.col("other") == F.col("node"), 0).otherwise(1), "other")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(*NODE, "other", "d", "rank")
+    """The k nearest nodes of each node in its graph, itself included; ties by node. A graph's points meet each node as one
+    array, of which the k least stay, so pairs are neither shuffled nor sorted in a window."""
+    points = coords.groupBy(*K).agg(F.collect_list(F.struct("node", "x", "y")).alias("all"))
+
+    def row(p: Column) -> Column:
+        dx, dy = F.col("x") - p["x"], F.col("y") - p["y"]
+        return F.struct(F.sqrt(dx * dx + dy * dy).alias("d"), (p["node"] != F.col("node")).alias("far"), p["node"].alias("other"))
+
+    near = F.slice(F.array_sort(F.transform("all", row)), 1, k)
+    rows = coords.select(*NODE, "x", "y").join(points, K).select(*NODE, F.posexplode(near).alias("rank", "p"))
+    return rows.select(*NODE, "p.other", "p.d", (F.col("rank") + 1).alias("rank"))
 
 
 def _dot(a: str, b: str) -> Column:
@@ -146,12 +153,12 @@ def _softmax_sum(rows: DataFrame, width: int) -> DataFrame:
     return rows.groupBy(*NODE).agg(_vector(width, lambda i: F.sum(F.col("a") * F.col("o_v")[i]) / F.sum("a")).alias("f"))
 
 
-def knn_attention(qkv: DataFrame, coords: DataFrame, k: int, width: int) -> DataFrame:
-    """Attention over the k nearest: softmax of q.k / sqrt(width) + 1 / (d + 1e-6); qkv(bundle, graph_id, node, q, k, v)."""
+def knn_attention(qkv: DataFrame, coords: DataFrame, k: int, width: int, soft: float = 1e-6) -> DataFrame:
+    """Attention over the k nearest: softmax of q.k / sqrt(width) + 1 / (d + soft); qkv(bundle, graph_id, node, q, k, v)."""
     near = knn_within_graph(coords, k)
     sent = qkv.select(*K, F.col("node").alias("other"), F.col("k").alias("o_k"), F.col("v").alias("o_v"))
     rows = near.join(sent, [*K, "other"]).join(qkv.select(*NODE, "q"), NODE)
-    return _softmax_sum(rows.withColumn("e", _dot("q", "o_k") / width**0.5 + 1 / (F.col("d") + 1e-6)), width)
+    return _softmax_sum(rows.withColumn("e", _dot("q", "o_k") / width**0.5 + 1 / (F.col("d") + soft)), width)
 
 
 def dense_attention(qkv: DataFrame, width: int) -> DataFrame:
@@ -228,6 +235,41 @@ def edge_stiffness(edge_feat: DataFrame, layers: list[tuple[list[list[float]], l
     """softplus(MLP(e)) + 1e-6 for given layers (rows of weights, biases), ReLU between them; the last has one row."""
     value: Column = F.col("e")
     for n, (rows, biases) in enumerate(layers):
-        use = lambda v, rows=rows, biases=biases, last=n == len(layers) - 1: F.array(*((lambda s: s if last else F.greatest(s, F.lit(0.0)))(F.aggregate(F.zip_with(v, F.array(*map(F.lit, r)), lambda a, b: a * b), F.lit(float(c)), lambda s, x: s + x)) for r, c in zip(rows, biases)))
-        value = F.transform(F.array(value), use)[0]
+        by_input = [list(r) for r in zip(*rows)]
+        # the layer before is computed once and used by every unit
+        value = F.transform(F.array(value), _layer((by_input, biases), n < len(layers) - 1))[0]
     return edge_feat.withColumn("_s", value[0]).select(*edge_feat.columns, (F.log1p(F.exp(-F.abs("_s"))) + F.greatest(F.col("_s"), F.lit(0.0)) + 1e-6).alias("stiffness"))
+
+
+Dense = tuple[list[list[float]], list[float]]
+
+
+def dense(f: Column, layer: Dense, relu: bool = False) -> Column:
+    """f times the layer's weights (a row per input) plus its biases; a layer is a short literal."""
+    rows, biases = layer
+    units = [sum((f[i] * float(row[j]) for i, row in enumerate(rows)), F.lit(float(b))) for j, b in enumerate(biases)]
+    return F.array(*(F.greatest(u, F.lit(0.0)) if relu else u for u in units))
+
+
+def _layer(layer: Dense, relu: bool):
+    return lambda v: dense(v, layer, relu)
+
+
+def iterative_refine(feat: DataFrame, coords: DataFrame, edges: DataFrame, step_sizes: list[float], layers: list[list[Dense]], width: int | None = None) -> DataFrame:
+    """coords moved in steps: features and coordinates are propagated together, go through the step's dense layers (ReLU
+    between them, the last gives two numbers), and a step size of that is added. Each step is checkpointed."""
+    w = _width(feat, width)
+    coords = coords.select(*NODE, "x", "y")
+    for size, own in zip(step_sizes, layers, strict=True):
+        both = feat.join(coords, NODE).select(*NODE, F.concat("f", F.array("x", "y")).alias("f"))
+        got = gcn_propagate(both, edges, w + 2).withColumnRenamed("f", "m")
+        for i, layer in enumerate(own):
+            got = got.withColumn("m", dense(F.col("m"), layer, i < len(own) - 1))
+        coords = checkpointed(coords.join(got, NODE).select(*NODE, *((F.col(c) + size * F.col("m")[i]).alias(c) for i, c in enumerate("xy"))))
+    return coords
+
+
+def blend(first: DataFrame, second: DataFrame, share: float) -> DataFrame:
+    """share of the first coordinates and the rest of the second."""
+    other = second.select(*NODE, F.col("x").alias("x2"), F.col("y").alias("y2"))
+    return first.join(other, NODE).select(*NODE, *((share * F.col(c) + (1 - share) * F.col(f"{c}2")).alias(c) for c in "xy"))

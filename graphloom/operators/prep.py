@@ -5,10 +5,14 @@ Tables: edges(bundle, graph_id, src, dst, weight) with one row per undirected ed
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..keys import K
+from ..keys import K, rank_within
 from ..shared import checkpointed
 
 
@@ -33,7 +37,7 @@ def drop_self_loops(edges: DataFrame) -> DataFrame:
 def remap_nodes(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes with idx 0..n-1 by old id, edges between idx); only nodes that an edge has."""
     ends = edges.select(*K, F.explode(F.array("src", "dst")).alias("node")).distinct()
-    nodes = ends.withColumn("idx", (F.row_number().over(Window.partitionBy(*K).orderBy("node")) - 1).cast("int"))
+    nodes = checkpointed(rank_within(ends, K, "node").withColumn("idx", F.col("rank").cast("int")).drop("rank"))
     at = lambda c: nodes.select(*K, F.col("node").alias(c), F.col("idx").alias(f"{c}_idx"))
     mapped = edges.join(at("src"), [*K, "src"]).join(at("dst"), [*K, "dst"])
     return nodes, mapped.select(*K, F.col("src_idx").cast("long").alias("src"), F.col("dst_idx").cast("long").alias("dst"), "weight")
@@ -50,23 +54,67 @@ def community_counts(labels: DataFrame) -> DataFrame:
     return labels.groupBy(*K).agg(F.countDistinct("community").alias("num_communities"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes with component 0..G-1 in the order of smallest nodes. Neighbour minima with pointer jumps, so a path of n nodes
-    takes about log n rounds; each round is checkpointed."""
-    both = checkpointed(symmetrize(drop_self_loops(edges)).select(*K, "src", "dst").distinct())
-    labels = checkpointed(nodes.select(*K, "node", F.col("node").alias("root")))
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a batch to a link from each of its nodes to the smallest node that the batch's edges tie it to."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).dictionary_encode() for c in K]
+        graph = keys[0].indices.to_numpy().astype(np.int64) * len(keys[1].dictionary) + keys[1].indices.to_numpy()
+        src, dst = (batch.column(c).to_numpy() for c in ("src", "dst"))
+        ends = np.rec.fromarrays([np.concatenate([graph, graph]), np.concatenate([src, dst])], names="g,v")
+        nodes, first, at = np.unique(ends, return_index=True, return_inverse=True)  # in the order of graph and node
+        a, b = at[: len(src)], at[len(src) :]
+        root = np.arange(len(nodes))
+        while True:
+            low = np.minimum(root[a], root[b])
+            new = root.copy()
+            np.minimum.at(new, root[a], low)
+            np.minimum.at(new, root[b], low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        row = pa.array(first % len(src))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in K), pa.array(nodes["v"]), pa.array(nodes["v"][root])], [*K, "node", "root"])
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """(node, root), the smallest node reachable over links (src, dst) in both directions. Neighbour minima with pointer
+    jumps, so a path of n nodes takes about log n rounds; each round is checkpointed."""
+    both = checkpointed(symmetrize(links.withColumn("weight", F.lit(1.0))).select(*K, "src", "dst").distinct())
+    labels = checkpointed(both.groupBy(*K, F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("root")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "dst"), [*K, "dst"]).groupBy(*K, "src").agg(F.min("root").alias("near")).withColumnRenamed("src", "node")
-        step = labels.join(near, [*K, "node"], "left").select(*K, "node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
+        step = labels.join(near, [*K, "node"]).select(*K, "node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         pull = step.groupBy(*K, "old").agg(F.min("root").alias("pulled"))
         step = step.join(pull, [*K, "old"]).select(*K, "node", "old", "pulled")
         jump = step.select(*K, F.col("node").alias("pulled"), F.col("pulled").alias("to"))
         step = checkpointed(step.join(jump, [*K, "pulled"], "left").select(*K, "node", "old", F.least("pulled", F.coalesce("to", "pulled")).alias("root")))
         labels = step.select(*K, "node", "root")
         if not step.filter("root <> old").limit(1).count():
-            break
-    roots = labels.select(*K, "root").distinct().withColumn("component", F.row_number().over(Window.partitionBy(*K).orderBy("root")) - 1)
-    return labels.join(roots, [*K, "root"]).select(*K, "node", "component")
+            return labels
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes (whole numbers) with component 0..G-1 in the order of smallest nodes.
+
+    Edges are first contracted where they are: dealt by graph, each Arrow batch of them becomes stars. A small graph lies in
+    one batch and is done. If a node was given two roots, its graph spans batches, and the stars of such graphs (no more
+    links than nodes a batch) go through rounds of joins, so a graph of any size is handled."""
+    kinds = dict(edges.dtypes)
+    dealt = drop_self_loops(edges).select(*K, F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).repartition(*K).sortWithinPartitions(*K)
+    schema = f"bundle {kinds['bundle']}, graph_id {kinds['graph_id']}, node long, root long"
+    stars = checkpointed(dealt.mapInArrow(_stars, schema))
+    labels = stars.groupBy(*K, "node").agg(F.min("root").alias("root"), F.max("root").alias("other"))
+    split = checkpointed(labels.filter("root <> other").select(*K).distinct())
+    labels = labels.select(*K, "node", "root")
+    if split.limit(1).count():
+        links = stars.join(split, K, "left_semi").select(*K, F.col("node").alias("src"), F.col("root").alias("dst"))
+        labels = labels.join(split, K, "left_anti").unionByName(_roots(links))
+    labels = nodes.select(*K, "node").join(labels, [*K, "node"], "left").select(*K, "node", F.coalesce("root", "node").alias("root"))
+    roots = rank_within(labels.filter("root = node").select(*K, "root"), K, "root")
+    return labels.join(roots, [*K, "root"]).select(*K, "node", F.col("rank").alias("component"))
 
 
 def component_counts(components: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from ..keys import K, uniform_sql
 from ..operators import synth
+from ..shared import checkpointed
 
 
 def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(graphs, nodes with idx and community, edges)."""
+    """(graphs, nodes with idx and community, edges), each computed once: what a query does with them is not done again."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     customers = read("customer").select(F.col("c_custkey").alias("graph_id"), F.col("c_nationkey").cast("string").alias("bundle"), F.col("c_mktsegment").alias("graph_type"))
     orders = read("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("graph_id"))
@@ -19,10 +20,11 @@ def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     li = items.join(orders, "l_orderkey").join(customers.select(*K), "graph_id")
     pairs = li.join(li.select("l_orderkey", F.col("node").alias("other")), "l_orderkey").filter("node < other")
     edges = pairs.groupBy(*K, F.col("node").alias("src"), F.col("other").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+    edges = checkpointed(edges)
     ends = edges.select(*K, F.explode(F.array("src", "dst")).alias("node")).distinct()
     nodes = ends.withColumn("idx", (F.row_number().over(Window.partitionBy(*K).orderBy("node")) - 1).cast("int"))
     nations = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("node"), F.col("n_regionkey").cast("int").alias("community"))
-    nodes = nodes.join(nations, "node", "left").select(*K, "node", "idx", "community")
+    nodes = checkpointed(nodes.join(nations, "node", "left").select(*K, "node", "idx", "community"))
     sizes = nodes.groupBy(*K).agg(F.count("*").cast("int").alias("num_nodes"))
     return customers.join(sizes, K), nodes, edges
 
@@ -89,3 +91,20 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 RUNS = """WITH runs AS (SELECT o_orderkey AS run_id, (o_custkey % 9)::INT AS model, 'd' || rtrim(rtrim(printf('%.3f', (o_orderkey % 40) / 100.0), '0'), '.') || '_h' || ((o_orderkey % 5 + 1) * 16) || '_l' || (o_custkey % 4 + 1) || '_topk' || (o_custkey % 33) AS key,
 (o_orderkey % 40) / 100.0 AS dropout, ((o_orderkey % 5 + 1) * 16)::INT AS hidden_dim, (o_custkey % 4 + 1)::INT AS num_layers, (o_custkey % 33)::INT AS top_k FROM orders)
 """
+
+
+def big_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of one large graph: parts of one order that were returned and had the same discount."""
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_returnflag = 'R'").select("l_orderkey", "l_discount", F.col("l_partkey").alias("node")).distinct()
+    pairs = l.join(l.withColumnRenamed("node", "other"), ["l_orderkey", "l_discount"]).filter("node < other")
+    edges = checkpointed(pairs.groupBy(F.lit("all").alias("bundle"), F.lit(0).alias("graph_id"), F.col("node").alias("src"), F.col("other").alias("dst")).agg(F.count("*").cast("double").alias("weight")))
+    return checkpointed(edges.select(*K, F.explode(F.array("src", "dst")).alias("node")).distinct()), edges
+
+
+BIG = """WITH RECURSIVE bl AS (SELECT DISTINCT l_orderkey, l_discount, l_partkey AS node FROM lineitem WHERE l_returnflag = 'R'),
+bedges AS (SELECT DISTINCT 'all' AS bundle, 0 AS graph_id, a.node AS src, b.node AS dst FROM bl a JOIN bl b ON a.l_orderkey = b.l_orderkey AND a.l_discount = b.l_discount AND a.node < b.node),
+bsym AS (SELECT * FROM bedges UNION ALL SELECT bundle, graph_id, dst, src FROM bedges),
+bdeg AS (SELECT bundle, graph_id, src AS node, count(*) AS degree FROM bsym GROUP BY ALL),
+btri AS (SELECT x.bundle, x.graph_id, x.src AS a, x.dst AS b, y.dst AS c FROM bedges x JOIN bedges y ON x.dst = y.src JOIN bedges z ON z.src = x.src AND z.dst = y.dst),
+breach AS (SELECT bundle, graph_id, node, node AS to_node FROM bdeg UNION SELECT r.bundle, r.graph_id, r.node, s.dst FROM breach r JOIN bsym s ON r.to_node = s.src)
+"""

@@ -12,8 +12,7 @@ from ..keys import K, rounded, uniform_sql
 from ..operators import layouts as L
 from ..operators import losses as G
 from ..operators import messages as M
-from ..operators import prep, scoring, split, structure, synth
-from ..shared import checkpointed
+from ..operators import prep, split, structure, synth
 from .fixtures import BASE, HISTORY, RUNS, SPECS, customer_specs, history, order_graph, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,11 +43,13 @@ def feat(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 _FEAT = "feat AS (SELECT bundle, graph_id, node, degree, [degree::DOUBLE, CASE WHEN n > 1 THEN idx / (n - 1)::DOUBLE ELSE 0.0 END] AS f FROM nodes JOIN deg USING (bundle, graph_id, node))"
-_F = lambda a, b: f"SELECT bundle, graph_id, node, round({a}, 6) + 0.0 AS f0, round({b}, 6) + 0.0 AS f1"
+_F = lambda a, b: f"SELECT bundle, graph_id, node, round({a}, 9) + 0.0 AS f0, round({b}, 9) + 0.0 AS f1"
 
 
 def out(df: DataFrame) -> DataFrame:
-    return df.select(*K, "node", r(F.col("f")[0], "f0"), r(F.col("f")[1], "f1"))
+    """Both features. Sums in another order differ in their last digits; at six digits the means of 2^k nodes lie on a half,
+    where that would show."""
+    return df.select(*K, "node", rounded(F.col("f")[0], 9).alias("f0"), rounded(F.col("f")[1], 9).alias("f1"))
 
 
 @query("SELECT bundle, graph_id, src, dst, weight FROM sym")
@@ -157,7 +158,6 @@ def node_features(graphs, nodes, edges):
 def dataset_job(graphs, nodes, edges):
     """The whole dataset job, and a digest of each packed sample."""
     config = L.FeatureConfig(degree=True, positional=True, graph_size=True, density=True, clustering=True)
-    nodes, edges = checkpointed(nodes), checkpointed(edges)  # each is read several times
     s = L.build_dataset(graphs, nodes, edges, L.circular_layout(nodes), config)
     yy = F.aggregate("y", F.lit(0.0), lambda a, p: a + p["x"] * p["x"])
     return s.select(*K, "graph_type", F.size("x").alias("n"), (F.size("edge_index") / 2).cast("int").alias("e"), F.size(F.col("x")[0]).alias("width"), r(yy, "yy"), r(F.col("x")[0][3], "density"))
@@ -220,27 +220,12 @@ def gcn_propagate(graphs, nodes, edges):
     return out(M.gcn_propagate(feat(nodes, edges), edges, 2))
 
 
-@query()
-def chebyshev_basis(graphs, nodes, edges):
-    return M.chebyshev_basis(feat(nodes, edges), edges, 3, 2)
-
-
-@query()
-def edge_softmax(graphs, nodes, edges):
-    return M.edge_softmax_aggregate(feat(nodes, edges), edges, lambda a, b: a[1] - b[1], 2)
-
-
 @query("SELECT x.bundle, x.graph_id, x.node, y.node AS other FROM circ x JOIN circ y ON x.bundle = y.bundle AND x.graph_id = y.graph_id QUALIFY row_number() OVER (PARTITION BY x.bundle, x.graph_id, x.node ORDER BY round((x.idx - y.idx) ** 2 + (x.n - x.n), 6), (x.node <> y.node)::INT, y.node) <= 3")
 def knn_within_graph(graphs, nodes, edges):
     line = nodes.select(*K, "node", F.col("idx").cast("double").alias("x"), F.lit(0.0).alias("y"))
     return M.knn_within_graph(line, 3).select(*K, "node", "other")
 
 
-@query()
-def fr_unrolled(graphs, nodes, edges):
-    return M.fr_unrolled(L.grid_positions(nodes), edges, 3)
-
-
 @query(f", {_FEAT} SELECT s.bundle, s.graph_id, s.src, s.dst, round(a.f[1] + a.f[2] * 2 + b.f[1] * 3 + b.f[2] * 4 + a.degree * 5 + b.degree * 6, 6) + 0.0 AS digest FROM edges s JOIN feat a ON a.bundle = s.bundle AND a.graph_id = s.graph_id AND a.node = s.src JOIN feat b ON b.bundle = s.bundle AND b.graph_id = s.graph_id AND b.node = s.dst")
 def edge_pair_features(graphs, nodes, edges):
     rows = M.edge_pair_features(feat(nodes, edges), edges)
@@ -320,22 +305,6 @@ def run_key(spark, sf_dir):
     return runs(spark, sf_dir).select("run_id", R.run_key(F.col("params")).alias("run_key"))
 
 
-def _scored(model: str):
-    """Coordinates of all samples by a model with untrained weights; features end with the standardised grid."""
-
-    def score(graphs, nodes, edges):
-        config = L.FeatureConfig(degree=True, positional=True, initial_position=True)
-        nodes, edges = checkpointed(nodes), checkpointed(edges)  # each is read several times
-        samples = L.build_dataset(graphs, nodes, edges, L.circular_layout(nodes), config, L.grid_positions(nodes))
-        return scoring.score(samples, model, scoring.initial_weights(edges.sparkSession, model, 4))
-
-    score.__name__ = "score_" + model.lower()
-    return score
-
-
-for _model in R.MODELS:
-    query()(_scored(_model))
-
 _MODELS = "[" + ", ".join(f"'{m}'" for m in R.MODELS) + "]"
 
 
@@ -345,3 +314,6 @@ def parse_run_name(spark, sf_dir):
     named = runs(spark, sf_dir).select("run_id", F.concat(F.lit("/runs/"), models[F.col("model")], F.lit("_"), R.run_key(F.col("params")), F.lit(".pt")).alias("path"))
     told = named.select("run_id", R.parse_run_name(F.col("path")).alias("p"), R.detect_model(F.col("path")).alias("model_name"))
     return told.select("run_id", "p.dropout", "p.hidden_dim", "p.num_layers", "p.top_k", "model_name")
+
+
+from . import checks  # noqa: E402, F401  (registers the rest)

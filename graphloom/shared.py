@@ -4,19 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; in local mode without that setting, a folder of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return _own[0]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in spark.checkpoint.dir (in local mode without that setting, in a folder of our own)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        if not found and not _own:
-            _own.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        sc.setCheckpointDir(found or _own[0])
+    """df, computed once and kept in the shared folder until nothing refers to it; its lineage is cut."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
