@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..keys import K, uniform
+from ..shared import checkpointed
 from . import prep, structure
 
 
@@ -177,18 +180,28 @@ def node_features(nodes: DataFrame, edges: DataFrame, config: FeatureConfig, gra
         rows = rows.join(graph if graph is not None else graph_features(nodes, edges), K)
     if "initial_position" in chosen:
         rows = rows.join(initial.select(*K, "node", F.col("x").alias("x0"), F.col("y").alias("y0")), [*K, "node"])
+    return rows.select(*K, "node", "idx", _vector(chosen, seed).alias("f"))
+
+
+def _vector(chosen: list[str], seed: int) -> Column:
+    """The chosen features in order, of rows that have n, idx and what else they need."""
     one = lambda c: F.array(F.col(c).cast("double"))
-    parts = {"degree": lambda: one("degree"), "positional": lambda: F.array(positional_feature(F.col("n"), F.col("idx"))), "onehot": lambda: onehot_feature(F.col("n"), F.col("idx")), "random": lambda: random_feature(seed, *K, "node"), "graph_size": lambda: one("n"), "density": lambda: one("density"), "density_norm": lambda: one("density_norm"), "clustering": lambda: one("clustering"), "clustering_norm": lambda: one("clustering_norm"), "initial_position": lambda: F.array("x0", "y0")}
-    return rows.select(*K, "node", "idx", F.concat(*(parts[c]() for c in chosen)).alias("f"))
+    parts = {"positional": lambda: F.array(positional_feature(F.col("n"), F.col("idx"))), "onehot": lambda: onehot_feature(F.col("n"), F.col("idx")), "random": lambda: random_feature(seed, *K, "node"), "graph_size": lambda: one("n"), "initial_position": lambda: F.array("x0", "y0")}
+    return F.concat(*(parts[c]() if c in parts else one(c) for c in chosen))
 
 
 def pack_samples(graphs: DataFrame, features: DataFrame, edges: DataFrame, layouts: DataFrame) -> DataFrame:
     """One row per graph: arrays in the order of idx, edges forward and then reversed, y standardised and as given."""
     cells = features.join(layouts.select(*K, "node", "layout_type", "x", "y"), [*K, "node"])
     cells = normalize_coords(cells.withColumns({"ox": F.col("x"), "oy": F.col("y")}))
+    return _packed(graphs.select(*K, "graph_type"), cells, edges, features)
+
+
+def _packed(graphs: DataFrame, cells: DataFrame, edges: DataFrame, places: DataFrame) -> DataFrame:
+    """Samples of cells (node, idx, f, layout_type, x, y, ox, oy); places: the idx of each node."""
     sorted_cells = F.array_sort(F.collect_list(F.struct("idx", "f", "x", "y", "ox", "oy")))
     per = cells.groupBy(*K).agg(F.first("layout_type").alias("layout_type"), sorted_cells.alias("c"))
-    at = lambda c: features.select(*K, F.col("node").alias(c), F.col("idx").cast("long").alias(f"{c}_i"))
+    at = lambda c: places.select(*K, F.col("node").alias(c), F.col("idx").cast("long").alias(f"{c}_i"))
     pairs = edges.join(at("src"), [*K, "src"]).join(at("dst"), [*K, "dst"]).groupBy(*K).agg(F.array_sort(F.collect_list(F.struct(F.col("src_i").alias("src"), F.col("dst_i").alias("dst")))).alias("e"))
     turned = F.transform("e", lambda p: F.struct(p["dst"].alias("src"), p["src"].alias("dst")))
     xy = lambda a, b: F.transform("c", lambda p: F.struct(p[a].alias("x"), p[b].alias("y")))
@@ -202,20 +215,47 @@ def unpack_samples(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def build_dataset(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, layouts: DataFrame, config: FeatureConfig, initial: DataFrame | None = None) -> DataFrame:
-    """Graphs joined to their layouts, features over all of them, invalid ones dropped, one packed sample per graph."""
+def _standard(c: str) -> Column:
+    """c less its graph's mean mean_c, by its deviation dev_c (one under 1e-6 counts as 1)."""
+    s = F.col(f"dev_{c}")
+    return (F.col(c) - F.col(f"mean_{c}")) / F.when(s < 1e-6, F.lit(1.0)).otherwise(s)
+
+
+def build_dataset(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, layouts: DataFrame, config: FeatureConfig, initial: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """Graphs joined to their layouts, features over all of them, invalid ones dropped, one packed sample per graph.
+
+    What is known of a node (coordinates, degree, triangles) is joined once, by graph and node, and kept; one aggregate of
+    that has a graph's sizes, statistics and flags, so a graph is dropped by the join that brings its features. A graph goes
+    without a layout, with an invalid coordinate, with a node that lacks one (or an initial position, where that is a
+    feature), and without edges.
+    """
     prep.validate_features({"use_onehot": config.onehot, "use_initial_position": config.initial_position}, graphs, initial)
-    graphs = graphs.join(layouts.select(*K).distinct(), K, "left_semi")
-    nodes = nodes.join(graphs.select(*K), K, "left_semi")
-    edges = edges.join(graphs.select(*K), K, "left_semi")
-    graph = graph_features(nodes, edges) if {"density", "clustering", "graph_size"} & set(config.chosen()) else None  # before any drop
-    layouts = prep.drop_incomplete_layouts(nodes, prep.drop_invalid_coords(layouts))
-    nodes = nodes.join(layouts.select(*K).distinct(), K, "left_semi")
-    start = None
-    if initial is not None:
-        start = normalize_coords(prep.drop_invalid_coords(initial))
-    features = node_features(nodes, edges, config, graph, start)
-    has = F.lit(config.initial_position)
-    width = F.size(F.col("x")[0])
-    packed = pack_samples(graphs, features, edges, layouts)
+    chosen, node = config.chosen(), [*K, "node"]
+    cells = nodes.select(*node, "idx").join(layouts.select(*node, "layout_type", "x", "y"), node, "left")
+    cells = cells.join(structure.degrees(nodes, edges), node)
+    coords = ["x", "y"]
+    if "clustering" in chosen:
+        cells = structure.with_clustering(cells, edges)
+    if config.initial_position:
+        start = prep.drop_invalid_coords(initial).select(*node, F.col("x").alias("x0"), F.col("y").alias("y0"))
+        cells, coords = cells.join(start, node, "left"), [*coords, "x0", "y0"]
+    cells = checkpointed(cells)
+    facts = [F.count("*").alias("n"), (F.sum("degree") / 2).alias("num_edges"), *(F.count(c).alias(f"have_{c}") for c in coords), *(f(c).alias(f"{k}_{c}") for c in coords for k, f in (("mean", F.avg), ("dev", F.stddev_pop)))]
+    if "clustering" in chosen:
+        facts.append(F.avg("clustering").alias("graph_clustering"))
+    flags = layouts.groupBy(*K).agg(F.max(prep.invalid("x") | prep.invalid("y")).alias("bad"))
+    graph = checkpointed(cells.groupBy(*K).agg(*facts).join(flags, K).join(graphs.select(*K, "graph_type"), K))
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    graph = graph.withColumn("density", F.when(F.col("n") > 1, F.col("num_edges") / pairs).otherwise(F.lit(0.0)))
+    if "clustering" in chosen:
+        graph = graph.withColumnRenamed("graph_clustering", "clustering")
+    graph = structure.zscore(graph, [c for c in ("density", "clustering") if f"{c}_norm" in chosen])  # before any drop
+    whole = [F.col(f"have_{c}") == F.col("n") for c in coords]
+    kept = graph.filter(~F.col("bad") & reduce(and_, whole))
+    rows = cells.drop("clustering").join(kept, K)
+    if config.initial_position:
+        rows = rows.withColumns({"x0": _standard("x0"), "y0": _standard("y0")})
+    rows = rows.select(*node, "idx", "layout_type", _vector(chosen, seed).alias("f"), _standard("x").alias("x"), _standard("y").alias("y"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    has, width = F.lit(config.initial_position), F.size(F.col("x")[0])
+    packed = _packed(graphs.select(*K, "graph_type"), rows, edges, cells)
     return packed.withColumns({"has_initial_position": has, "initial_position_dims": F.when(has, F.struct((width - 2).alias("lo"), width.alias("hi")))})

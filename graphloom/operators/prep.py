@@ -130,13 +130,13 @@ def drop_edgeless(graphs: DataFrame, edges: DataFrame) -> DataFrame:
     return graphs.join(edges.select(*K), K, "left_semi")
 
 
-def _bad(c: str) -> Column:
-    return F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+def invalid(c: str) -> Column:
+    return F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(True))
 
 
 def drop_invalid_coords(layouts: DataFrame) -> DataFrame:
     """Layouts of graphs without any NaN or infinite coordinate."""
-    bad = layouts.filter(_bad("x") | _bad("y")).select(*K).distinct()
+    bad = layouts.filter(invalid("x") | invalid("y")).select(*K).distinct()
     return layouts.join(bad, K, "left_anti")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..keys import K
+from ..shared import checkpointed
 from .prep import symmetrize
 
 
@@ -31,17 +32,22 @@ def triangles(edges: DataFrame) -> DataFrame:
     side = lambda c: deg.select(*K, F.col("node").alias(c), F.col("d").alias(f"d_{c}"))
     rows = edges.select(*K, "src", "dst").join(side("src"), [*K, "src"]).join(side("dst"), [*K, "dst"])
     forward = F.struct("d_src", "src") < F.struct("d_dst", "dst")
-    out = rows.select(*K, F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("b"))
+    out = checkpointed(rows.select(*K, F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("b")))
     wedge = out.join(out.select(*K, "a", F.col("b").alias("c")), [*K, "a"]).filter("b < c")
     closing = edges.select(*K, F.least("src", "dst").alias("b"), F.greatest("src", "dst").alias("c"))
     found = wedge.join(closing, [*K, "b", "c"])
     return found.select(*K, F.explode(F.array("a", "b", "c")).alias("node")).groupBy(*K, "node").agg(F.count("*").alias("triangles"))
 
 
-def local_clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    d = degrees(nodes, edges).join(triangles(edges), [*K, "node"], "left")
+def with_clustering(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows, which have the nodes' degree, with their triangles and local clustering."""
     t, k = F.coalesce("triangles", F.lit(0)), F.col("degree")
-    return d.select(*K, "node", t.alias("triangles"), F.when(k > 1, 2 * t / (k * (k - 1))).otherwise(F.lit(0.0)).alias("clustering"))
+    rows = rows.join(triangles(edges), [*K, "node"], "left").withColumn("triangles", t)
+    return rows.withColumn("clustering", F.when(k > 1, 2 * F.col("triangles") / (k * (k - 1))).otherwise(F.lit(0.0)))
+
+
+def local_clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return with_clustering(degrees(nodes, edges), edges).select(*K, "node", "triangles", "clustering")
 
 
 def average_clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -50,6 +56,8 @@ def average_clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def zscore(df: DataFrame, cols: list[str], eps: float = 1e-6) -> DataFrame:
     """df with {col}_norm over all rows: sample deviation; under eps it is 0, and of a single row NaN."""
+    if not cols:
+        return df
     stats = df.agg(*(f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_samp))))
     out = df.crossJoin(F.broadcast(stats))  # one row
     for c in cols:
