@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, fields
 from functools import reduce
 from operator import and_
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,28 +62,89 @@ def spring_positions(xy: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: n
         heat -= cool
         if np.sqrt((move**2).sum()) / n < 1e-4:
             break
-    if scale is not None:
-        pos -= pos.mean(0)
-        pos *= scale / max(np.abs(pos).max(), 1e-300)
-    return pos
+    return pos if scale is None else _scaled(pos, scale)
 
 
-def spring_layout(nodes: DataFrame, edges: DataFrame, initial: DataFrame | None = None, iterations: int = 50, scale: float | None = None) -> DataFrame:
-    """Force-directed layout, one task call per graph (graphs of some thousand nodes); starts from the grid or `initial`."""
-    start = grid_positions(nodes) if initial is None else nodes.select(*K, "node", "idx").join(initial.select(*K, "node", "x", "y"), [*K, "node"])
+def _scaled(pos: np.ndarray, scale: float) -> np.ndarray:
+    pos = pos - pos.mean(0)
+    return pos * (scale / max(np.abs(pos).max(), 1e-300))
+
+
+#: Pairs of nodes that one numpy step takes together; a graph beyond it is a step of its own, in row blocks.
+STEP_PAIRS = 1 << 20
+
+
+def _springs(graphs: list[tuple[np.ndarray, ...]], iterations: int, scale: float | None) -> list[np.ndarray]:
+    """spring_positions() of several graphs (xy, src, dst, weight) side by side, padded to the largest."""
+    g, n = len(graphs), np.array([len(x[0]) for x in graphs])
+    m = int(n.max())
+    x, y = np.zeros((g, m)), np.zeros((g, m))
+    for i, (xy, *_) in enumerate(graphs):
+        x[i, : len(xy)], y[i, : len(xy)] = xy[:, 0], xy[:, 1]
+    real = np.arange(m) < n[:, None]
+    of = np.repeat(np.arange(g), [len(e[1]) for e in graphs])
+    src, dst, weight = (np.concatenate([e[j] for e in graphs]) for j in (1, 2, 3))
+    a, b, stiff = of * m + src, of * m + dst, weight * np.sqrt(n)[of]
+    reach = lambda v: np.where(real, v, -np.inf).max(1) - np.where(real, v, np.inf).min(1)
+    heat = 0.1 * np.maximum(reach(x), reach(y))
+    cool, live = heat / (iterations + 1), n > 1
+    for _ in range(iterations):
+        dx, dy = x[:, :, None] - x[:, None], y[:, :, None] - y[:, None]
+        push = real[:, None] / (n[:, None, None] * np.maximum(dx * dx + dy * dy, 0.01**2))
+        fx, fy = (dx * push).sum(2).ravel(), (dy * push).sum(2).ravel()
+        ex, ey = x.ravel()[a] - x.ravel()[b], y.ravel()[a] - y.ravel()[b]
+        pull = stiff * np.maximum(np.sqrt(ex * ex + ey * ey), 0.01)
+        for f, e in ((fx, ex * pull), (fy, ey * pull)):
+            f += np.bincount(b, e, g * m) - np.bincount(a, e, g * m)
+        size = np.sqrt(fx * fx + fy * fy)
+        by = (heat[:, None] * (real & live[:, None])).ravel() / np.where(size < 0.01, 0.1, size)
+        mx, my = (fx * by).reshape(g, m), (fy * by).reshape(g, m)
+        x, y, heat = x + mx, y + my, heat - cool
+        live = live & (np.sqrt((mx * mx + my * my).sum(1)) / n >= 1e-4)
+        if not live.any():
+            break
+    out = [np.stack([x[i, :k], y[i, :k]], 1) if k > 1 else np.zeros((1, 2)) for i, k in enumerate(n)]
+    return out if scale is None else [_scaled(pos, scale) if len(pos) > 1 else pos for pos in out]
+
+
+def _spring_rows(batches: Iterator[pa.RecordBatch], iterations: int, scale: float | None) -> Iterator[pa.RecordBatch]:
+    """Rows of whole graphs to rows of nodes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cut = {c: (batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy(zero_copy_only=False)) for c in ("node", "x", "y", "src", "dst", "weight")}
+        part = lambda c, i, cut=cut: cut[c][1][cut[c][0][i] : cut[c][0][i + 1]]
+        graphs = []
+        for i in range(batch.num_rows):
+            names = part("node", i)  # in order
+            graphs.append((np.stack([part("x", i), part("y", i)], 1), np.searchsorted(names, part("src", i)), np.searchsorted(names, part("dst", i)), part("weight", i)))
+        sizes = np.array([len(x[0]) for x in graphs])
+        order, done, lo = np.argsort(sizes, kind="stable"), {}, 0
+        while lo < len(order):
+            hi = lo + 1
+            while hi < len(order) and (hi + 1 - lo) * sizes[order[hi]] ** 2 <= STEP_PAIRS:
+                hi += 1
+            some = order[lo:hi]
+            one = hi == lo + 1 and sizes[some[0]] ** 2 > STEP_PAIRS
+            got = [spring_positions(*graphs[some[0]], iterations, scale)] if one else _springs([graphs[i] for i in some], iterations, scale)
+            done |= dict(zip(some.tolist(), got))
+            lo = hi
+        xy, at = np.concatenate([done[i] for i in range(len(graphs))]), pa.array(np.repeat(np.arange(len(graphs)), sizes))
+        names, idx = batch.column("node").flatten(), batch.column("idx").flatten()
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in K), names, idx, pa.array(["spring"] * len(xy)), pa.array(xy[:, 0]), pa.array(xy[:, 1])], [*K, "node", "idx", "layout_type", "x", "y"])
 
-    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a = a.sort_values("node").reset_index(drop=True)
-        at = {v: i for i, v in enumerate(a["node"])}
-        src, dst = b["src"].map(at).to_numpy(int), b["dst"].map(at).to_numpy(int)
-        if len(a):
-            a[["x", "y"]] = spring_positions(a[["x", "y"]].to_numpy(), src, dst, b["weight"].to_numpy(float), iterations, scale)
-        return a.assign(layout_type="spring")[[*K, "node", "idx", "layout_type", "x", "y"]]
 
+def spring_layout(nodes: DataFrame, edges: DataFrame, initial: DataFrame | None = None, iterations: int = 50, scale: float | None = None) -> DataFrame:
+    """Force-directed layout, from the grid or `initial`. A graph is one row of arrays, as each step needs all of it: for
+    graphs of up to some thousand nodes; spring_step() moves larger ones by joins. Graphs of a batch are laid out together."""
+    start = grid_positions(nodes) if initial is None else nodes.select(*K, "node", "idx").join(initial.select(*K, "node", "x", "y"), [*K, "node"])
     kinds = dict(start.dtypes)
+    points = start.groupBy(*K).agg(F.array_sort(F.collect_list(F.struct("node", "idx", "x", "y"))).alias("c"))
+    pulls = edges.groupBy(*K).agg(F.collect_list(F.struct("src", "dst", F.col("weight").cast("double").alias("weight"))).alias("e"))
+    none = F.array().cast(dict(pulls.dtypes)["e"])
+    rows = points.join(pulls, K, "left").withColumn("e", F.coalesce("e", none)).select(*K, *(F.col(f"c.{c}").alias(c) for c in ("node", "idx", "x", "y")), *(F.col(f"e.{c}").alias(c) for c in ("src", "dst", "weight")))
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*K, "node", "idx"]) + ", layout_type string, x double, y double"
-    pulls = edges.select(*(F.col(c).alias(f"e_{c}") for c in K), "src", "dst", "weight")
-    return start.groupBy(*K).cogroup(pulls.groupBy(*(f"e_{c}" for c in K))).applyInPandas(one, schema)
+    return rows.mapInArrow(lambda it: _spring_rows(it, iterations, scale), schema)
 
 
 def spring_step(coords: DataFrame, edges: DataFrame, heat: DataFrame) -> DataFrame:

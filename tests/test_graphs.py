@@ -115,6 +115,16 @@ def test_force_layout_equals_its_steps_by_joins(spark):
     assert math.isclose(max(abs(v) for xy in scaled.values() for v in xy), 2.0)
 
 
+def test_force_layout_of_many_graphs_equals_each_alone():
+    r, graphs = np.random.default_rng(5), []
+    for n in (2, 9, 30, 31, 5, 17):
+        pairs = np.array([(i, j) for i in range(n) for j in range(i + 1, n) if r.random() < 0.3] or [(0, 1)])
+        graphs.append((r.uniform(-1, 1, (n, 2)), pairs[:, 0], pairs[:, 1], r.uniform(0.5, 2, len(pairs))))
+    for scale in (None, 1.5):
+        for got, one in zip(L._springs(graphs, 6, scale), graphs):
+            assert np.allclose(got, L.spring_positions(*one, 6, scale), atol=1e-7)
+
+
 def test_feature_validation_and_unknown_kinds(spark):
     graphs = spark.createDataFrame([("b", 1, 3), ("b", 2, 4)], KEY + "num_nodes int")
     with pytest.raises(ValueError):
