@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed, shared_dir  # noqa: F401  (the operators take both from here)
+
 #: White space of the word and text rules: space and U+0009..U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step takes together (a longer document is a step of its own).
@@ -18,29 +19,6 @@ STEP_BYTES = 1 << 19
 #: Powers that a worker keeps between steps; more (a document beyond STEP_BYTES) are made for the step alone.
 KEPT_POWERS = 1 << 19
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return _own_dir[0]
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder until nothing refers to it; its lineage is cut."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 #: Paths of the tables that written() made and drop_since() has not removed.
 paths: list[str] = []
 
