@@ -69,14 +69,14 @@ k AS (SELECT * FROM s QUALIFY coalesce(max(stops::INT) OVER (PARTITION BY run_id
 
 
 def customer_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A wanted graph of 5 to 16 nodes per customer."""
+    """A wanted graph of 50 to 60 nodes per customer."""
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").cast("string").alias("bundle"), F.col("c_custkey").cast("long").alias("graph_id"))
-    return synth.with_node_counts(rows, "5-16")
+    return synth.with_node_counts(rows, "50-60")
 
 
 _ID = ("bundle", "graph_id::VARCHAR")
 SPECS = f"""WITH c AS (SELECT c_nationkey::VARCHAR AS bundle, c_custkey::BIGINT AS graph_id FROM customer),
-specs AS (SELECT *, (5 + floor({uniform_sql(42, "'n'", *_ID)} * 12))::INT AS num_nodes FROM c),
+specs AS (SELECT *, (50 + floor({uniform_sql(42, "'n'", *_ID)} * 11))::INT AS num_nodes FROM c),
 first AS (SELECT *, unnest(range(num_nodes))::BIGINT AS node FROM specs)
 """
 

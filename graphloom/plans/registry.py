@@ -271,9 +271,9 @@ def sample_params(spark, sf_dir):
     return synth.sample_params(customer_specs(spark, sf_dir), {"mixing_parameter": "0.1-0.5"}).withColumn("mixing_parameter", rounded("mixing_parameter"))
 
 
-@query(f"SELECT a.bundle, a.graph_id, a.node AS src, b.node AS dst FROM first a JOIN first b ON a.bundle = b.bundle AND a.graph_id = b.graph_id AND a.node < b.node WHERE {uniform_sql(42, chr(39) + '0' + chr(39), 'a.bundle', 'a.graph_id::VARCHAR', 'a.node::VARCHAR', 'b.node::VARCHAR')} < 0.5", SPECS)
+@query(f"SELECT a.bundle, a.graph_id, a.node AS src, b.node AS dst FROM first a JOIN first b ON a.bundle = b.bundle AND a.graph_id = b.graph_id AND a.node < b.node WHERE {uniform_sql(42, chr(39) + '0' + chr(39), 'a.bundle', 'a.graph_id::VARCHAR', 'a.node::VARCHAR', 'b.node::VARCHAR')} < 0.1", SPECS)
 def er_edges(spark, sf_dir):
-    return synth.er_edges(customer_specs(spark, sf_dir), 0.5).drop("weight")
+    return synth.er_edges(customer_specs(spark, sf_dir), 0.1).drop("weight")
 
 
 @query("SELECT DISTINCT bundle, graph_id, least(node, other) AS src, greatest(node, other) AS dst FROM (SELECT bundle, graph_id, node, (node + unnest(range(1, greatest(1, least(6, num_nodes - 1) // 2) + 1))) % num_nodes AS other FROM first)", SPECS)
@@ -287,7 +287,7 @@ def _drawn(family: synth.Family) -> DataFrame:
 
 @query(None, SPECS)
 def er_graphs(spark, sf_dir):
-    return _drawn(synth.er_graphs(customer_specs(spark, sf_dir), 0.5))
+    return _drawn(synth.er_graphs(customer_specs(spark, sf_dir), 0.1))
 
 
 @query(None, SPECS)
