@@ -174,6 +174,12 @@ def test_ids_that_are_shared_null_or_texts(spark, ids):
     # null counts as empty and " " does not, as one space is left of white space
     assert exact == sorted([*alone, (names[0], names[0], 2, True), (None, names[0], 2, False), (names[5], names[5], 1, True), (names[6], names[6], 1, True)], key=str)
     assert {x["n_removed"] for x in line_dedup.remove_repeated_lines(df).collect()} == {0}
+    encoded = byte_bpe.round_trip_digests(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    whole = [n if isinstance(n, int) else None for n in names]  # a text is no id there
+    assert sorted((str(x["doc_id"]), x["decoded_sha256"]) for x in encoded) == sorted((str(n), sha(t)) for n, t in zip(whole, texts))
+    kept = substring_dedup.remove_repeats(df).collect()
+    assert sorted((str(x["doc_id"]), x["n_removed"]) for x in kept) == sorted((str(n), 200 if i < 5 else 0) for i, n in enumerate(names))
 
 
 def test_a_component_of_null_ids_has_no_name(spark):
@@ -405,7 +411,8 @@ def test_license_ties_repeated_rows_and_shared_ids(spark, tmp_path):
     assert [(r["license"], r["how"]) for r in got] == [("Own-1.0", "own")]
 
 
-def test_html_extraction(spark):
+def test_html_extraction(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "SEQUENCES", 400)
     r = random.Random(4)
     pages, want = [], []
     for i in range(60):
@@ -475,7 +482,8 @@ def test_html_sample_is_distinct_spread_and_bounded(spark):
     assert max(len(x["html"]) for x in rows) < 1000
 
 
-def test_html_repeated_rows_extra_columns_and_long_pages(spark):
+def test_html_repeated_rows_extra_columns_and_long_pages(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "SEQUENCES", 200)
     r = random.Random(2)
     pages = [(i, "http://h/", laid_out("sections", i, r)[0], 1, "t") for i in range(20)]
     pages += [pages[3], pages[3], (50, None, "<article><p>" + "long text here</p><p>" * 30_000, 1, "t"), (51, None, None, 1, "t")]
