@@ -103,7 +103,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     one batch and is done. If a node was given two roots, its graph spans batches, and the stars of such graphs (no more
     links than nodes a batch) go through rounds of joins, so a graph of any size is handled."""
     kinds = dict(edges.dtypes)
-    dealt = drop_self_loops(edges).select(*K, F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).repartition(*K).sortWithinPartitions(*K)
+    # a rebalance, not a repartition: the edges of a graph that is much of the table are dealt to several tasks
+    dealt = drop_self_loops(edges).select(*K, F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).hint("rebalance", *K).sortWithinPartitions(*K)
     schema = f"bundle {kinds['bundle']}, graph_id {kinds['graph_id']}, node long, root long"
     stars = checkpointed(dealt.mapInArrow(_stars, schema))
     labels = stars.groupBy(*K, "node").agg(F.min("root").alias("root"), F.max("root").alias("other"))
