@@ -16,10 +16,11 @@ def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     customers = read("customer").select(F.col("c_custkey").alias("graph_id"), F.col("c_nationkey").cast("string").alias("bundle"), F.col("c_mktsegment").alias("graph_type"))
     orders = read("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("graph_id"))
-    items = read("lineitem").select("l_orderkey", F.col("l_suppkey").alias("node")).distinct()
-    li = items.join(orders, "l_orderkey").join(customers.select(*K), "graph_id")
-    pairs = li.join(li.select("l_orderkey", F.col("node").alias("other")), "l_orderkey").filter("node < other")
-    edges = pairs.groupBy(*K, F.col("node").alias("src"), F.col("other").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+    # an order has a few suppliers, so its pairs are made from one array, without a join of the items with themselves
+    items = read("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("s")).filter(F.size("s") > 1)
+    pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
+    each = items.join(orders, "l_orderkey").join(customers.select(*K), "graph_id").select(*K, F.inline(pairs))
+    edges = each.groupBy(*K, "src", "dst").agg(F.count("*").cast("double").alias("weight"))
     edges = checkpointed(edges)
     ends = edges.select(*K, F.explode(F.array("src", "dst")).alias("node")).distinct()
     nodes = ends.withColumn("idx", (F.row_number().over(Window.partitionBy(*K).orderBy("node")) - 1).cast("int"))
