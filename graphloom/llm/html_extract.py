@@ -228,8 +228,10 @@ def _vectors(page: Page) -> np.ndarray:
     part, starts, ends, row = C.word_spans(np.frombuffer(b"".join(texts), np.uint8), off, 0, n)
     slot = (C.word_hashes(part, starts, ends) % np.uint64(WORD_DIMS)).astype(np.int64)
     counts = np.bincount(row * WORD_DIMS + slot, minlength=n * WORD_DIMS).reshape(-1, WORD_DIMS)
-    out[:, PATH_DIMS : PATH_DIMS + WORD_DIMS] = counts / np.maximum(counts.sum(1, keepdims=True), 1)
     words = counts.sum(1).astype(float)
+    out[:, PATH_DIMS : PATH_DIMS + WORD_DIMS] = counts
+    del counts, slot, row  # a long page has many
+    out[:, PATH_DIMS : PATH_DIMS + WORD_DIMS] /= np.maximum(words, 1)[:, None]
     k = PATH_DIMS + WORD_DIMS
     out[:, k], out[:, k + 1] = np.minimum(np.log1p(words) / 6, 1.5), words < 8
     out[:, k + 2], out[:, k + 3] = np.arange(n) / n, 1
@@ -277,7 +279,8 @@ class Labeller:
 
     def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = False) -> tuple[np.ndarray, list]:
         n, steps, h = x.shape[0], x.shape[1], HIDDEN
-        pre = x.reshape(n * steps, -1) @ self.w["x" + d] + self.w["c" + d]
+        pre = x.reshape(n * steps, -1) @ self.w["x" + d]
+        pre += self.w["c" + d]
         pre = pre.reshape(n, steps, 4 * h)
         s, c = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
         out, kept = np.zeros((n, steps, h), np.float32), []
