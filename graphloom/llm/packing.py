@@ -5,8 +5,7 @@ counted over all of them; the terms are token ids, so the counts have at most as
 every task. Documents are range-partitioned by their most telling tokens (ties by a hash, so that a hot key is split), and
 each partition is read as a run of shards of SHARD_TOKENS tokens. A shard has its own inverted index: for each window, the
 document that starts it is the query, and unused documents are taken in order of their BM25 score until the window is full.
-The last one is cut there; what is left of it starts the next window. So a seed meets the documents of its own shard, not
-those of all shards: README has how many of its best neighbours over all documents these are. Only the end of a partition leaves a window
+The last one is cut there; what is left of it starts the next window. Only the end of a partition leaves a window
 unfilled, and that rest is cut into sequences whose lengths are powers of two, which need no padding.
 
 Ids are those of the tokenizers library for the whole text with the file as it is: the name of an added token in a text
@@ -136,14 +135,14 @@ def _tokenise(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Recor
             out.append(raw + END_ID.to_bytes(2, "little"))
             ids = np.frombuffer(raw, np.uint16)
             if len(ids):
-                # later ids are rarer ones: the four ids with the highest rank times root of count, the first one first
+                # later ids are rarer ones: the two ids with the highest sum of their ranks over the text
                 own, times = np.unique(ids, return_counts=True)
-                weight = own * np.sqrt(times)
-                some = np.argpartition(weight, -4)[-4:] if len(own) > 4 else np.arange(len(own))
-                best = own[some[np.argsort(-weight[some], kind="stable")]].tolist()
-                keys.append(sum(x << 16 * (3 - k) for k, x in enumerate(best)) - (1 << 63))
+                weight = own * times
+                first = int(weight.argmax())
+                weight[first] = -1
+                keys.append(int(own[first]) << 16 | int(own[weight.argmax()]))
             else:
-                keys.append(-(1 << 63))
+                keys.append(-1)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "near", "ids"])
 
 
