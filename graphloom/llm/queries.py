@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, exact_dedup, html_extract, hyperminhash, license_scan, line_dedup, packing, quality, substring_dedup
+from . import byte_bpe, chat, exact_dedup, filter_audit, html_extract, hyperminhash, license_scan, line_dedup, maxscore, packing, quality, repair, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,19 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, threshold=0.8)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_html_extract, op4_line_dedup, op5_license_scan, op6_packing, op7_substring_dedup, op8_quality_rules, op9_chat_perspectives, op10_near_dedup)}
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digests(_table(spark, sf_dir, "conversations"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_html_extract, op4_line_dedup, op5_license_scan, op6_packing, op7_substring_dedup, op8_quality_rules, op9_chat_perspectives, op10_near_dedup, op11_exact_top_k, op12_repair, op13_filter_audit)}
 
 _SPACES = r"'[\x20\x09-\x0D]+'"
 
@@ -84,4 +96,7 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 FROM d LEFT JOIN kept USING (doc_id)""",
     "op8_quality_rules": quality.ORACLE_SQL,
     "op9_chat_perspectives": chat.ORACLE_SQL,
+    "op11_exact_top_k": maxscore.ORACLE_SQL,
+    "op12_repair": repair.ORACLE_SQL,
+    "op13_filter_audit": filter_audit.ORACLE_SQL,
 }
