@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..keys import K, uniform
 from ..shared import checkpointed
+from . import pairs as P
 from . import prep, structure
 
 
@@ -38,73 +39,54 @@ def grid_positions(nodes: DataFrame) -> DataFrame:
     return _sized(nodes).select(*K, "node", "idx", (2 * u - 1).alias("x"), (2 * v - 1).alias("y"))
 
 
-def spring_positions(xy: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, iterations: int, scale: float | None, block: int = 1024) -> np.ndarray:
-    """Force-directed positions of one graph from xy on. Pair forces in row blocks, so memory is block x n."""
-    n = len(xy)
-    if n == 1:
-        return np.zeros((1, 2))
-    pos, k = xy.astype(float).copy(), 1 / np.sqrt(n)
-    heat = 0.1 * max(np.ptp(pos[:, 0]), np.ptp(pos[:, 1]))
-    cool = heat / (iterations + 1)
-    for _ in range(iterations):
-        force = np.zeros_like(pos)
-        for lo in range(0, n, block):
-            d = pos[lo : lo + block, None] - pos[None]
-            r = np.maximum(np.sqrt((d**2).sum(-1)), 0.01)
-            force[lo : lo + block] = (d * (k * k / r**2)[..., None]).sum(1)
-        d = pos[src] - pos[dst]
-        pull = d * (weight * np.maximum(np.sqrt((d**2).sum(-1)), 0.01) / k)[:, None]
-        np.add.at(force, src, -pull)
-        np.add.at(force, dst, pull)
-        size = np.sqrt((force**2).sum(1))
-        move = force * (heat / np.where(size < 0.01, 0.1, size))[:, None]
-        pos += move
-        heat -= cool
-        if np.sqrt((move**2).sum()) / n < 1e-4:
-            break
-    return pos if scale is None else _scaled(pos, scale)
-
-
 def _scaled(pos: np.ndarray, scale: float) -> np.ndarray:
     pos = pos - pos.mean(0)
     return pos * (scale / max(np.abs(pos).max(), 1e-300))
 
 
-#: Pairs of nodes that one numpy step takes together; a graph beyond it is a step of its own, in row blocks.
-STEP_PAIRS = 1 << 20
-
-
-def _springs(graphs: list[tuple[np.ndarray, ...]], iterations: int, scale: float | None) -> list[np.ndarray]:
-    """spring_positions() of several graphs (xy, src, dst, weight) side by side, padded to the largest."""
-    g, n = len(graphs), np.array([len(x[0]) for x in graphs])
-    m = int(n.max())
-    x, y = np.zeros((g, m)), np.zeros((g, m))
-    for i, (xy, *_) in enumerate(graphs):
-        x[i, : len(xy)], y[i, : len(xy)] = xy[:, 0], xy[:, 1]
-    real = np.arange(m) < n[:, None]
+def _push(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forces between all nodes of each graph (graphs x nodes), by steps of at most P.STEP pairs or one node's partners. A node's
+    sum runs over its own graph in order, whatever else is in the step."""
+    g, n = x.shape
+    fx, fy = np.empty((g, n)), np.empty((g, n))
+    graphs, rows = max(1, P.STEP // (n * n)), min(n, max(1, P.STEP // n))
+    for lo in range(0, g, graphs):
+        for at in range(0, n, rows):
+            cut = (slice(lo, lo + graphs), slice(at, at + rows))
+            dx, dy = x[cut][:, :, None] - x[lo : lo + graphs, None], y[cut][:, :, None] - y[lo : lo + graphs, None]
+            by = 1 / (n * np.maximum(dx * dx + dy * dy, 0.01**2))
+            first = np.arange(0, dx.size, n)
+            for f, d in ((fx, dx), (fy, dy)):
+                f[cut] = np.add.reduceat((d * by).ravel(), first).reshape(dx.shape[:2])
+    return fx, fy
+
+
+def spring_positions(graphs: list[tuple[np.ndarray, ...]], iterations: int, scale: float | None) -> list[np.ndarray]:
+    """Force-directed positions of graphs (xy, src, dst, weight) of one size, from xy on; each as if it were alone."""
+    g, n = len(graphs), len(graphs[0][0])
+    if n == 1:
+        return [np.zeros((1, 2)) for _ in graphs]
+    x, y = (np.stack([xy[:, i] for xy, *_ in graphs]).astype(float) for i in (0, 1))
     of = np.repeat(np.arange(g), [len(e[1]) for e in graphs])
     src, dst, weight = (np.concatenate([e[j] for e in graphs]) for j in (1, 2, 3))
-    a, b, stiff = of * m + src, of * m + dst, weight * np.sqrt(n)[of]
-    reach = lambda v: np.where(real, v, -np.inf).max(1) - np.where(real, v, np.inf).min(1)
-    heat = 0.1 * np.maximum(reach(x), reach(y))
-    cool, live = heat / (iterations + 1), n > 1
+    a, b, stiff = of * n + src, of * n + dst, weight * np.sqrt(n)
+    heat = 0.1 * np.maximum(np.ptp(x, axis=1), np.ptp(y, axis=1))
+    cool, live, first = heat / (iterations + 1), np.ones(g, bool), np.arange(0, g * n, n)
     for _ in range(iterations):
-        dx, dy = x[:, :, None] - x[:, None], y[:, :, None] - y[:, None]
-        push = real[:, None] / (n[:, None, None] * np.maximum(dx * dx + dy * dy, 0.01**2))
-        fx, fy = (dx * push).sum(2).ravel(), (dy * push).sum(2).ravel()
+        fx, fy = (f.ravel() for f in _push(x, y))
         ex, ey = x.ravel()[a] - x.ravel()[b], y.ravel()[a] - y.ravel()[b]
         pull = stiff * np.maximum(np.sqrt(ex * ex + ey * ey), 0.01)
         for f, e in ((fx, ex * pull), (fy, ey * pull)):
-            f += np.bincount(b, e, g * m) - np.bincount(a, e, g * m)
+            f += np.bincount(b, e, g * n) - np.bincount(a, e, g * n)
         size = np.sqrt(fx * fx + fy * fy)
-        by = (heat[:, None] * (real & live[:, None])).ravel() / np.where(size < 0.01, 0.1, size)
-        mx, my = (fx * by).reshape(g, m), (fy * by).reshape(g, m)
-        x, y, heat = x + mx, y + my, heat - cool
-        live = live & (np.sqrt((mx * mx + my * my).sum(1)) / n >= 1e-4)
+        by = np.repeat(heat * live, n) / np.where(size < 0.01, 0.1, size)
+        mx, my = fx * by, fy * by
+        x, y, heat = x + mx.reshape(g, n), y + my.reshape(g, n), heat - cool
+        live = live & (np.sqrt(np.add.reduceat(mx * mx + my * my, first)) / n >= 1e-4)
         if not live.any():
             break
-    out = [np.stack([x[i, :k], y[i, :k]], 1) if k > 1 else np.zeros((1, 2)) for i, k in enumerate(n)]
-    return out if scale is None else [_scaled(pos, scale) if len(pos) > 1 else pos for pos in out]
+    out = [np.stack([x[i], y[i]], 1) for i in range(g)]
+    return out if scale is None else [_scaled(pos, scale) for pos in out]
 
 
 def _spring_rows(batches: Iterator[pa.RecordBatch], iterations: int, scale: float | None) -> Iterator[pa.RecordBatch]:
@@ -119,16 +101,10 @@ def _spring_rows(batches: Iterator[pa.RecordBatch], iterations: int, scale: floa
             names = part("node", i)  # in order
             graphs.append((np.stack([part("x", i), part("y", i)], 1), np.searchsorted(names, part("src", i)), np.searchsorted(names, part("dst", i)), part("weight", i)))
         sizes = np.array([len(x[0]) for x in graphs])
-        order, done, lo = np.argsort(sizes, kind="stable"), {}, 0
-        while lo < len(order):
-            hi = lo + 1
-            while hi < len(order) and (hi + 1 - lo) * sizes[order[hi]] ** 2 <= STEP_PAIRS:
-                hi += 1
-            some = order[lo:hi]
-            one = hi == lo + 1 and sizes[some[0]] ** 2 > STEP_PAIRS
-            got = [spring_positions(*graphs[some[0]], iterations, scale)] if one else _springs([graphs[i] for i in some], iterations, scale)
-            done |= dict(zip(some.tolist(), got))
-            lo = hi
+        done = {}
+        for n in np.unique(sizes):
+            same = np.flatnonzero(sizes == n)
+            done |= dict(zip(same.tolist(), spring_positions([graphs[i] for i in same], iterations, scale), strict=True))
         xy, at = np.concatenate([done[i] for i in range(len(graphs))]), pa.array(np.repeat(np.arange(len(graphs)), sizes))
         names, idx = batch.column("node").flatten(), batch.column("idx").flatten()
         yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in K), names, idx, pa.array(["spring"] * len(xy)), pa.array(xy[:, 0]), pa.array(xy[:, 1])], [*K, "node", "idx", "layout_type", "x", "y"])
@@ -140,7 +116,7 @@ def spring_layout(nodes: DataFrame, edges: DataFrame, initial: DataFrame | None
     start = grid_positions(nodes) if initial is None else nodes.select(*K, "node", "idx").join(initial.select(*K, "node", "x", "y"), [*K, "node"])
     kinds = dict(start.dtypes)
     points = start.groupBy(*K).agg(F.array_sort(F.collect_list(F.struct("node", "idx", "x", "y"))).alias("c"))
-    pulls = edges.groupBy(*K).agg(F.collect_list(F.struct("src", "dst", F.col("weight").cast("double").alias("weight"))).alias("e"))
+    pulls = edges.groupBy(*K).agg(F.array_sort(F.collect_list(F.struct("src", "dst", F.col("weight").cast("double").alias("weight")))).alias("e"))
     none = F.array().cast(dict(pulls.dtypes)["e"])
     rows = points.join(pulls, K, "left").withColumn("e", F.coalesce("e", none)).select(*K, *(F.col(f"c.{c}").alias(c) for c in ("node", "idx", "x", "y")), *(F.col(f"e.{c}").alias(c) for c in ("src", "dst", "weight")))
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*K, "node", "idx"]) + ", layout_type string, x double, y double"
@@ -149,12 +125,17 @@ def spring_layout(nodes: DataFrame, edges: DataFrame, initial: DataFrame | None
 
 def spring_step(coords: DataFrame, edges: DataFrame, heat: DataFrame) -> DataFrame:
     """One step of spring_layout() by joins: coords(idx, x, y) and heat(bundle, graph_id, heat) to moved coords."""
+    def push(p: P.Pairs) -> dict:
+        dx, dy, r = P.distance(p)
+        r = np.maximum(r, 0.01)
+        by = 1 / (p.left("n_all") * r * r)
+        return {"fx": p.sum(dx * by), "fy": p.sum(dy * by)}
+
     sized = _sized(coords)
+    away = P.over_pairs(sized.select(*K, "node", "x", "y", F.col("n").cast("double").alias("n_all")), ["x", "y", "n_all"], push, {"fx": "double", "fy": "double"}).select(*K, "node", "fx", "fy")
     other = sized.select(*K, F.col("node").alias("m"), F.col("x").alias("mx"), F.col("y").alias("my"))
     dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
     r = F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(0.01))
-    push = 1 / (F.col("n") * r * r)
-    away = sized.join(other, K).select(*K, "node", (dx * push).alias("fx"), (dy * push).alias("fy"))
     sym = prep.symmetrize(edges).withColumnRenamed("src", "node").withColumnRenamed("dst", "m")
     pull = -F.col("weight") * r * F.sqrt("n")
     near = sized.join(sym, [*K, "node"]).join(other, [*K, "m"]).select(*K, "node", (dx * pull).alias("fx"), (dy * pull).alias("fy"))

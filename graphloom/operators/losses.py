@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..keys import K
 from ..shared import checkpointed
+from . import pairs as P
 
 
 def align_lengths(pred: DataFrame, true: DataFrame) -> DataFrame:
@@ -60,17 +62,14 @@ def center_loss(pred: DataFrame) -> DataFrame:
 
 
 def _pair_sums(rows: DataFrame) -> DataFrame:
-    """(n, s): per graph its nodes and the sum over unordered pairs of the squared difference of both distances. Nodes are
-    dealt out again and meet their graph's others as one array, so no pair is a row of a shuffle."""
-    points = rows.groupBy(*K).agg(F.collect_list(F.struct("idx", "x", "y", "tx", "ty")).alias("all"))
-    each = rows.select(*K, "idx", "x", "y", "tx", "ty").join(points, K)
-    far = lambda p, a, b: F.sqrt((F.col(a) - p[a]) * (F.col(a) - p[a]) + (F.col(b) - p[b]) * (F.col(b) - p[b]))
+    """(n, s): per graph its nodes and the sum over unordered pairs of the squared difference of both distances."""
 
-    def add(total: Column, p: Column) -> Column:
-        d = far(p, "x", "y") - far(p, "tx", "ty")
-        return total + F.when(F.col("idx") < p["idx"], d * d).otherwise(F.lit(0.0))
+    def differ(p: P.Pairs) -> dict:
+        d = P.distance(p)[2] - P.distance(p, "tx", "ty")[2]
+        return {"s": p.sum(np.where(p.before, d * d, 0.0))}
 
-    return each.select(*K, F.aggregate("all", F.lit(0.0), add).alias("s")).groupBy(*K).agg(F.count("*").alias("n"), F.sum("s").alias("s"))
+    each = P.over_pairs(rows.select(*K, F.col("idx").alias("node"), "x", "y", "tx", "ty"), ["x", "y", "tx", "ty"], differ, {"s": "double"}, half=True)
+    return each.groupBy(*K).agg(F.count("*").alias("n"), F.sum("s").alias("s"))
 
 
 def pairwise_distance_loss(pred: DataFrame, true: DataFrame) -> DataFrame:

@@ -6,12 +6,15 @@ summed per dimension inside one aggregate, so a message is one row and hubs are
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..keys import K
 from ..shared import checkpointed
+from . import pairs as P
 from . import prep, structure
+from .neighbours import knn_within_graph
 
 NODE = [*K, "node"]
 
@@ -119,30 +122,11 @@ def anti_smooth(feat: DataFrame, edges: DataFrame, alpha: float = 0.5, width: in
     return feat.join(mean, NODE).select(*NODE, _vector(w, lambda i: F.col("f")[i] - F.exp(F.lit(alpha)) * F.col("mean")[i]).alias("f"))
 
 
-def _pairs(rows: DataFrame, *columns: str) -> DataFrame:
-    """All ordered pairs of nodes of a graph: `node` with each `other` and its columns o_*."""
-    return rows.join(rows.select(*K, F.col("node").alias("other"), *(F.col(c).alias(f"o_{c}") for c in columns)), K)
-
-
 def _distance() -> Column:
     dx, dy = F.col("x") - F.col("o_x"), F.col("y") - F.col("o_y")
     return F.sqrt(dx * dx + dy * dy)
 
 
-def knn_within_graph(coords: DataFrame, k: int) -> DataFrame:
-    """The k nearest nodes of each node in its graph, itself included; ties by node. A graph's points meet each node as one
-    array, of which the k least stay, so pairs are neither shuffled nor sorted in a window."""
-    points = coords.groupBy(*K).agg(F.collect_list(F.struct("node", "x", "y")).alias("all"))
-
-    def row(p: Column) -> Column:
-        dx, dy = F.col("x") - p["x"], F.col("y") - p["y"]
-        return F.struct(F.sqrt(dx * dx + dy * dy).alias("d"), (p["node"] != F.col("node")).alias("far"), p["node"].alias("other"))
-
-    near = F.slice(F.array_sort(F.transform("all", row)), 1, k)
-    rows = coords.select(*NODE, "x", "y").join(points, K).select(*NODE, F.posexplode(near).alias("rank", "p"))
-    return rows.select(*NODE, "p.other", "p.d", (F.col("rank") + 1).alias("rank"))
-
-
 def _dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -162,16 +146,29 @@ def knn_attention(qkv: DataFrame, coords: DataFrame, k: int, width: int, soft: f
 
 
 def dense_attention(qkv: DataFrame, width: int) -> DataFrame:
-    rows = _pairs(qkv, "k", "v")
-    return _softmax_sum(rows.withColumn("e", _dot("q", "o_k") / width**0.5), width)
+    """Attention over all nodes of the graph: softmax of q.k / sqrt(width)."""
+
+    def attend(p: P.Pairs) -> dict:
+        e = (p.left("q") * p.right("k")).sum(1) / width**0.5
+        top = p.max(e)
+        a = np.exp(e - p.spread(top))
+        return {"top": top, "mass": p.sum(a), "v": p.sum(a[:, None] * p.right("v"))}
+
+    rows = P.over_pairs(qkv.select(*NODE, "q", "k", "v"), ["q", "k", "v"], attend, {"top": "double", "mass": "double", "v": "array<double>"}, merge=P.softmax_merged)
+    return rows.select(*NODE, F.transform("v", lambda u: u / F.col("mass")).alias("f"))
 
 
 def distance_repulsion(feat: DataFrame, coords: DataFrame, strength: float = 0.1, width: int | None = None) -> DataFrame:
     """f - strength times the sum over all other nodes of exp(-distance) times their f."""
-    w = _width(feat, width)
-    rows = _pairs(feat.join(coords.select(*NODE, "x", "y"), NODE), "x", "y", "f").filter("node <> other").withColumn("a", F.exp(-_distance()))
-    got = rows.groupBy(*NODE).agg(_vector(w, lambda i: F.sum(F.col("a") * F.col("o_f")[i])).alias("s"))
-    return feat.join(got, NODE, "left").select(*NODE, _vector(w, lambda i: F.col("f")[i] - strength * F.coalesce(F.col("s")[i], F.lit(0.0))).alias("f"))
+
+    def repel(p: P.Pairs) -> dict:
+        a = np.where(p.same, 0.0, np.exp(-P.distance(p)[2]))
+        return {"s": p.sum(a[:, None] * p.right("f"))}
+
+    rows = feat.select(*NODE, "f").join(coords.select(*NODE, "x", "y"), NODE)
+    got = P.over_pairs(rows, ["x", "y", "f"], repel, {"s": "array<double>"})
+    pushed = F.when(F.col("s").isNull(), F.col("f")).otherwise(F.zip_with("f", "s", lambda f, s: f - strength * s))
+    return feat.join(got, NODE, "left").select(*NODE, pushed.alias("f"))
 
 
 # ---- force-directed steps on coordinates ----
@@ -196,11 +193,16 @@ def fr_attraction(coords: DataFrame, edges: DataFrame, k: DataFrame, eps: float
 
 def fr_repulsion(coords: DataFrame, components: DataFrame, k: DataFrame, eps: float = 1e-2) -> DataFrame:
     """Push between all ordered pairs of a component."""
+
+    def push(p: P.Pairs) -> dict:
+        dx, dy, d = P.distance(p)
+        d, by = d + eps, p.left("k") * p.left("k")
+        by = by / (d * d)
+        return {"fx": p.sum(dx * by), "fy": p.sum(dy * by)}
+
     rows = coords.select(*NODE, "x", "y").join(components, NODE).join(k.select(*NODE, "k"), NODE)
-    other = rows.select(*K, "component", F.col("node").alias("other"), F.col("x").alias("o_x"), F.col("y").alias("o_y"))
-    rows = rows.join(other, [*K, "component"]).filter("node <> other").withColumn("d", _distance() + eps)
-    by = F.col("k") * F.col("k") / (F.col("d") * F.col("d"))
-    return rows.groupBy(*NODE).agg(F.sum((F.col("x") - F.col("o_x")) * by).alias("fx"), F.sum((F.col("y") - F.col("o_y")) * by).alias("fy"))
+    got = P.over_pairs(rows, ["x", "y", "k"], push, {"fx": "double", "fy": "double"}, keys=[*K, "component"])
+    return got.filter("n > 1").select(*NODE, "fx", "fy")
 
 
 def clamped_step(coords: DataFrame, forces: DataFrame, alpha: float = 1.0, clamp: float = 0.05) -> DataFrame:

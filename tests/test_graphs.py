@@ -115,14 +115,31 @@ def test_force_layout_equals_its_steps_by_joins(spark):
     assert math.isclose(max(abs(v) for xy in scaled.values() for v in xy), 2.0)
 
 
-def test_force_layout_of_many_graphs_equals_each_alone():
-    r, graphs = np.random.default_rng(5), []
-    for n in (2, 9, 30, 31, 5, 17):
-        pairs = np.array([(i, j) for i in range(n) for j in range(i + 1, n) if r.random() < 0.3] or [(0, 1)])
-        graphs.append((r.uniform(-1, 1, (n, 2)), pairs[:, 0], pairs[:, 1], r.uniform(0.5, 2, len(pairs))))
-    for scale in (None, 1.5):
-        for got, one in zip(L._springs(graphs, 6, scale), graphs):
-            assert np.allclose(got, L.spring_positions(*one, 6, scale), atol=1e-7)
+def drawn(seed, n, p=0.3):
+    r = np.random.default_rng(seed)
+    pairs = np.array([(i, j) for i in range(n) for j in range(i + 1, n) if r.random() < p] or [(0, 1)])
+    return r.uniform(-1, 1, (n, 2)), pairs[:, 0], pairs[:, 1], r.uniform(0.5, 2, len(pairs))
+
+
+def test_force_layout_of_many_graphs_equals_each_alone(monkeypatch):
+    """To the last bit after 50 steps, also where a graph's pairs are taken in several steps."""
+    graphs = [drawn(s, 31) for s in range(5)]
+    together = L.spring_positions(graphs, 50, 1.5)
+    monkeypatch.setattr(L.P, "STEP", 100)
+    for got, one in zip(together, graphs, strict=True):
+        assert (got == L.spring_positions([one], 50, 1.5)[0]).all()
+
+
+def test_force_layout_is_the_same_in_every_partitioning(spark):
+    edges, nodes = [], []
+    for g, n in enumerate([2, 9, 30, 61, 30, 17]):
+        nodes += [("b", g, i, i) for i in range(n)]
+        edges += [("b", g, int(a), int(b), float(w)) for a, b, w in zip(*drawn(g, n)[1:], strict=True)]
+    found = []
+    for parts, order in ((1, 1), (5, -1)):
+        frames = [spark.createDataFrame(rows[::order], schema).repartition(parts) for rows, schema in ((nodes, NODES), (edges, EDGES))]
+        found.append({(r["graph_id"], r["node"]): (r["x"], r["y"]) for r in L.spring_layout(*frames, iterations=50).collect()})
+    assert len(found[0]) == 149 and found[0] == found[1]
 
 
 def test_feature_validation_and_unknown_kinds(spark):
