@@ -15,6 +15,7 @@ from ..shared import checkpointed
 from . import pairs as P
 from . import prep, structure
 from .neighbours import knn_within_graph
+from .routes import Routes
 
 NODE = [*K, "node"]
 
@@ -49,45 +50,48 @@ def neighbor_sum(feat: DataFrame, edges: DataFrame, eps: float = 0.0, width: int
     return feat.join(got, NODE, "left").select(*NODE, _vector(w, own).alias("f"))
 
 
-def _scaled(feat: DataFrame, edges: DataFrame, plus: int, width: int) -> DataFrame:
-    """feat with `s`, the sum over neighbours of f / sqrt((d + plus)(d' + plus)), and `d`, the degree."""
-    d = structure.degrees(feat, edges)
-    norm = lambda c: 1 / F.sqrt(F.greatest(F.col(c) + plus, F.lit(1)))
-    sent = feat.join(d, NODE).select(*NODE, "f", "degree", _vector(width, lambda i: F.col("f")[i] * norm("degree")).alias("g"))
-    got = _messages(sent.select(*NODE, F.col("g").alias("f")), edges).groupBy(*NODE).agg(_vector(width, lambda i: F.sum(F.col("m")[i])).alias("s"))
-    return sent.join(got, NODE, "left").select(*NODE, "f", "degree", _vector(width, lambda i: F.coalesce(F.col("s")[i], F.lit(0.0)) * norm("degree")).alias("s"))
+def _by(c: Column | float, plus: int) -> Column:
+    """c over the root of the degree plus `plus` (1 at least)."""
+    return c / F.sqrt(F.greatest(F.col("degree") + plus, F.lit(1)))
+
+
+def _gcn(routes: Routes, state: DataFrame, width: int, residual: bool = False) -> DataFrame:
+    def update(s: Column) -> dict:
+        own = lambda i: F.col("f")[i] / (F.col("degree") + 1) + (F.col("f")[i] if residual else F.lit(0.0))
+        return {"f": _vector(width, lambda i: _by(s[i], 1) + own(i))}
+
+    return routes.round(state, ["f"], _vector(width, lambda i: _by(F.col("f")[i], 1)), width, update)
 
 
 def gcn_propagate(feat: DataFrame, edges: DataFrame, width: int | None = None) -> DataFrame:
     """D^-1/2 (A + I) D^-1/2 f with D the degree plus one."""
-    w = _width(feat, width)
-    rows = _scaled(feat, edges, 1, w)
-    return rows.select(*NODE, _vector(w, lambda i: F.col("s")[i] + F.col("f")[i] / (F.col("degree") + 1)).alias("f"))
+    return propagate_hops(feat, edges, 1, width=width)
 
 
 def propagate_hops(feat: DataFrame, edges: DataFrame, hops: int, residual: bool = False, width: int | None = None) -> DataFrame:
+    """gcn_propagate() `hops` times; residual adds what a hop started from. One plan: a hop exchanges messages only."""
     w = _width(feat, width)
+    routes = Routes(feat, edges, hops)
+    state = routes.start(feat.select(*NODE, "f"))
     for _ in range(hops):
-        step = gcn_propagate(feat, edges, w)
-        if residual:
-            step = step.withColumnRenamed("f", "s").join(feat, NODE).select(*NODE, _vector(w, lambda i: F.col("f")[i] + F.col("s")[i]).alias("f"))
-        feat = checkpointed(step)
-    return feat
+        state = _gcn(routes, state, w, residual)
+    return state.select(*NODE, "f")
 
 
 def chebyshev_basis(feat: DataFrame, edges: DataFrame, k: int = 3, width: int | None = None) -> DataFrame:
     """(t0, ..., t{k-1}): Chebyshev terms of the Laplacian scaled to -D^-1/2 A D^-1/2."""
     w = _width(feat, width)
-    terms = [feat.select(*NODE, F.col("f"))]
+    routes = Routes(feat, edges, k - 1)
+    state = routes.start(feat.select(*NODE, F.array("f").alias("t")))
     for j in range(1, k):
-        moved = _scaled(terms[-1], edges, 0, w).select(*NODE, _vector(w, lambda i: -F.col("s")[i]).alias("f"))
-        if j > 1:
-            moved = moved.join(terms[-2].withColumnRenamed("f", "p"), NODE).select(*NODE, _vector(w, lambda i: 2 * F.col("f")[i] - F.col("p")[i]).alias("f"))
-        terms.append(checkpointed(moved))
-    out = terms[0].withColumnRenamed("f", "t0")
-    for j, t in enumerate(terms[1:], 1):
-        out = out.join(t.withColumnRenamed("f", f"t{j}"), NODE)
-    return out
+
+        def update(s: Column, j=j) -> dict:
+            before = (lambda i: F.col("t")[j - 2][i]) if j > 1 else (lambda i: F.lit(0.0))
+            term = _vector(w, lambda i: (2 if j > 1 else 1) * -_by(s[i], 0) - before(i))
+            return {"t": F.concat("t", F.array(term))}
+
+        state = routes.round(state, ["t"], _vector(w, lambda i, j=j: _by(F.col("t")[j - 1][i], 0)), w, update)
+    return state.select(*NODE, *(F.col("t")[j].alias(f"t{j}") for j in range(k)))
 
 
 def edge_softmax_aggregate(feat: DataFrame, edges: DataFrame, score, width: int | None = None) -> DataFrame:
@@ -182,15 +186,18 @@ def ideal_length(components: DataFrame, mode: str = "sqrt_inv_n", constant: floa
     return components.groupBy(*K, "component").agg(k.alias("k"))
 
 
-def fr_attraction(coords: DataFrame, edges: DataFrame, k: DataFrame, eps: float = 1e-2) -> DataFrame:
-    """Pull along edges; each undirected edge acts twice, once for either direction. k(bundle, graph_id, node, k)."""
-    at = coords.select(*NODE, "x", "y")
-    far = at.select(*K, F.col("node").alias("dst"), F.col("x").alias("o_x"), F.col("y").alias("o_y"))
-    rows = prep.symmetrize(edges).join(at.withColumnRenamed("node", "src"), [*K, "src"]).join(far, [*K, "dst"]).withColumnRenamed("src", "node").join(k.select(*NODE, "k"), NODE)
+def _pull(rows: DataFrame, eps: float) -> DataFrame:
+    """Forces of rows (node, x, y, k, o_x, o_y, weight) along edges."""
     by = -2 * (_distance() + eps) / F.col("k") * F.col("weight")
     return rows.groupBy(*NODE).agg(F.sum((F.col("x") - F.col("o_x")) * by).alias("fx"), F.sum((F.col("y") - F.col("o_y")) * by).alias("fy"))
 
 
+def fr_attraction(coords: DataFrame, edges: DataFrame, k: DataFrame, eps: float = 1e-2) -> DataFrame:
+    """Pull along edges; each undirected edge acts twice, once for either direction. k(bundle, graph_id, node, k)."""
+    state = coords.select(*NODE, "x", "y").join(k.select(*NODE, "k"), NODE)
+    return _pull(Routes(state, edges, 1).met(state, ["x", "y", "k"]), eps)
+
+
 def fr_repulsion(coords: DataFrame, components: DataFrame, k: DataFrame, eps: float = 1e-2) -> DataFrame:
     """Push between all ordered pairs of a component."""
 
@@ -216,8 +223,10 @@ def fr_unrolled(coords: DataFrame, edges: DataFrame, steps: int = 3, clamp: floa
     """`steps` clamped force steps within connected components."""
     parts = checkpointed(prep.connected_components(coords.select(*NODE), edges))
     k = checkpointed(parts.join(ideal_length(parts), [*K, "component"]).select(*NODE, "k"))
+    routes = Routes(coords, edges, steps)
     for _ in range(steps):
-        forces = fr_attraction(coords, edges, k).unionByName(fr_repulsion(coords, parts, k))
+        state = coords.select(*NODE, "x", "y").join(k, NODE).join(routes.known, NODE)
+        forces = _pull(routes.met(state, ["x", "y", "k"]), 1e-2).unionByName(fr_repulsion(coords, parts, k))
         coords = checkpointed(clamped_step(coords, forces, clamp=clamp))
     return coords
 
@@ -259,16 +268,23 @@ def _layer(layer: Dense, relu: bool):
 
 def iterative_refine(feat: DataFrame, coords: DataFrame, edges: DataFrame, step_sizes: list[float], layers: list[list[Dense]], width: int | None = None) -> DataFrame:
     """coords moved in steps: features and coordinates are propagated together, go through the step's dense layers (ReLU
-    between them, the last gives two numbers), and a step size of that is added. Each step is checkpointed."""
+    between them, the last gives two numbers), and a step size of that is added."""
     w = _width(feat, width)
-    coords = coords.select(*NODE, "x", "y")
+    routes = Routes(feat, edges, len(step_sizes))
+    state = routes.start(feat.select(*NODE, "f").join(coords.select(*NODE, "x", "y"), NODE))
+    both = F.concat("f", F.array("x", "y"))
     for size, own in zip(step_sizes, layers, strict=True):
-        both = feat.join(coords, NODE).select(*NODE, F.concat("f", F.array("x", "y")).alias("f"))
-        got = gcn_propagate(both, edges, w + 2).withColumnRenamed("f", "m")
-        for i, layer in enumerate(own):
-            got = got.withColumn("m", dense(F.col("m"), layer, i < len(own) - 1))
-        coords = checkpointed(coords.join(got, NODE).select(*NODE, *((F.col(c) + size * F.col("m")[i]).alias(c) for i, c in enumerate("xy"))))
-    return coords
+
+        def update(s: Column, size=size, own=own) -> dict:
+            value = _vector(w + 2, lambda i: _by(s[i], 1) + both[i] / (F.col("degree") + 1))
+            for i, layer in enumerate(own):
+                # what a layer takes is computed once and used by every unit
+                value = F.transform(F.array(value), _layer(layer, i < len(own) - 1))[0]
+            return {"f": F.col("f"), "_m": value, "x": F.col("x"), "y": F.col("y"), "_size": F.lit(size)}
+
+        state = routes.round(state, ["f", "x", "y"], _vector(w + 2, lambda i: _by(both[i], 1)), w + 2, update)
+        state = state.withColumns({c: F.col(c) + F.col("_size") * F.col("_m")[i] for i, c in enumerate("xy")}).drop("_m", "_size")
+    return state.select(*NODE, "x", "y")
 
 
 def blend(first: DataFrame, second: DataFrame, share: float) -> DataFrame:

@@ -10,8 +10,13 @@ from ..shared import checkpointed
 from .prep import symmetrize
 
 
+def degrees_of(edges: DataFrame) -> DataFrame:
+    """The degree of each node that an edge has."""
+    return symmetrize(edges).groupBy(*K, F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    found = symmetrize(edges).groupBy(*K, F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    found = degrees_of(edges)
     return nodes.select(*K, "node").join(found, [*K, "node"], "left").select(*K, "node", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
@@ -26,28 +31,45 @@ def density(sizes: DataFrame) -> DataFrame:
     return sizes.withColumn("density", F.when(n > 1, F.col("num_edges") / (n * (n - 1) / 2)).otherwise(F.lit(0.0)))
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """Triangles at each corner. Edges point from the lower to the higher (degree, node), which bounds the wedges at a hub."""
-    deg = symmetrize(edges).groupBy(*K, F.col("src").alias("node")).agg(F.count("*").alias("d"))
-    side = lambda c: deg.select(*K, F.col("node").alias(c), F.col("d").alias(f"d_{c}"))
+#: Neighbours that lie together in a row.
+LIST = 4096
+
+
+def triangles(edges: DataFrame, known: DataFrame | None = None, size: int = LIST) -> DataFrame:
+    """Triangles at each corner; known(bundle, graph_id, node, degree) saves counting.
+
+    Edges point from the lower to the higher (degree, node), so no list of out-neighbours is longer than the root of twice the
+    edges. Lists are rows of at most `size` nodes; each goes to the nodes in its node's list, where it is intersected with theirs:
+    a wedge is never a row."""
+    deg = degrees_of(edges) if known is None else known.select(*K, "node", "degree")
+    side = lambda c: deg.select(*K, F.col("node").alias(c), F.col("degree").alias(f"d_{c}"))
     rows = edges.select(*K, "src", "dst").join(side("src"), [*K, "src"]).join(side("dst"), [*K, "dst"])
     forward = F.struct("d_src", "src") < F.struct("d_dst", "dst")
-    out = checkpointed(rows.select(*K, F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("b")))
-    wedge = out.join(out.select(*K, "a", F.col("b").alias("c")), [*K, "a"]).filter("b < c")
-    closing = edges.select(*K, F.least("src", "dst").alias("b"), F.greatest("src", "dst").alias("c"))
-    found = wedge.join(closing, [*K, "b", "c"])
-    return found.select(*K, F.explode(F.array("a", "b", "c")).alias("node")).groupBy(*K, "node").agg(F.count("*").alias("triangles"))
+    out = rows.select(*K, F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("b"), F.least("d_src", "d_dst").alias("d"))
+    part = F.when(F.col("d") > size, F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / size))).otherwise(0)
+    lists = checkpointed(out.groupBy(*K, "a", part.alias("part")).agg(F.array_sort(F.collect_list("b")).alias("ends")))
+    all_ends = lists.select(*K, "a", F.explode("ends").alias("b"))
+    # a list of one node that is alone meets nobody
+    alone = F.size("ends") < 2
+    sent = lists.filter(~alone).select(*K, "a", "ends", F.explode("ends").alias("b"))
+    if lists.filter("part > 0").limit(1).count():
+        sent = all_ends.join(lists.select(*K, "a", "ends"), [*K, "a"])  # every list of a goes to every b of all its lists
+    found = sent.join(lists.select(*K, F.col("a").alias("b"), F.col("ends").alias("theirs")), [*K, "b"])
+    found = found.select(*K, "a", "b", F.array_intersect("ends", "theirs").alias("c")).filter(F.size("c") > 0)
+    one = lambda c, n: F.struct(c.alias("node"), n.cast("long").alias("n"))
+    credit = F.concat(F.array(one(F.col("a"), F.size("c")), one(F.col("b"), F.size("c"))), F.transform("c", lambda c: one(c, F.lit(1))))
+    return found.select(*K, F.explode(credit).alias("t")).groupBy(*K, "t.node").agg(F.sum("t.n").alias("triangles"))
 
 
 def with_clustering(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """rows, which have the nodes' degree, with their triangles and local clustering."""
     t, k = F.coalesce("triangles", F.lit(0)), F.col("degree")
-    rows = rows.join(triangles(edges), [*K, "node"], "left").withColumn("triangles", t)
+    rows = rows.join(triangles(edges, rows), [*K, "node"], "left").withColumn("triangles", t)
     return rows.withColumn("clustering", F.when(k > 1, 2 * F.col("triangles") / (k * (k - 1))).otherwise(F.lit(0.0)))
 
 
 def local_clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return with_clustering(degrees(nodes, edges), edges).select(*K, "node", "triangles", "clustering")
+    return with_clustering(checkpointed(degrees(nodes, edges)), edges).select(*K, "node", "triangles", "clustering")
 
 
 def average_clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +28,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """df as a table in the shared folder, bucketed and sorted by keys: joins by exactly these keys don't exchange it."""
+    spark = df.sparkSession
+    parts, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
+    rows = df.repartition(parts, *keys)  # a file a bucket
+    rows.write.format("parquet").bucketBy(parts, *keys).sortBy(*keys).option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
