@@ -31,7 +31,7 @@ def global_rank(df: DataFrame, *order: str) -> DataFrame:
     from . import shared
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = shared.checkpointed(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    dealt = shared.stored(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     sizes = {r["p"]: r["n"] for r in dealt.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     offset, entries = 0, []
@@ -51,7 +51,7 @@ def rank_within(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [*keys, *order]
-    dealt = shared.checkpointed(df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    dealt = shared.stored(df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
     dealt = dealt.withColumn("_range", F.shiftright("_at", 33))
     runs = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))

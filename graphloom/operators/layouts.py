@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..keys import K, uniform
-from ..shared import checkpointed
+from ..shared import stored
 from . import pairs as P
 from . import prep, structure
 
@@ -282,12 +282,12 @@ def build_dataset(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, layouts
     if config.initial_position:
         start = prep.drop_invalid_coords(initial).select(*node, F.col("x").alias("x0"), F.col("y").alias("y0"))
         cells, coords = cells.join(start, node, "left"), [*coords, "x0", "y0"]
-    cells = checkpointed(cells)
+    cells = stored(cells)
     facts = [F.count("*").alias("n"), (F.sum("degree") / 2).alias("num_edges"), *(F.count(c).alias(f"have_{c}") for c in coords), *(f(c).alias(f"{k}_{c}") for c in coords for k, f in (("mean", F.avg), ("dev", F.stddev_pop)))]
     if "clustering" in chosen:
         facts.append(F.avg("clustering").alias("graph_clustering"))
     flags = layouts.groupBy(*K).agg(F.max(prep.invalid("x") | prep.invalid("y")).alias("bad"))
-    graph = checkpointed(cells.groupBy(*K).agg(*facts).join(flags, K).join(graphs.select(*K, "graph_type"), K))
+    graph = stored(cells.groupBy(*K).agg(*facts).join(flags, K).join(graphs.select(*K, "graph_type"), K))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     graph = graph.withColumn("density", F.when(F.col("n") > 1, F.col("num_edges") / pairs).otherwise(F.lit(0.0)))
     if "clustering" in chosen:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..keys import K
-from ..shared import checkpointed
+from ..shared import stored
 from . import pairs as P
 
 
@@ -78,7 +78,7 @@ def pairwise_distance_loss(pred: DataFrame, true: DataFrame) -> DataFrame:
 
 
 def circular_layout_loss(pred: DataFrame, true: DataFrame) -> DataFrame:
-    rows = checkpointed(align_lengths(pred, true))
+    rows = stored(align_lengths(pred, true))
     parts = _angles(rows).groupBy(*K).agg(_mse().alias("mse"), _radius().alias("radius"), _spacing().alias("spacing"), _center().alias("center"))
     parts = parts.join(_pair_sums(rows), K)
     pairwise = 2 * F.col("s") / (F.col("n") * F.col("n"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..keys import K
-from ..shared import checkpointed
+from ..shared import stored
 from . import pairs as P
 from . import prep, structure
 from .neighbours import knn_within_graph
@@ -221,13 +221,13 @@ def clamped_step(coords: DataFrame, forces: DataFrame, alpha: float = 1.0, clamp
 
 def fr_unrolled(coords: DataFrame, edges: DataFrame, steps: int = 3, clamp: float = 0.05) -> DataFrame:
     """`steps` clamped force steps within connected components."""
-    parts = checkpointed(prep.connected_components(coords.select(*NODE), edges))
-    k = checkpointed(parts.join(ideal_length(parts), [*K, "component"]).select(*NODE, "k"))
+    parts = stored(prep.connected_components(coords.select(*NODE), edges))
+    k = stored(parts.join(ideal_length(parts), [*K, "component"]).select(*NODE, "k"))
     routes = Routes(coords, edges, steps)
     for _ in range(steps):
         state = coords.select(*NODE, "x", "y").join(k, NODE).join(routes.known, NODE)
         forces = _pull(routes.met(state, ["x", "y", "k"]), 1e-2).unionByName(fr_repulsion(coords, parts, k))
-        coords = checkpointed(clamped_step(coords, forces, clamp=clamp))
+        coords = stored(clamped_step(coords, forces, clamp=clamp))
     return coords
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..keys import K
-from ..shared import checkpointed
+from ..shared import stored
 
 #: Nodes a block, and pairs a numpy step.
 BLOCK, STEP = 512, 1 << 18
@@ -112,7 +112,7 @@ def _blocks(rows: DataFrame, keys: list[str], columns: list[str], block: int) ->
     sized = rows.join(rows.groupBy(*keys).agg(F.count("*").alias("n")), keys)
     nb = F.ceil(F.col("n") / block).cast("int")
     dealt = sized.select(*keys, "n", nb.alias("nb"), F.pmod(F.xxhash64("node"), nb).cast("int").alias("b"), F.struct("node", *columns).alias("_c"))
-    return checkpointed(dealt.groupBy(*keys, "n", "nb", "b").agg(F.array_sort(F.collect_list("_c")).alias("c")))
+    return stored(dealt.groupBy(*keys, "n", "nb", "b").agg(F.array_sort(F.collect_list("_c")).alias("c")))
 
 
 def _folded(p: str, name: str, kind: str) -> Column:

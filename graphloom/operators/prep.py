@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..keys import K, rank_within
-from ..shared import checkpointed
+from ..shared import stored
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def drop_self_loops(edges: DataFrame) -> DataFrame:
 def remap_nodes(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes with idx 0..n-1 by old id, edges between idx); only nodes that an edge has."""
     ends = edges.select(*K, F.explode(F.array("src", "dst")).alias("node")).distinct()
-    nodes = checkpointed(rank_within(ends, K, "node").withColumn("idx", F.col("rank").cast("int")).drop("rank"))
+    nodes = stored(rank_within(ends, K, "node").withColumn("idx", F.col("rank").cast("int")).drop("rank"))
     at = lambda c: nodes.select(*K, F.col("node").alias(c), F.col("idx").alias(f"{c}_idx"))
     mapped = edges.join(at("src"), [*K, "src"]).join(at("dst"), [*K, "dst"])
     return nodes, mapped.select(*K, F.col("src_idx").cast("long").alias("src"), F.col("dst_idx").cast("long").alias("dst"), "weight")
@@ -81,16 +81,16 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _roots(links: DataFrame) -> DataFrame:
     """(node, root), the smallest node reachable over links (src, dst) in both directions. Neighbour minima with pointer
-    jumps, so a path of n nodes takes about log n rounds; each round is checkpointed."""
-    both = checkpointed(symmetrize(links.withColumn("weight", F.lit(1.0))).select(*K, "src", "dst").distinct())
-    labels = checkpointed(both.groupBy(*K, F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("root")))
+    jumps, so a path of n nodes takes about log n rounds; each round is stored."""
+    both = stored(symmetrize(links.withColumn("weight", F.lit(1.0))).select(*K, "src", "dst").distinct())
+    labels = stored(both.groupBy(*K, F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("root")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "dst"), [*K, "dst"]).groupBy(*K, "src").agg(F.min("root").alias("near")).withColumnRenamed("src", "node")
         step = labels.join(near, [*K, "node"]).select(*K, "node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         pull = step.groupBy(*K, "old").agg(F.min("root").alias("pulled"))
         step = step.join(pull, [*K, "old"]).select(*K, "node", "old", "pulled")
         jump = step.select(*K, F.col("node").alias("pulled"), F.col("pulled").alias("to"))
-        step = checkpointed(step.join(jump, [*K, "pulled"], "left").select(*K, "node", "old", F.least("pulled", F.coalesce("to", "pulled")).alias("root")))
+        step = stored(step.join(jump, [*K, "pulled"], "left").select(*K, "node", "old", F.least("pulled", F.coalesce("to", "pulled")).alias("root")))
         labels = step.select(*K, "node", "root")
         if not step.filter("root <> old").limit(1).count():
             return labels
@@ -106,9 +106,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     # a rebalance, not a repartition: the edges of a graph that is much of the table are dealt to several tasks
     dealt = drop_self_loops(edges).select(*K, F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).hint("rebalance", *K).sortWithinPartitions(*K)
     schema = f"bundle {kinds['bundle']}, graph_id {kinds['graph_id']}, node long, root long"
-    stars = checkpointed(dealt.mapInArrow(_stars, schema))
+    stars = stored(dealt.mapInArrow(_stars, schema))
     labels = stars.groupBy(*K, "node").agg(F.min("root").alias("root"), F.max("root").alias("other"))
-    split = checkpointed(labels.filter("root <> other").select(*K).distinct())
+    split = stored(labels.filter("root <> other").select(*K).distinct())
     labels = labels.select(*K, "node", "root")
     if split.limit(1).count():
         links = stars.join(split, K, "left_semi").select(*K, F.col("node").alias("src"), F.col("root").alias("dst"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..keys import K
-from ..shared import checkpointed
+from ..shared import stored
 from .prep import symmetrize
 
 
@@ -47,7 +47,7 @@ def triangles(edges: DataFrame, known: DataFrame | None = None, size: int = LIST
     forward = F.struct("d_src", "src") < F.struct("d_dst", "dst")
     out = rows.select(*K, F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("b"), F.least("d_src", "d_dst").alias("d"))
     part = F.when(F.col("d") > size, F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / size))).otherwise(0)
-    lists = checkpointed(out.groupBy(*K, "a", part.alias("part")).agg(F.array_sort(F.collect_list("b")).alias("ends")))
+    lists = stored(out.groupBy(*K, "a", part.alias("part")).agg(F.array_sort(F.collect_list("b")).alias("ends")))
     all_ends = lists.select(*K, "a", F.explode("ends").alias("b"))
     # a list of one node that is alone meets nobody
     alone = F.size("ends") < 2
@@ -69,7 +69,7 @@ def with_clustering(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def local_clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return with_clustering(checkpointed(degrees(nodes, edges)), edges).select(*K, "node", "triangles", "clustering")
+    return with_clustering(stored(degrees(nodes, edges)), edges).select(*K, "node", "triangles", "clustering")
 
 
 def average_clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -78,12 +78,12 @@ def er_graphs(specs: DataFrame, p: float = 0.1, seed: int = 42, max_attempts: in
     """Random graphs, each drawn again until it is connected; RuntimeError if one is not after max_attempts."""
     left, edges = specs.filter("num_nodes > 0"), None
     for attempt in range(max_attempts):
-        drawn = shared.checkpointed(er_edges(left, p, seed, attempt))
+        drawn = shared.stored(er_edges(left, p, seed, attempt))
         counts = prep.component_counts(prep.connected_components(_nodes(left).select(*K, "node"), drawn))
-        good = shared.checkpointed(counts.filter("n_components = 1").select(*K))
+        good = shared.stored(counts.filter("n_components = 1").select(*K))
         kept = drawn.join(good, K, "left_semi")
         edges = kept if edges is None else edges.unionByName(kept)
-        left = shared.checkpointed(left.join(good, K, "left_anti"))
+        left = shared.stored(left.join(good, K, "left_anti"))
         if not left.limit(1).count():
             return _family(specs, edges, "ER")
     raise RuntimeError(f"graphs are not connected after {max_attempts} attempts: raise p")

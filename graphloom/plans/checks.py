@@ -412,10 +412,10 @@ def ideal_length(graphs, nodes, edges):
 
 
 def _component_lengths(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    from ..shared import checkpointed
+    from ..shared import stored
 
-    parts = checkpointed(prep.connected_components(nodes.select(*NODE), edges))
-    return parts, checkpointed(parts.join(M.ideal_length(parts), [*K, "component"]).select(*NODE, "k"))
+    parts = stored(prep.connected_components(nodes.select(*NODE), edges))
+    return parts, stored(parts.join(M.ideal_length(parts), [*K, "component"]).select(*NODE, "k"))
 
 
 def fr(coords: str, tag: str) -> str:

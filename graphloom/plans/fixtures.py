@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..keys import K, uniform_sql
 from ..operators import synth
-from ..shared import checkpointed
+from ..shared import stored
 
 
 def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -21,11 +21,11 @@ def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
     each = items.join(orders, "l_orderkey").join(customers.select(*K), "graph_id").select(*K, F.inline(pairs))
     edges = each.groupBy(*K, "src", "dst").agg(F.count("*").cast("double").alias("weight"))
-    edges = checkpointed(edges)
+    edges = stored(edges)
     ends = edges.select(*K, F.explode(F.array("src", "dst")).alias("node")).distinct()
     nodes = ends.withColumn("idx", (F.row_number().over(Window.partitionBy(*K).orderBy("node")) - 1).cast("int"))
     nations = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("node"), F.col("n_regionkey").cast("int").alias("community"))
-    nodes = checkpointed(nodes.join(nations, "node", "left").select(*K, "node", "idx", "community"))
+    nodes = stored(nodes.join(nations, "node", "left").select(*K, "node", "idx", "community"))
     sizes = nodes.groupBy(*K).agg(F.count("*").cast("int").alias("num_nodes"))
     return customers.join(sizes, K), nodes, edges
 
@@ -98,8 +98,8 @@ def big_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of one large graph: parts of one order that were returned and had the same discount."""
     l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_returnflag = 'R'").select("l_orderkey", "l_discount", F.col("l_partkey").alias("node")).distinct()
     pairs = l.join(l.withColumnRenamed("node", "other"), ["l_orderkey", "l_discount"]).filter("node < other")
-    edges = checkpointed(pairs.groupBy(F.lit("all").alias("bundle"), F.lit(0).alias("graph_id"), F.col("node").alias("src"), F.col("other").alias("dst")).agg(F.count("*").cast("double").alias("weight")))
-    return checkpointed(edges.select(*K, F.explode(F.array("src", "dst")).alias("node")).distinct()), edges
+    edges = stored(pairs.groupBy(F.lit("all").alias("bundle"), F.lit(0).alias("graph_id"), F.col("node").alias("src"), F.col("other").alias("dst")).agg(F.count("*").cast("double").alias("weight")))
+    return stored(edges.select(*K, F.explode(F.array("src", "dst")).alias("node")).distinct()), edges
 
 
 BIG = """WITH RECURSIVE bl AS (SELECT DISTINCT l_orderkey, l_discount, l_partkey AS node FROM lineitem WHERE l_returnflag = 'R'),

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Tables that stored() and bucketed() wrote and no scratch() has removed: (path, name in the catalog or None).
+_tables: list[tuple[str, str | None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,17 +27,44 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder until nothing refers to it; its lineage is cut."""
+    """df, computed and kept in the shared folder; its lineage is cut. Spark removes the files once nothing refers to them if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: it is computed once (a checkpoint without a cache computes its last stage twice), and
+    later reads take only the columns they need. The table stays until the scratch() around it ends."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _tables.append((path, None))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """df as a table in the shared folder, bucketed and sorted by keys: joins by exactly these keys don't exchange it."""
     spark = df.sparkSession
     parts, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
-    rows = df.repartition(parts, *keys)  # a file a bucket
-    rows.write.format("parquet").bucketBy(parts, *keys).sortBy(*keys).option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    rows, path = df.repartition(parts, *keys), f"{shared_dir(spark)}/{table}"  # a file a bucket
+    rows.write.format("parquet").bucketBy(parts, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    _tables.append((path, table))
     return spark.table(table)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what stored() and bucketed() wrote meanwhile. Results have to be written or collected inside."""
+    start = len(_tables)
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path, table in _tables[start:]:
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        del _tables[start:]
