@@ -233,22 +233,31 @@ def _vector(chosen: list[str], seed: int) -> Column:
     return F.concat(*(parts[c]() if c in parts else one(c) for c in chosen))
 
 
-def pack_samples(graphs: DataFrame, features: DataFrame, edges: DataFrame, layouts: DataFrame) -> DataFrame:
-    """One row per graph: arrays in the order of idx, edges forward and then reversed, y standardised and as given."""
+def pack_samples(graphs: DataFrame, features: DataFrame, edges: DataFrame, layouts: DataFrame, communities: DataFrame | None = None) -> DataFrame:
+    """One row per graph: arrays in the order of idx, edges forward and then reversed, y standardised and as given, and the communities
+    of nodes(bundle, graph_id, node, community), if given."""
     cells = features.join(layouts.select(*K, "node", "layout_type", "x", "y"), [*K, "node"])
     cells = normalize_coords(cells.withColumns({"ox": F.col("x"), "oy": F.col("y")}))
+    if communities is not None:
+        cells = cells.join(communities.select(*K, "node", "community"), [*K, "node"], "left")
     return _packed(graphs.select(*K, "graph_type"), cells, edges, features)
 
 
 def _packed(graphs: DataFrame, cells: DataFrame, edges: DataFrame, places: DataFrame) -> DataFrame:
-    """Samples of cells (node, idx, f, layout_type, x, y, ox, oy); places: the idx of each node."""
-    sorted_cells = F.array_sort(F.collect_list(F.struct("idx", "f", "x", "y", "ox", "oy")))
-    per = cells.groupBy(*K).agg(F.first("layout_type").alias("layout_type"), sorted_cells.alias("c"))
+    """Samples of cells (node, idx, f, layout_type, x, y, ox, oy, maybe community); places: the idx of each node. A graph has communities
+    if its first node has one; nodes without one count as 0 then."""
+    if "community" not in cells.columns:
+        cells = cells.withColumn("community", F.lit(None).cast("int"))
+    sorted_cells = F.array_sort(F.collect_list(F.struct("idx", "f", "x", "y", "ox", "oy", "community")))
+    unknown = lambda c: F.coalesce(c, F.lit("unknown"))
+    per = cells.groupBy(*K).agg(unknown(F.first("layout_type")).alias("layout_type"), sorted_cells.alias("c"))
     at = lambda c: places.select(*K, F.col("node").alias(c), F.col("idx").cast("long").alias(f"{c}_i"))
     pairs = edges.join(at("src"), [*K, "src"]).join(at("dst"), [*K, "dst"]).groupBy(*K).agg(F.array_sort(F.collect_list(F.struct(F.col("src_i").alias("src"), F.col("dst_i").alias("dst")))).alias("e"))
     turned = F.transform("e", lambda p: F.struct(p["dst"].alias("src"), p["src"].alias("dst")))
     xy = lambda a, b: F.transform("c", lambda p: F.struct(p[a].alias("x"), p[b].alias("y")))
-    return graphs.join(per, K).join(pairs, K).select(*K, "graph_type", "layout_type", F.transform("c", lambda p: p["f"]).alias("x"), F.concat("e", turned).alias("edge_index"), xy("x", "y").alias("y"), xy("ox", "oy").alias("original_y"))
+    community = F.when(F.col("c")[0]["community"].isNotNull(), F.transform("c", lambda p: F.coalesce(p["community"], F.lit(0)).cast("int"))).alias("community")
+    out = graphs.join(per, K).join(pairs, K).select(*K, unknown(F.col("graph_type")).alias("graph_type"), "layout_type", F.transform("c", lambda p: p["f"]).alias("x"), F.concat("e", turned).alias("edge_index"), xy("x", "y").alias("y"), xy("ox", "oy").alias("original_y"), community)
+    return out.withColumn("num_communities", F.when(F.col("community").isNotNull(), F.size(F.array_distinct("community"))))
 
 
 def unpack_samples(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -264,18 +273,26 @@ def _standard(c: str) -> Column:
     return (F.col(c) - F.col(f"mean_{c}")) / F.when(s < 1e-6, F.lit(1.0)).otherwise(s)
 
 
+def known_of_nodes(nodes: DataFrame, edges: DataFrame, layouts: DataFrame) -> DataFrame:
+    """nodes with their coordinates, if they have any, and degree (and community, if nodes have one)."""
+    node = [*K, "node"]
+    rows = nodes.select(*node, "idx", *(c for c in ["community"] if c in nodes.columns))
+    rows = rows.join(layouts.select(*node, "layout_type", "x", "y"), node, "left")
+    found = structure.degrees_of(edges)
+    return rows.join(found, node, "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+
+
 def build_dataset(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, layouts: DataFrame, config: FeatureConfig, initial: DataFrame | None = None, seed: int = 42) -> DataFrame:
     """Graphs joined to their layouts, features over all of them, invalid ones dropped, one packed sample per graph.
 
     What is known of a node (coordinates, degree, triangles) is joined once, by graph and node, and kept; one aggregate of
     that has a graph's sizes, statistics and flags, so a graph is dropped by the join that brings its features. A graph goes
     without a layout, with an invalid coordinate, with a node that lacks one (or an initial position, where that is a
-    feature), and without edges.
+    feature; prep.missing_initial() tells which), and without edges. Missing types are "unknown".
     """
     prep.validate_features({"use_onehot": config.onehot, "use_initial_position": config.initial_position}, graphs, initial)
     chosen, node = config.chosen(), [*K, "node"]
-    cells = nodes.select(*node, "idx").join(layouts.select(*node, "layout_type", "x", "y"), node, "left")
-    cells = cells.join(structure.degrees(nodes, edges), node)
+    cells = known_of_nodes(nodes, edges, layouts)
     coords = ["x", "y"]
     if "clustering" in chosen:
         cells = structure.with_clustering(cells, edges)
@@ -298,7 +315,8 @@ def build_dataset(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, layouts
     rows = cells.drop("clustering").join(kept, K)
     if config.initial_position:
         rows = rows.withColumns({"x0": _standard("x0"), "y0": _standard("y0")})
-    rows = rows.select(*node, "idx", "layout_type", _vector(chosen, seed).alias("f"), _standard("x").alias("x"), _standard("y").alias("y"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    community = [c for c in ["community"] if c in rows.columns]
+    rows = rows.select(*node, "idx", "layout_type", *community, _vector(chosen, seed).alias("f"), _standard("x").alias("x"), _standard("y").alias("y"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     has, width = F.lit(config.initial_position), F.size(F.col("x")[0])
     packed = _packed(graphs.select(*K, "graph_type"), rows, edges, cells)
     return packed.withColumns({"has_initial_position": has, "initial_position_dims": F.when(has, F.struct((width - 2).alias("lo"), width.alias("hi")))})

@@ -159,6 +159,21 @@ def join_initial(nodes: DataFrame, initial: DataFrame) -> DataFrame:
     return nodes.join(initial.select(*K, "node", F.col("x").alias("x0"), F.col("y").alias("y0")), [*K, "node"], "left")
 
 
+def missing_initial(nodes: DataFrame, initial: DataFrame) -> DataFrame:
+    """Graphs with a node that has no valid initial position, and how many: those that a dataset with such a feature drops."""
+    lacking = nodes.select(*K, "node").join(drop_invalid_coords(initial), [*K, "node"], "left_anti")
+    return lacking.groupBy(*K).agg(F.count("*").alias("lacking"))
+
+
+def feature_support(graphs: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    """Per bundle, whether all its graphs have one size (one-hot features need that) and whether any has initial positions."""
+    sizes = graphs.groupBy("bundle").agg((F.countDistinct("num_nodes") <= 1).alias("one_size"))
+    if initial is None:
+        return sizes.withColumn("has_initial", F.lit(False))
+    have = initial.join(graphs.select(*K), K, "left_semi").select("bundle").distinct().withColumn("has_initial", F.lit(True))
+    return sizes.join(have, "bundle", "left").withColumn("has_initial", F.coalesce("has_initial", F.lit(False)))
+
+
 def validate_features(config: dict[str, bool], graphs: DataFrame, initial: DataFrame | None = None) -> None:
     """Raises ValueError if one-hot features meet graphs of several sizes, or initial positions are wanted and absent."""
     if config.get("use_onehot") and graphs.select("num_nodes").distinct().limit(2).count() > 1:

@@ -120,10 +120,13 @@ def connectivity_rate(component_counts: DataFrame) -> DataFrame:
 
 
 def dataset_statistics(samples: DataFrame) -> DataFrame:
-    """One row per (graph_type, layout_type) and the totals: counts, and ranges of nodes and edges (half of edge_index)."""
-    rows = samples.select("graph_type", "layout_type", F.col("num_communities").isNotNull().cast("int").alias("c"), F.col("has_initial_position").cast("int").alias("i"), F.size("x").alias("n"), (F.size("edge_index") / 2).alias("e"))
+    """One row per graph type, per layout type, and of all (`level` tells which): counts, and ranges of nodes and edges (half of
+    edge_index). A missing type is "unknown"."""
+    kind = lambda c: F.coalesce(c, F.lit("unknown")).alias(c)
+    rows = samples.select(kind("graph_type"), kind("layout_type"), F.col("num_communities").isNotNull().cast("int").alias("c"), F.coalesce("has_initial_position", F.lit(False)).cast("int").alias("i"), F.size("x").alias("n"), (F.size("edge_index") / 2).alias("e"))
     aggs = [F.count("*").alias("num_graphs"), F.sum("c").alias("with_communities"), F.sum("i").alias("with_initial"), F.min("n").alias("min_nodes"), F.max("n").alias("max_nodes"), F.avg("n").alias("avg_nodes"), F.min("e").alias("min_edges"), F.max("e").alias("max_edges"), F.avg("e").alias("avg_edges")]
-    return rows.groupingSets([["graph_type"], ["layout_type"], []], "graph_type", "layout_type").agg(*aggs)
+    level = F.when(F.grouping("graph_type") == 0, "graph_type").when(F.grouping("layout_type") == 0, "layout_type").otherwise("all").alias("level")
+    return rows.groupingSets([["graph_type"], ["layout_type"], []], "graph_type", "layout_type").agg(level, *aggs)
 
 
 def dataset_info(samples: DataFrame) -> DataFrame:
@@ -134,7 +137,8 @@ def dataset_info(samples: DataFrame) -> DataFrame:
 
 
 def generation_summary(attempts: DataFrame) -> DataFrame:
-    """One row over attempts(ok, seed, nodes, edges, communities): success rate, ranges, seeds (0 is one) and repeated ones."""
+    """One row over attempts(ok, seed, nodes, edges, communities): success rate, ranges, seeds (0 is none) and repeated ones."""
     good = lambda c: F.when(F.col("ok"), F.col(c))
     ranges = [f(good(c)).alias(f"{p}_{c}") for c in ("nodes", "edges", "communities") for p, f in (("min", F.min), ("max", F.max), ("avg", F.avg))]
-    return attempts.agg(F.count("*").alias("attempts"), F.avg(F.col("ok").cast("int")).alias("success_rate"), *ranges, F.min(good("seed")).alias("min_seed"), F.max(good("seed")).alias("max_seed"), (F.count(good("seed")) - F.countDistinct(good("seed"))).alias("repeated_seeds"))
+    seed = F.when(F.col("ok") & (F.col("seed") != 0), F.col("seed"))
+    return attempts.agg(F.count("*").alias("attempts"), F.avg(F.col("ok").cast("int")).alias("success_rate"), *ranges, F.min(seed).alias("min_seed"), F.max(seed).alias("max_seed"), (F.count(seed) - F.countDistinct(seed)).alias("repeated_seeds"))

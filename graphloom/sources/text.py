@@ -1,4 +1,4 @@
-"""Graph tables from and to files: edge and community text, Parquet tables, bundle selection, JSON results."""
+"""Edge and community text, bundle selection, JSON results."""
 
 from __future__ import annotations
 
@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 
 from ..keys import K
 
-GRAPH_COLUMNS = ["bundle", "graph_id", "graph_type", "num_nodes"]
+def _tokens(lines: DataFrame) -> DataFrame:
+    """Lines (..., line_no, value) that are neither blank nor comments, with `t`, their tokens."""
+    value = F.trim(F.regexp_replace("value", r"\s+", " "))
+    return lines.withColumn("_v", value).filter((F.col("_v") != "") & ~F.col("_v").startswith("#")).withColumn("t", F.split("_v", " ")).drop("_v")
 
 
 def _fields(lines: DataFrame) -> DataFrame:
-    """Lines (..., line_no, value) that are neither blank nor comments, as `t`, their tokens."""
-    value = F.trim(F.regexp_replace("value", r"\s+", " "))
-    return lines.withColumn("t", F.split(value, " ")).filter((value != "") & ~value.startswith("#") & (F.size("t") >= 2))
+    return _tokens(lines).filter(F.size("t") >= 2)
 
 
 def _whole(c: Column) -> Column:
-    return F.expr("try_cast(a AS BIGINT)") if isinstance(c, str) else c.try_cast("bigint")
+    return c.try_cast("bigint")
 
 
 def parse_edge_lines(lines: DataFrame) -> DataFrame:
@@ -40,10 +41,25 @@ def parse_community_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(bundle, graph_id, line_no, value) of text files; the bundle is the folder, the graph the file, lines in file order."""
-    file = F.input_file_name()
-    rows = spark.read.text(path).withColumns({"line_no": F.monotonically_increasing_id(), "bundle": F.regexp_extract(file, r"([^/]*)/[^/]*$", 1), "graph_id": F.regexp_extract(file, r"([^/]*?)(\.[^./]*)?$", 1)})
-    return rows.select(*K, "line_no", "value")
+    """(bundle, graph_id, line_no, value) of text files; the bundle is the folder, the graph the file. line_no orders the lines of a file, also
+    where it is read in several splits: the first byte of the split, and a number that ascends within the split."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    rows = spark.read.text(path).select("value", place.alias("line_no"), F.url_decode("_metadata.file_path").alias("file"))
+    return rows.select(F.regexp_extract("file", r"([^/]*)/[^/]*$", 1).alias("bundle"), F.regexp_extract("file", r"([^/]*?)(\.[^./]*)?$", 1).alias("graph_id"), "line_no", "value")
+
+
+def rejected_lines(lines: DataFrame, kind: str) -> DataFrame:
+    """The lines (bundle, graph_id, line_no, value) that parse_edge_lines() ("edges") or parse_community_lines() ("communities") skip
+    although they are neither blank nor comments, with the reason: "short" or "not a number"."""
+    if kind not in ("edges", "communities"):
+        raise ValueError(f"unknown kind of lines {kind!r}: edges, communities")
+    t = _tokens(lines)
+    whole = [F.col("t")[0].try_cast("bigint"), F.col("t")[1].try_cast("bigint" if kind == "edges" else "int")]
+    bad = whole[0].isNull() | whole[1].isNull()
+    if kind == "edges":
+        bad = bad | ((F.size("t") > 2) & F.col("t")[2].try_cast("double").isNull())
+    reason = F.when(F.size("t") < 2, "short").when(bad, "not a number")
+    return t.withColumn("reason", reason).filter("reason IS NOT NULL").select(*K, "line_no", "value", "reason")
 
 
 def read_edge_text(spark: SparkSession, path: str) -> DataFrame:
@@ -54,20 +70,6 @@ def read_community_text(spark: SparkSession, path: str) -> DataFrame:
     return parse_community_lines(read_lines(spark, path))
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """Graphs, edges, layouts, initial positions or packed samples, partitioned by bundle."""
-    df.write.partitionBy("bundle").parquet(path)
-
-
-def read_table(spark: SparkSession, path: str, need: list[str]) -> DataFrame:
-    """A table written by write_table(); ValueError if a needed column is absent."""
-    df = spark.read.parquet(path)
-    lacking = [c for c in need if c not in df.columns]
-    if lacking:
-        raise ValueError(f"{path} is no such table: it lacks {', '.join(lacking)}")
-    return df.withColumn("bundle", F.col("bundle").cast("string"))
-
-
 def select_bundles(df: DataFrame, patterns: list[str]) -> DataFrame:
     """Rows whose bundle matches any of the glob patterns."""
     if not patterns:
@@ -90,4 +92,5 @@ def match_layout_bundles(graphs: DataFrame, layouts: DataFrame, layout_type: str
 
 
 def write_results_json(df: DataFrame, path: str) -> None:
-    df.write.json(path)
+    """A line of JSON per run; nested columns stay nested, and null fields are written as such."""
+    df.write.option("ignoreNullFields", "false").json(path)
