@@ -141,9 +141,10 @@ def _softmax_sum(rows: DataFrame, width: int) -> DataFrame:
     return rows.groupBy(*NODE).agg(_vector(width, lambda i: F.sum(F.col("a") * F.col("o_v")[i]) / F.sum("a")).alias("f"))
 
 
-def knn_attention(qkv: DataFrame, coords: DataFrame, k: int, width: int, soft: float = 1e-6) -> DataFrame:
-    """Attention over the k nearest: softmax of q.k / sqrt(width) + 1 / (d + soft); qkv(bundle, graph_id, node, q, k, v)."""
-    near = knn_within_graph(coords, k)
+def knn_attention(qkv: DataFrame, coords: DataFrame | None, k: int, width: int, soft: float = 1e-6, near: DataFrame | None = None) -> DataFrame:
+    """Attention over the k nearest (or those of near(bundle, graph_id, node, other, d)): softmax of q.k / sqrt(width) + 1 / (d + soft);
+    qkv(bundle, graph_id, node, q, k, v)."""
+    near = knn_within_graph(coords, k) if near is None else near
     sent = qkv.select(*K, F.col("node").alias("other"), F.col("k").alias("o_k"), F.col("v").alias("o_v"))
     rows = near.join(sent, [*K, "other"]).join(qkv.select(*NODE, "q"), NODE)
     return _softmax_sum(rows.withColumn("e", _dot("q", "o_k") / width**0.5 + 1 / (F.col("d") + soft)), width)

@@ -6,6 +6,8 @@ edges or layouts, put in by the numbers of graphs and nodes.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from ..operators import layouts as L
 from ..operators import losses as G
 from ..operators import messages as M
 from ..operators import prep, structure
+from ..shared import shared_dir, stored
 from ..sources import text as T
 from .fixtures import BIG as BIG_SQL
 from .fixtures import HISTORY, RUNS, big_graph, history, runs
@@ -139,29 +142,40 @@ def community_statistics(graphs, nodes, edges):
 
 
 def _samples(graphs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Packed samples with degree and place; every third has communities."""
-    packed = L.build_dataset(graphs, nodes, edges, L.circular_layout(nodes), L.FeatureConfig(degree=True, positional=True))
-    return packed.withColumn("num_communities", F.when(F.col("graph_id") % 3 == 0, F.lit(2)))
+    """Packed samples with degree and place. A third of the nodes have no community, a fifth of the graphs no type."""
+    some = nodes.withColumn("community", F.when(F.col("node") % 3 > 0, F.col("community")))
+    typed = graphs.withColumn("graph_type", F.when(F.col("graph_id") % 5 > 0, F.col("graph_type")))
+    return L.build_dataset(typed, some, edges, L.circular_layout(nodes), L.FeatureConfig(degree=True, positional=True))
+
+
+_TYPE = "CASE WHEN graph_id % 5 > 0 THEN graph_type ELSE 'unknown' END"
+_SOME = f"told AS (SELECT {_KEY}, list(CASE WHEN node % 3 > 0 THEN community ELSE 0 END ORDER BY idx) AS community FROM nodes GROUP BY ALL HAVING bool_or(idx = 0 AND node % 3 > 0))"
 
 
-@query(", g AS (SELECT graph_type, 'circular' AS layout_type, (graph_id % 3 = 0)::INT AS c, num_nodes AS n, num_edges AS e FROM graphs JOIN sizes USING (bundle, graph_id)) SELECT graph_type, layout_type, count(*) AS num_graphs, sum(c)::BIGINT AS with_communities, 0::BIGINT AS with_initial, min(n)::INT AS min_nodes, max(n)::INT AS max_nodes, avg(n) AS avg_nodes, min(e)::DOUBLE AS min_edges, max(e)::DOUBLE AS max_edges, avg(e) AS avg_edges FROM g GROUP BY GROUPING SETS ((graph_type), (layout_type), ())")
+@query(f", {_SOME}, g AS (SELECT {_TYPE} AS graph_type, 'circular' AS layout_type, (community IS NOT NULL)::INT AS c, num_nodes AS n, num_edges AS e FROM graphs JOIN sizes USING ({_KEY}) LEFT JOIN told USING ({_KEY})) SELECT CASE WHEN grouping(graph_type) = 0 THEN 'graph_type' WHEN grouping(layout_type) = 0 THEN 'layout_type' ELSE 'all' END AS level, graph_type, layout_type, count(*) AS num_graphs, sum(c)::BIGINT AS with_communities, 0::BIGINT AS with_initial, min(n)::INT AS min_nodes, max(n)::INT AS max_nodes, avg(n) AS avg_nodes, min(e)::DOUBLE AS min_edges, max(e)::DOUBLE AS max_edges, avg(e) AS avg_edges FROM g GROUP BY GROUPING SETS ((graph_type), (layout_type), ())")
 def dataset_statistics(graphs, nodes, edges):
     return structure.dataset_statistics(_samples(graphs, nodes, edges))
 
 
+@query(f", {_SOME} SELECT {_KEY}, {_TYPE} AS graph_type, array_to_string(community, ' ') AS community, len(list_distinct(community))::INT AS num_communities FROM graphs LEFT JOIN told USING ({_KEY})")
+def pack_communities(graphs, nodes, edges):
+    """Communities of a sample in the order of its nodes, 0 where a node has none; none if the first node has none."""
+    return _samples(graphs, nodes, edges).select(*K, "graph_type", F.array_join("community", " ").alias("community"), "num_communities")
+
+
 @query("SELECT count(*) AS num_graphs, 2 AS feature_dim, 2 AS output_dim, avg(num_nodes) AS avg_nodes, min(num_nodes)::INT AS min_nodes, max(num_nodes)::INT AS max_nodes, avg(num_edges) AS avg_edges, arg_min(graph_id, (bundle, graph_id)) AS sample_id FROM sizes")
 def dataset_info(graphs, nodes, edges):
     return structure.dataset_info(_samples(graphs, nodes, edges))
 
 
-_ATTEMPTS = "WITH a AS (SELECT o_orderkey % 7 > 1 AS ok, nullif(o_custkey % 50, 0) AS seed, o_custkey AS nodes, o_orderkey AS edges, o_custkey % 5 AS communities FROM orders) "
+_ATTEMPTS = "WITH a AS (SELECT o_orderkey % 7 > 1 AS ok, o_custkey % 50 AS seed, o_custkey AS nodes, o_orderkey AS edges, o_custkey % 5 AS communities FROM orders) "
 
 
-@query("SELECT count(*) AS attempts, avg(ok::INT) AS success_rate, " + ", ".join(f"{f}({c}) FILTER (ok) AS {f}_{c}" for c in ("nodes", "edges", "communities") for f in ("min", "max", "avg")) + ", min(seed) FILTER (ok) AS min_seed, max(seed) FILTER (ok) AS max_seed, count(seed) FILTER (ok) - count(DISTINCT seed) FILTER (ok) AS repeated_seeds FROM a", _ATTEMPTS)
+@query("SELECT count(*) AS attempts, avg(ok::INT) AS success_rate, " + ", ".join(f"{f}({c}) FILTER (ok) AS {f}_{c}" for c in ("nodes", "edges", "communities") for f in ("min", "max", "avg")) + ", min(seed) FILTER (ok AND seed <> 0) AS min_seed, max(seed) FILTER (ok AND seed <> 0) AS max_seed, count(seed) FILTER (ok AND seed <> 0) - count(DISTINCT seed) FILTER (ok AND seed <> 0) AS repeated_seeds FROM a", _ATTEMPTS)
 def generation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An attempt per order."""
+    """An attempt per order; some have the seed 0, which counts as none."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    seed = F.nullif(F.col("o_custkey") % 50, F.lit(0))
+    seed = F.col("o_custkey") % 50
     return structure.generation_summary(o.select((F.col("o_orderkey") % 7 > 1).alias("ok"), seed.alias("seed"), F.col("o_custkey").alias("nodes"), F.col("o_orderkey").alias("edges"), (F.col("o_custkey") % 5).alias("communities")))
 
 
@@ -242,7 +256,7 @@ def unpack_sample_edges(graphs, nodes, edges):
     return L.unpack_samples(_samples(graphs, nodes, edges))[1]
 
 
-@query(f", e AS (SELECT e.bundle, e.graph_id, a.idx AS s, b.idx AS d, row_number() OVER (PARTITION BY e.bundle, e.graph_id ORDER BY a.idx, b.idx) AS i FROM edges e JOIN nodes a ON {on('e', 'a', 'src=node')} JOIN nodes b ON {on('e', 'b', 'dst=node')}) SELECT {_KEY}, any_value(t) AS graph_type, 'circular' AS layout_type, string_agg(s || '-' || d, ' ' ORDER BY i) || ' ' || string_agg(d || '-' || s, ' ' ORDER BY i) AS edge_index, any_value(ox) AS original_x FROM e JOIN (SELECT {_KEY}, any_value(graph_type) AS t, round(sum((idx + 1) * cx), 9) + 0.0 AS ox FROM circ JOIN graphs USING ({_KEY}) GROUP BY ALL) USING ({_KEY}) GROUP BY ALL")
+@query(f", e AS (SELECT e.bundle, e.graph_id, a.idx AS s, b.idx AS d, row_number() OVER (PARTITION BY e.bundle, e.graph_id ORDER BY a.idx, b.idx) AS i FROM edges e JOIN nodes a ON {on('e', 'a', 'src=node')} JOIN nodes b ON {on('e', 'b', 'dst=node')}) SELECT {_KEY}, any_value(CASE WHEN graph_id % 5 > 0 THEN t ELSE 'unknown' END) AS graph_type, 'circular' AS layout_type, string_agg(s || '-' || d, ' ' ORDER BY i) || ' ' || string_agg(d || '-' || s, ' ' ORDER BY i) AS edge_index, any_value(ox) AS original_x FROM e JOIN (SELECT {_KEY}, any_value(graph_type) AS t, round(sum((idx + 1) * cx), 9) + 0.0 AS ox FROM circ JOIN graphs USING ({_KEY}) GROUP BY ALL) USING ({_KEY}) GROUP BY ALL")
 def pack_samples(graphs, nodes, edges):
     """Edges forward and then reversed, and the coordinates as given, in the order of idx."""
     s = _samples(graphs, nodes, edges)
@@ -352,14 +366,15 @@ def edge_softmax(graphs, nodes, edges):
     return out(M.edge_softmax_aggregate(feat(nodes, edges), edges, lambda a, b: a[1] - b[1], 2))
 
 
-_NORM = lambda a, b: (f"(({a}) - ({b})) / 2 / sqrt((({a}) - ({b})) ** 2 / 4 + 1e-5)", f"(({b}) - ({a})) / 2 / sqrt((({a}) - ({b})) ** 2 / 4 + 1e-5)")
-_N1, _N2 = _NORM("a", "b"), _NORM("l.a + (l.a - g.a) * 0.7", "l.b + (l.b - g.b) * 0.7")
+_NORM = lambda v: f"list_transform({v}, lambda x: (x - list_avg({v})) / sqrt(list_var_pop({v}) + 1e-5))"
 
 
-@query(_F0 + f"l AS (SELECT {_N}, {_N1[0]} AS a, {_N1[1]} AS b FROM f0), g AS (SELECT s.bundle, s.graph_id, s.dst AS node, avg(l.a) AS a, avg(l.b) AS b FROM sym s JOIN l ON {on('s', 'l', 'src=node')} GROUP BY ALL) " + f"SELECT {_N}, round({_N2[0]}, 6) + 0.0 AS f0, round({_N2[1]}, 6) + 0.0 AS f1 FROM l JOIN g USING ({_N})")
+@query(_F0 + f"l AS (SELECT {_N}, {_NORM('v')} AS v FROM (SELECT {_N}, [a, b, a * b, a - 3 * b] AS v FROM f0)), g AS (SELECT s.bundle, s.graph_id, s.dst AS node, [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4])] AS m FROM sym s JOIN l ON {on('s', 'l', 'src=node')} GROUP BY ALL), o AS (SELECT {_N}, {_NORM('v')} AS v FROM (SELECT {_N}, list_transform(range(1, 5), lambda i: v[i] + (v[i] - m[i]) * 0.7) AS v FROM l JOIN g USING ({_N}))) SELECT {_N}, " + ", ".join(q9(f"v[{i + 1}]", f"f{i}") for i in range(4)) + " FROM o")
 def force_repulsion(graphs, nodes, edges):
-    rows = M.force_repulsion(feat(nodes, edges), edges, 0.7, 2)
-    return rows.select(*NODE, rounded(F.col("f")[0]).alias("f0"), rounded(F.col("f")[1]).alias("f1"))
+    """Four features: of two the norm is little more than a sign."""
+    a, b = F.col("f")[0], F.col("f")[1]
+    rows = M.force_repulsion(feat(nodes, edges).select(*NODE, F.array(a, b, a * b, a - 3 * b).alias("f")), edges, 0.7, 4)
+    return rows.select(*NODE, *(rounded(F.col("f")[i], 9).alias(f"f{i}") for i in range(4)))
 
 
 _XY = f", xy AS (SELECT {_N}, n, idx, gx AS x, gy AS y FROM grid)"
@@ -400,6 +415,13 @@ def knn_attention(graphs, nodes, edges):
     return out(M.knn_attention(_qkv(nodes, edges), L.grid_positions(nodes), 5, 2, 0.5))
 
 
+@query(_XY + _NEAREST + _QKV + f", e AS (SELECT n.bundle, n.graph_id, n.node, y.v1, y.v2, {_DOT} + 1 / (d + 1e-6) AS e FROM near n JOIN qkv x ON {on('n', 'x', 'node=node')} JOIN qkv y ON {on('n', 'y', 'other=node')} WHERE n.node <> n.other OR n.graph_id % 2 = 0), t AS (SELECT *, exp(e - max(e) OVER (PARTITION BY {_N})) AS w FROM e) " + _OUT("sum(w * v1) / sum(w)", "sum(w * v2) / sum(w)") + " FROM t GROUP BY ALL")
+def knn_attention_sharp(graphs, nodes, edges):
+    """The default softening, by which a node attends to itself alone; in every second graph nodes leave themselves out."""
+    near = M.knn_within_graph(L.grid_positions(nodes), 5).filter("node <> other OR graph_id % 2 = 0")
+    return out(M.knn_attention(_qkv(nodes, edges), None, 5, 2, near=near))
+
+
 # ---- forces ----
 
 
@@ -412,8 +434,6 @@ def ideal_length(graphs, nodes, edges):
 
 
 def _component_lengths(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    from ..shared import stored
-
     parts = stored(prep.connected_components(nodes.select(*NODE), edges))
     return parts, stored(parts.join(M.ideal_length(parts), [*K, "component"]).select(*NODE, "k"))
 
@@ -488,6 +508,62 @@ def iterative_refine(graphs, nodes, edges):
 # ---- bundles, names and text ----
 
 
+@query(f"SELECT bundle, count(DISTINCT num_nodes) = 1 AS one_size, bool_or(graph_id % 200 = 0) AS has_initial FROM sizes GROUP BY bundle")
+def feature_support(graphs, nodes, edges):
+    return prep.feature_support(graphs, L.grid_positions(nodes.filter("graph_id % 200 = 0")))
+
+
+@query(f"SELECT {_KEY}, count(*) AS lacking FROM nodes WHERE (graph_id + node) % 9 = 0 OR graph_id % 14 = 0 GROUP BY ALL")
+def missing_initial(graphs, nodes, edges):
+    """Graphs that lack an initial position of some node, or have a wrong one of any."""
+    initial = L.grid_positions(nodes).filter("(graph_id + node) % 9 <> 0")
+    wrong = L.grid_positions(nodes).filter("graph_id % 14 = 0").withColumn("x", F.lit(float("nan")))
+    return prep.missing_initial(nodes, initial.filter("graph_id % 14 <> 0").unionByName(wrong))
+
+
+@query("SELECT run_id, hidden_dim, dropout::DOUBLE AS dropout, round(top_k * 0.5 + num_layers, 9) AS last_loss, 2 AS epochs FROM runs", RUNS)
+def write_results_json(spark, sf_dir):
+    """Nested results of runs, as lines of JSON and back."""
+    p = F.col("params")
+    rows = runs(spark, sf_dir).select("run_id", F.struct(p["hidden_dim"].cast("int").alias("hidden_dim"), p["dropout"].cast("double").alias("dropout")).alias("params"), F.array(p["num_layers"].cast("double"), p["top_k"].cast("double") * 0.5 + p["num_layers"].cast("double")).alias("losses"))
+    path = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    T.write_results_json(rows, path)
+    back = spark.read.schema(rows.schema).json(path)
+    return back.select("run_id", "params.hidden_dim", "params.dropout", rounded(F.element_at("losses", -1), 9).alias("last_loss"), F.size("losses").alias("epochs"))
+
+
+@query(f"SELECT {_KEY}, src % 4 AS kind, CASE WHEN src % 4 = 1 THEN 'short' ELSE 'not a number' END AS reason, count(*) AS n FROM edges WHERE src % 4 > 0 GROUP BY ALL")
+def rejected_lines(graphs, nodes, edges):
+    """An edge's line is whole, cut, or has letters in place of an end or of the weight."""
+    a, b = F.col("src").cast("string"), F.col("dst").cast("string")
+    value = F.when(F.col("src") % 4 == 0, F.concat_ws(" ", a, b, F.lit("2.5"))).when(F.col("src") % 4 == 1, F.concat(F.lit(" "), a)).when(F.col("src") % 4 == 2, F.concat_ws("\t", F.lit("x"), b)).otherwise(F.concat_ws(" ", a, b, F.lit("w")))
+    lines = edges.select(*K, (F.col("src") * 100_000 + F.col("dst")).alias("line_no"), value.alias("value")).unionByName(edges.select(*K, F.lit(-1).cast("long").alias("line_no"), F.lit("# note").alias("value")))
+    told = T.rejected_lines(lines, "edges").withColumn("kind", F.floor(F.col("line_no") / 100_000) % 4)
+    return told.groupBy(*K, F.col("kind").alias("kind"), "reason").agg(F.count("*").alias("n"))
+
+
+@query(""", be AS (SELECT bundle, src, dst, sum(weight) AS w FROM edges GROUP BY ALL), bs AS (SELECT bundle, src, dst FROM be UNION ALL SELECT bundle, dst, src FROM be), bn AS (SELECT DISTINCT bundle, src AS node FROM bs),
+br AS (SELECT bundle, node, node AS to_node FROM bn UNION SELECT r.bundle, r.node, s.dst FROM br r JOIN bs s ON r.bundle = s.bundle AND r.to_node = s.src), bc AS (SELECT bundle, count(DISTINCT root) AS c FROM (SELECT bundle, node, min(to_node) AS root FROM br GROUP BY ALL) GROUP BY bundle)
+SELECT bundle, 'all' AS graph_id, (SELECT count(*) FROM bn WHERE bn.bundle = be.bundle)::INT AS n, count(*)::INT AS e, any_value(c) AS components, sum(w) AS weight, 2.0 * count(*) AS degrees FROM be JOIN bc USING (bundle) GROUP BY bundle""")
+def bundle_from_text(graphs, nodes, edges):
+    """A graph per bundle, all of its graphs laid over each other: written as lines of text, read, numbered, laid out and packed."""
+    spark = edges.sparkSession
+    path = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
+    lines = edges.groupBy("bundle", "src", "dst").agg(F.sum("weight").alias("w")).select("bundle", F.lit("all").alias("graph"), F.concat_ws(" ", "src", "dst", "w").alias("value"))
+    lines.write.partitionBy("bundle", "graph").text(path)
+    read = stored(T.read_edge_text(spark, path, r"bundle=([^/]*)/graph=([^/]*)/"))
+    numbered, mapped = prep.remap_nodes(read)
+    mapped = stored(mapped)
+    found = numbered.select(*K, F.col("idx").cast("long").alias("node"), "idx")
+    kinds = found.groupBy(*K).agg(F.count("*").cast("int").alias("num_nodes")).withColumn("graph_type", F.lit("text"))
+    samples = L.build_dataset(kinds, found, mapped, L.circular_layout(found), L.FeatureConfig(degree=True))
+    counts = prep.component_counts(prep.connected_components(found, mapped)).withColumnRenamed("n_components", "components")
+    weights = mapped.groupBy(*K).agg(F.sum("weight").alias("weight"))
+    degrees = F.aggregate("x", F.lit(0.0), lambda a, x: a + x[0])
+    rows = samples.select(*K, F.size("x").alias("n"), (F.size("edge_index") / 2).cast("int").alias("e"), degrees.alias("degrees"))
+    return rows.join(counts, K).join(weights, K)
+
+
 @query("SELECT bundle, count(*) AS n FROM graphs WHERE bundle LIKE '1%' OR bundle LIKE '_' AND bundle <> '7' OR bundle = '22' GROUP BY bundle")
 def select_bundles(graphs, nodes, edges):
     return T.select_bundles(graphs, ["1*", "[!7]", "22"]).groupBy("bundle").agg(F.count("*").alias("n"))

@@ -40,12 +40,16 @@ def parse_community_lines(lines: DataFrame) -> DataFrame:
     return t.filter("node IS NOT NULL AND c IS NOT NULL").groupBy(*K, "node").agg(F.max_by("c", "line_no").alias("community"))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(bundle, graph_id, line_no, value) of text files; the bundle is the folder, the graph the file. line_no orders the lines of a file, also
+#: Folder and file without its ending, of a path.
+NAMES = r"([^/]*)/([^/]*?)(?:\.[^./]*)?$"
+
+
+def read_lines(spark: SparkSession, path: str, names: str = NAMES) -> DataFrame:
+    """(bundle, graph_id, line_no, value) of text files; the bundle is the folder, the graph the file (groups 1 and 2 of `names`). line_no orders the lines of a file, also
     where it is read in several splits: the first byte of the split, and a number that ascends within the split."""
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
     rows = spark.read.text(path).select("value", place.alias("line_no"), F.url_decode("_metadata.file_path").alias("file"))
-    return rows.select(F.regexp_extract("file", r"([^/]*)/[^/]*$", 1).alias("bundle"), F.regexp_extract("file", r"([^/]*?)(\.[^./]*)?$", 1).alias("graph_id"), "line_no", "value")
+    return rows.select(F.regexp_extract("file", names, 1).alias("bundle"), F.regexp_extract("file", names, 2).alias("graph_id"), "line_no", "value")
 
 
 def rejected_lines(lines: DataFrame, kind: str) -> DataFrame:
@@ -62,12 +66,12 @@ def rejected_lines(lines: DataFrame, kind: str) -> DataFrame:
     return t.withColumn("reason", reason).filter("reason IS NOT NULL").select(*K, "line_no", "value", "reason")
 
 
-def read_edge_text(spark: SparkSession, path: str) -> DataFrame:
-    return parse_edge_lines(read_lines(spark, path))
+def read_edge_text(spark: SparkSession, path: str, names: str = NAMES) -> DataFrame:
+    return parse_edge_lines(read_lines(spark, path, names))
 
 
-def read_community_text(spark: SparkSession, path: str) -> DataFrame:
-    return parse_community_lines(read_lines(spark, path))
+def read_community_text(spark: SparkSession, path: str, names: str = NAMES) -> DataFrame:
+    return parse_community_lines(read_lines(spark, path, names))
 
 
 def select_bundles(df: DataFrame, patterns: list[str]) -> DataFrame:
