@@ -41,7 +41,20 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _tables.append((path, None))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Removes a table of stored(): what was made of it has been stored in turn."""
+    _tables.remove((df._stored_path, None))
+    _remove(df.sparkSession, df._stored_path)
 
 
 def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -61,10 +74,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path, table in _tables[start:]:
             if table:
                 spark.sql(f"DROP TABLE IF EXISTS {table}")
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            _remove(spark, path)
         del _tables[start:]
