@@ -6,11 +6,12 @@ partitioning. Each family gives (graphs, nodes, edges) with nodes 0..n-1 and edg
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import shared
@@ -67,11 +68,43 @@ def _family(specs: DataFrame, edges: DataFrame, kind: str) -> Family:
     return specs.select(*K, F.lit(kind).alias("graph_type"), "num_nodes"), nodes, edges
 
 
+#: Edges that a stretch of pairs is expected to have, and draws that nearly always suffice for it.
+STRETCH, DRAWS = 32, 76
+
+
+def stretch_length(p: float) -> int:
+    """Pairs a stretch."""
+    return max(1, math.ceil(STRETCH / p))
+
+
 def er_edges(specs: DataFrame, p: float = 0.1, seed: int = 42, attempt: int = 0) -> DataFrame:
-    """Each unordered pair with probability p. The first ends are dealt out anew, so that a large graph is spread."""
-    first = _nodes(specs).filter("node < num_nodes - 1").repartition(*K, "node")
-    pairs = first.select(*K, F.col("node").alias("src"), F.explode(F.sequence(F.col("node") + 1, F.col("num_nodes").cast("long") - 1)).alias("dst"))
-    return pairs.filter(uniform(seed, F.lit(attempt), *K, "src", "dst") < p).withColumn("weight", F.lit(1.0))
+    """Each unordered pair with probability p. A graph's pairs lie in a row, (0, 1), (0, 2), ..., cut into stretches that are dealt out; within
+    a stretch the gaps to the next edge are drawn, so the work follows edges and not pairs."""
+    length, n = stretch_length(p) if p > 0 else 1, F.col("num_nodes").cast("long")
+    rows = specs.filter(F.lit(p > 0) & (n > 1)).select(*K, n.alias("n"), (n * (n - 1)).alias("_p")).withColumn("pairs", F.expr("_p div 2"))
+    rows = rows.select(*K, "n", "pairs", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("pairs") - 1) / length))).alias("s")).repartition(*K, "s")
+    rows = rows.withColumn("len", F.least(F.lit(length), F.col("pairs") - F.col("s") * length))
+
+    def gap(k: Column) -> Column:
+        if p >= 1:
+            return F.lit(1).cast("long")
+        return 1 + F.floor(F.log(1 - uniform(seed, F.lit(attempt), *K, "s", k)) / F.lit(math.log1p(-p)))
+
+    def places(draws: Column) -> Column:
+        """Where the edges are: running sums of the gaps."""
+        at = lambda a, g: F.struct((a["p"] + g).alias("p"), F.concat(a["all"], F.array(a["p"] + g)).alias("all"))
+        return F.aggregate(F.transform(F.sequence(F.lit(1), draws), gap), F.struct(F.lit(-1).cast("long").alias("p"), F.array().cast("array<bigint>").alias("all")), at)["all"]
+
+    rows = rows.withColumn("few", places(F.lit(DRAWS)))
+    all_ = F.when(F.col("few")[DRAWS - 1] < F.col("len") - 1, places(F.col("len").cast("int"))).otherwise(F.col("few"))
+    rows = rows.select(*K, "n", "s", F.explode(F.filter(all_, lambda e: e < F.col("len"))).alias("at"))
+    rows = rows.select(*K, "n", (F.col("at") + F.col("s") * length).alias("e"))
+    # the first end of pair e is the greatest a with a (2 n - a - 1) / 2 <= e
+    half = F.col("n") - 0.5
+    rows = rows.withColumn("a", F.floor(half - F.sqrt(half * half - 2 * F.col("e"))))
+    before = lambda a: f"({a}) * (2 * n - ({a}) - 1) div 2"
+    rows = rows.withColumn("src", F.expr(f"CASE WHEN {before('a')} > e THEN a - 1 WHEN {before('a + 1')} <= e THEN a + 1 ELSE a END"))
+    return rows.select(*K, "src", F.expr(f"src + 1 + e - {before('src')}").alias("dst"), F.lit(1.0).alias("weight"))
 
 
 def er_graphs(specs: DataFrame, p: float = 0.1, seed: int = 42, max_attempts: int = 50) -> Family:
@@ -118,11 +151,6 @@ def ba_graphs(specs: DataFrame, m: int = 3, seed: int = 42) -> Family:
     return _family(specs, grown, "BA")
 
 
-def lattice_degree(n: int, k: int) -> int:
-    k = min(k, n - 1)
-    return max(2, k - k % 2)
-
-
 def ws_lattice(specs: DataFrame, k: int = 6) -> DataFrame:
     """The ring in which each node is linked to its k / 2 next ones on both sides."""
     low = F.least(F.lit(k), F.col("num_nodes") - 1)
@@ -133,44 +161,54 @@ def ws_lattice(specs: DataFrame, k: int = 6) -> DataFrame:
     return ends.filter("src < dst").distinct().withColumn("weight", F.lit(1.0))
 
 
-def _rewire(n: int, k: int, p: float, draw: random.Random) -> list[tuple[int, int]]:
-    """The ring, each of whose links goes with probability p to a node that is no neighbour yet."""
-    if n < 2:
-        return []
-    near: list[set[int]] = [set() for _ in range(n)]
-    steps = range(1, lattice_degree(n, k) // 2 + 1)
-    for a in range(n):
-        for s in steps:
-            if (b := (a + s) % n) != a:
-                near[a].add(b)
-                near[b].add(a)
-    for s in steps:
-        for a in range(n):
-            b = (a + s) % n
-            if draw.random() >= p or b not in near[a] or len(near[a]) >= n - 1:
-                continue
-            to = draw.randrange(n)
-            while to == a or to in near[a]:
-                to = draw.randrange(n)
-            near[a].remove(b)
-            near[b].remove(a)
-            near[a].add(to)
-            near[to].add(a)
-    return [(a, b) for a in range(n) for b in sorted(near[a]) if a < b]
+#: Draws of a link before it stays where it was.
+MAX_DRAWS = 64
+
+
+def ws_edges(specs: DataFrame, k: int = 6, p: float = 0.2, seed: int = 42) -> DataFrame:
+    """The ring, each of whose links goes with probability p to a node that is no neighbour. A link's far end is drawn among the nodes that
+    the ring doesn't link to its near end. Where several links want one pair, the first of them in the order of the ring has it and the others
+    draw again, in rounds over all graphs; a link that has found nothing after MAX_DRAWS draws stays."""
+    n = F.col("num_nodes").cast("long")
+    half = F.greatest(F.lit(1), F.floor(F.least(F.lit(k), n - 1) / 2)).cast("long")
+    ring = _nodes(specs).filter("num_nodes > 1").select(*K, n.alias("n"), half.alias("half"), "node", F.explode(F.sequence(F.lit(1).cast("long"), half)).alias("step"))
+    ring = ring.filter((2 * F.col("step") != F.col("n")) | (F.col("node") < F.col("step")))  # across an even ring only once
+    moves = (uniform(seed, F.lit("move"), *K, "step", "node") < p) & (F.col("n") - 1 > 2 * F.col("half"))
+    link = F.struct("step", "node")
+    ring = shared.stored(ring.select(*K, "n", "half", "node", "step", moves.alias("moves")))
+    links, before = ring.filter("moves").withColumn("draw", F.lit(0)), None
+    for _ in range(MAX_DRAWS):
+        far = F.col("half") + 1 + F.floor(uniform(seed, F.lit("to"), *K, "step", "node", "draw") * (F.col("n") - 1 - 2 * F.col("half")))
+        to = (F.col("node") + far) % F.col("n")
+        drawn = links.select(*K, "n", "half", "node", "step", "draw", F.least("node", to).alias("a"), F.greatest("node", to).alias("b"))
+        first = drawn.groupBy(*K, "a", "b").agg(F.min(link).alias("first"))
+        drawn = shared.stored(drawn.join(first, [*K, "a", "b"]).withColumn("has", F.col("first") == link).drop("first"))
+        if before is not None:
+            shared.drop(before)
+        before = drawn
+        if not drawn.filter("NOT has").limit(1).count():
+            break
+        links = drawn.drop("a", "b").withColumn("draw", F.col("draw") + (~F.col("has")).cast("int")).drop("has")
+    own = (F.col("node") + F.col("step")) % F.col("n")
+    stay = ring.filter("NOT moves").unionByName(drawn.filter("NOT has").select(*K, "n", "half", "node", "step", F.lit(True).alias("moves")))
+    stay = stay.select(*K, F.least("node", own).alias("src"), F.greatest("node", own).alias("dst"))
+    gone = drawn.filter("has").select(*K, F.col("a").alias("src"), F.col("b").alias("dst"))
+    return stay.unionByName(gone).withColumn("weight", F.lit(1.0))
 
 
 def ws_graphs(specs: DataFrame, k: int = 6, p: float = 0.2, seed: int = 42) -> Family:
     """Small worlds; they may fall into several components."""
-    drawn = specs.select(*K, "num_nodes").mapInPandas(lambda it: _draw(it, lambda n, draw: _rewire(n, k, p, draw), seed), _EDGES)
-    return _family(specs, drawn, "WS")
+    return _family(specs, ws_edges(specs, k, p, seed), "WS")
 
 
-def graphs_from_config(spark: SparkSession, config: dict) -> Family:
-    """One bundle by its configuration: type (ER, BA or WS), num_graphs, num_nodes, seed, and the family's parameters."""
+def graphs_from_config(spark: SparkSession, config: dict, specs: DataFrame | None = None) -> Family:
+    """One bundle by its configuration: type (ER, BA or WS), num_graphs, num_nodes, seed, and the family's parameters. specs(bundle,
+    graph_id) names the graphs, if given."""
     kind, seed = config.get("type"), config.get("seed", 42)
     families = {"ER": (er_graphs, {"p"}), "BA": (ba_graphs, {"m"}), "WS": (ws_graphs, {"k", "p"})}
     if kind not in families:
         raise ValueError(f"unknown graph type: {kind!r}")
     make, names = families[kind]
-    specs = graph_specs(spark, config.get("name", kind), config["num_graphs"], config.get("num_nodes", 50), seed)
+    size = config.get("num_nodes", 50)
+    specs = graph_specs(spark, config.get("name", kind), config["num_graphs"], size, seed) if specs is None else with_node_counts(specs.select(*K), size, seed)
     return make(specs, seed=seed, **{n: v for n, v in config.items() if n in names})

@@ -271,7 +271,19 @@ def sample_params(spark, sf_dir):
     return synth.sample_params(customer_specs(spark, sf_dir), {"mixing_parameter": "0.1-0.5"}).withColumn("mixing_parameter", rounded("mixing_parameter"))
 
 
-@query(f"SELECT a.bundle, a.graph_id, a.node AS src, b.node AS dst FROM first a JOIN first b ON a.bundle = b.bundle AND a.graph_id = b.graph_id AND a.node < b.node WHERE {uniform_sql(42, chr(39) + '0' + chr(39), 'a.bundle', 'a.graph_id::VARCHAR', 'a.node::VARCHAR', 'b.node::VARCHAR')} < 0.1", SPECS)
+def er_sql(p: float, attempts: int) -> str:
+    """CTE e (t, src, dst): the edges of every attempt t, by the gaps between them in stretches of the row of pairs."""
+    length, before = synth.stretch_length(p), lambda a: f"(({a}) * (2 * n - ({a}) - 1) // 2)"
+    return f""", st AS (SELECT bundle, graph_id, n, t, pairs, unnest(range((pairs - 1) // {length} + 1)) AS s FROM (SELECT bundle, graph_id, num_nodes::BIGINT AS n, num_nodes::BIGINT * (num_nodes - 1) // 2 AS pairs FROM specs WHERE num_nodes > 1), (SELECT unnest(range({attempts})) AS t)),
+dr AS (SELECT *, unnest(range(1, 121)) AS k FROM st),
+ps AS (SELECT *, (sum(1 + floor(ln(1 - {uniform_sql(42, 't::VARCHAR', *_ID, 's::VARCHAR', 'k::VARCHAR')}) / ln(1 - {p}::DOUBLE))) OVER (PARTITION BY bundle, graph_id, t, s ORDER BY k))::BIGINT - 1 AS place FROM dr),
+en AS (SELECT *, s * {length} + place AS e, floor(n - 0.5 - sqrt((n - 0.5) ** 2 - 2 * (s * {length} + place)))::BIGINT AS a FROM ps WHERE place < least({length}, pairs - s * {length})),
+eg AS (SELECT *, CASE WHEN {before('a')} > e THEN a - 1 WHEN {before('a + 1')} <= e THEN a + 1 ELSE a END AS src FROM en),
+e AS (SELECT bundle, graph_id, t, n, src, src + 1 + e - {before('src')} AS dst FROM eg)
+"""
+
+
+@query(er_sql(0.1, 1) + "SELECT bundle, graph_id, src, dst FROM e", SPECS)
 def er_edges(spark, sf_dir):
     return synth.er_edges(customer_specs(spark, sf_dir), 0.1).drop("weight")
 
@@ -285,8 +297,12 @@ def _drawn(family: synth.Family) -> DataFrame:
     return family[2].drop("weight")
 
 
-@query(None, SPECS)
+@query(er_sql(0.1, 10) + """, es AS (SELECT bundle, graph_id, t, src AS a, dst AS b FROM e UNION ALL SELECT bundle, graph_id, t, dst, src FROM e),
+rc AS (SELECT DISTINCT bundle, graph_id, t, 0::BIGINT AS node FROM e UNION SELECT r.bundle, r.graph_id, r.t, b FROM rc r JOIN es ON es.bundle = r.bundle AND es.graph_id = r.graph_id AND es.t = r.t AND a = node),
+ok AS (SELECT bundle, graph_id, min(t) AS t FROM (SELECT bundle, graph_id, t FROM rc JOIN specs USING (bundle, graph_id) GROUP BY ALL HAVING count(*) = any_value(num_nodes)) GROUP BY ALL)
+SELECT bundle, graph_id, src, dst FROM e JOIN ok USING (bundle, graph_id, t)""", SPECS.replace("WITH", "WITH RECURSIVE", 1))
 def er_graphs(spark, sf_dir):
+    """Graphs are drawn again until they are connected."""
     return _drawn(synth.er_graphs(customer_specs(spark, sf_dir), 0.1))
 
 
@@ -295,11 +311,30 @@ def ba_graphs(spark, sf_dir):
     return _drawn(synth.ba_graphs(customer_specs(spark, sf_dir)))
 
 
-@query(None, SPECS)
+def ws_sql(k: int, p: float, rounds: int) -> str:
+    """The ring with rewired links: in each round the first link that wants a pair has it, the others draw again."""
+    u = lambda name, *more: uniform_sql(42, f"'{name}'", *_ID, "step::VARCHAR", "node::VARCHAR", *more)
+    ctes = [f"ri AS (SELECT *, unnest(range(1, half + 1)) AS step FROM (SELECT bundle, graph_id, node, num_nodes::BIGINT AS n, greatest(1, least({k}, num_nodes - 1) // 2)::BIGINT AS half FROM first WHERE num_nodes > 1))", f"ring AS (SELECT *, {u('move')} < {p} AND n - 1 > 2 * half AS moves FROM ri WHERE 2 * step <> n OR node < step)", "l0 AS (SELECT bundle, graph_id, n, half, node, step, 0 AS draw FROM ring WHERE moves)"]
+    for i in range(rounds):
+        ctes.append(f"d{i} AS (SELECT *, (node + half + 1 + floor({u('to', 'draw::VARCHAR')} * (n - 1 - 2 * half))::BIGINT) % n AS o FROM l{i})")
+        ctes.append(f"w{i} AS (SELECT *, row_number() OVER (PARTITION BY bundle, graph_id, least(node, o), greatest(node, o) ORDER BY step, node) = 1 AS has FROM d{i})")
+        ctes.append(f"l{i + 1} AS (SELECT bundle, graph_id, n, half, node, step, draw + (NOT has)::INT AS draw FROM w{i})")
+    last = f"w{rounds - 1}"
+    return ", " + ", ".join(ctes) + f" SELECT bundle, graph_id, least(node, (node + step) % n) AS src, greatest(node, (node + step) % n) AS dst FROM ring WHERE NOT moves UNION ALL SELECT bundle, graph_id, least(node, o), greatest(node, o) FROM {last} WHERE has"
+
+
+@query(ws_sql(6, 0.2, 8), SPECS)
 def ws_graphs(spark, sf_dir):
     return _drawn(synth.ws_graphs(customer_specs(spark, sf_dir)))
 
 
+@query(ws_sql(8, 0.5, 12), SPECS)
+def graphs_from_config(spark, sf_dir):
+    """Small worlds of a graph per customer, by configuration."""
+    config = {"type": "WS", "num_nodes": "50-60", "k": 8, "p": 0.5}
+    return _drawn(synth.graphs_from_config(spark, config, customer_specs(spark, sf_dir)))
+
+
 @query("SELECT run_id, key AS run_key FROM runs", RUNS)
 def run_key(spark, sf_dir):
     return runs(spark, sf_dir).select("run_id", R.run_key(F.col("params")).alias("run_key"))

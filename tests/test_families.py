@@ -58,6 +58,30 @@ def test_random_graphs_that_cannot_be_connected_raise(specs):
         synth.er_graphs(specs, 0.0, max_attempts=2)
 
 
+@pytest.mark.parametrize("p", [0.0, 0.02, 0.5, 0.97, 1.0])
+def test_gaps_give_each_pair_its_chance(spark, p):
+    """Edge counts within three deviations, all pairs in range and none twice; every pair has its turn."""
+    sizes = [2, 3, 40, 301, 301]
+    specs = spark.createDataFrame([("b", i, n) for i, n in enumerate(sizes)], SPECS)
+    found = by_graph(synth.er_edges(specs, p))
+    assert {g: sorted(e) for g, e in by_graph(synth.er_edges(specs.repartition(3), p)).items()} == {g: sorted(e) for g, e in found.items()}
+    for g, n in enumerate(sizes):
+        pairs, total = found[g], n * (n - 1) // 2
+        assert len(set(pairs)) == len(pairs) and all(0 <= a < b < n for a, b in pairs)
+        assert abs(len(pairs) - p * total) <= 3 * (p * (1 - p) * total) ** 0.5 + (1 if 0 < p < 1 else 0)
+    if p == 0.5:
+        by_end = collections.Counter(a for a, _ in found[3])
+        assert all(abs(by_end[a] - p * (300 - a)) <= 5 * (p * p * (300 - a)) ** 0.5 + 2 for a in range(300))
+        assert found[3] != found[4]
+
+
+def test_few_draws_are_followed_by_all(specs, monkeypatch):
+    """A stretch whose first draws don't reach its end goes on."""
+    want = {g: sorted(e) for g, e in by_graph(synth.er_edges(specs, 0.5)).items()}
+    monkeypatch.setattr(synth, "DRAWS", 2)
+    assert {g: sorted(e) for g, e in by_graph(synth.er_edges(specs, 0.5)).items()} == want
+
+
 def test_preferential_attachment(specs):
     graphs, _, edges = synth.ba_graphs(specs, 3)
     found = by_graph(edges)
@@ -78,6 +102,24 @@ def test_small_worlds_keep_the_ring_without_rewiring(specs):
     assert drawn[5] != drawn[6] and sorted(drawn[5]) != lattice[5]
 
 
+@pytest.mark.parametrize("p", [0.3, 1.0])
+def test_rewired_links_keep_their_number_and_near_ends(spark, p, monkeypatch):
+    """In graphs of 8 and 9 nodes there are too few free pairs, so links stay."""
+    monkeypatch.setattr(synth, "MAX_DRAWS", 6)
+    sizes = [2, 7, 8, 9, 40, 400]
+    specs = spark.createDataFrame([("b", i, n) for i, n in enumerate(sizes)], SPECS)
+    lattice, drawn = by_graph(synth.ws_lattice(specs)), by_graph(synth.ws_graphs(specs, p=p)[2])
+    assert {g: sorted(e) for g, e in drawn.items()} == {g: sorted(e) for g, e in by_graph(synth.ws_graphs(specs.repartition(3), p=p)[2]).items()}
+    for g, n in enumerate(sizes):
+        pairs = drawn[g]
+        assert len(set(pairs)) == len(pairs) == len(lattice[g]) and all(0 <= a < b < n for a, b in pairs)
+        kept = len(set(pairs) & set(lattice[g])) / len(pairs)
+        if n == 400:
+            assert abs(kept - (1 - p)) < 0.05
+        if n <= 7:
+            assert kept == 1  # all nodes are neighbours already
+
+
 def test_families_by_config(spark):
     graphs, _, _ = synth.graphs_from_config(spark, {"type": "WS", "num_graphs": 4, "num_nodes": "8-9", "k": 2})
     assert {g.num_nodes for g in graphs.collect()} <= {8, 9} and graphs.count() == 4
