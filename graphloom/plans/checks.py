@@ -619,7 +619,7 @@ def big_clustering(spark, sf_dir):
     return structure.local_clustering(nodes, edges).select(*NODE, r9("clustering"))
 
 
-@query(f"SELECT {_N}, dense_rank() OVER (ORDER BY root) - 1 AS component FROM (SELECT {_N}, min(to_node) AS root FROM breach GROUP BY ALL)", BIG_SQL)
+@query(f"SELECT {_N}, dense_rank() OVER (ORDER BY root) - 1 AS component FROM b12", BIG_SQL)
 def big_components(spark, sf_dir):
     return prep.connected_components(*big_graph(spark, sf_dir))
 

@@ -95,17 +95,18 @@ RUNS = """WITH runs AS (SELECT o_orderkey AS run_id, (o_custkey % 9)::INT AS mod
 
 
 def big_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of one large graph: parts of one order that were returned and had the same discount."""
-    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_returnflag = 'R'").select("l_orderkey", "l_discount", F.col("l_partkey").alias("node")).distinct()
-    pairs = l.join(l.withColumnRenamed("node", "other"), ["l_orderkey", "l_discount"]).filter("node < other")
-    edges = stored(pairs.groupBy(F.lit("all").alias("bundle"), F.lit(0).alias("graph_id"), F.col("node").alias("src"), F.col("other").alias("dst")).agg(F.count("*").cast("double").alias("weight")))
+    """(nodes, edges) of one large graph: all parts, those of one order linked."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("s")).filter(F.size("s") > 1)
+    pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
+    each = items.select(F.lit("all").alias("bundle"), F.lit(0).alias("graph_id"), F.inline(pairs))
+    edges = stored(each.groupBy(*K, "src", "dst").agg(F.count("*").cast("double").alias("weight")))
     return stored(edges.select(*K, F.explode(F.array("src", "dst")).alias("node")).distinct()), edges
 
 
-BIG = """WITH RECURSIVE bl AS (SELECT DISTINCT l_orderkey, l_discount, l_partkey AS node FROM lineitem WHERE l_returnflag = 'R'),
-bedges AS (SELECT DISTINCT 'all' AS bundle, 0 AS graph_id, a.node AS src, b.node AS dst FROM bl a JOIN bl b ON a.l_orderkey = b.l_orderkey AND a.l_discount = b.l_discount AND a.node < b.node),
+#: Labels go to neighbours in rounds: enough for graphs whose nodes are at most 12 steps apart.
+BIG = """WITH bl AS (SELECT DISTINCT l_orderkey, l_partkey AS node FROM lineitem),
+bedges AS (SELECT DISTINCT 'all' AS bundle, 0 AS graph_id, a.node AS src, b.node AS dst FROM bl a JOIN bl b ON a.l_orderkey = b.l_orderkey AND a.node < b.node),
 bsym AS (SELECT * FROM bedges UNION ALL SELECT bundle, graph_id, dst, src FROM bedges),
 bdeg AS (SELECT bundle, graph_id, src AS node, count(*) AS degree FROM bsym GROUP BY ALL),
 btri AS (SELECT x.bundle, x.graph_id, x.src AS a, x.dst AS b, y.dst AS c FROM bedges x JOIN bedges y ON x.dst = y.src JOIN bedges z ON z.src = x.src AND z.dst = y.dst),
-breach AS (SELECT bundle, graph_id, node, node AS to_node FROM bdeg UNION SELECT r.bundle, r.graph_id, r.node, s.dst FROM breach r JOIN bsym s ON r.to_node = s.src)
-"""
+b0 AS (SELECT bundle, graph_id, node, node AS root FROM bdeg), """ + ", ".join(f"b{i + 1} AS (SELECT bundle, graph_id, node, min(root) AS root FROM (SELECT * FROM b{i} UNION ALL SELECT s.bundle, s.graph_id, s.dst, root FROM b{i} JOIN bsym s ON s.src = node) GROUP BY ALL)" for i in range(12)) + "\n"
