@@ -38,13 +38,16 @@ from . import common as C
 
 #: Pages and bytes of each that the sample has at most; sequences that a model learns from; passes over them; cells a side.
 TRAIN_PAGES, TRAIN_BYTES, SEQUENCES, EPOCHS, HIDDEN = 96, 200_000, 1056, 12, 16
+#: Words of a training page of which made-up sections consist; words that a block has at most for its share of CUES to count.
+BAG_WORDS, CUE_WORDS = 5000, 40
 #: Tags are hashed into the first TAG_DIMS places of the path, class and id words into the others.
 TAG_DIMS, PATH_DIMS, WORD_DIMS = 32, 128, 32
 SCALARS, CONTAINER_DIMS = 10, 9
 #: The share of a page's prose that the container of its article holds at least, where markup does not name it.
 MAIN_SHARE = 0.6
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
+#: Comments and elements whose content is no text; tags, whose quotes count as such only behind "="; declarations; text.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|noembed|noframes)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*+)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements that stay inside a line, that have no end tag, that end an open p, and that are no containers.
 INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd label mark q s samp small span strong sub sup time tt u var wbr img input".split())
@@ -238,7 +241,7 @@ def _vectors(page: Page) -> np.ndarray:
     out[:, k + 4] = [b.links for b in blocks]
     out[:, k + 5] = [b.text[-1] in ".!?…:;,\"”»)" for b in blocks]
     out[:, k + 6] = ["©" in b.text for b in blocks]
-    out[:, k + 7] = [min(1.0, 3 * sum(w.strip(".,:!?()").lower() in CUES for w in b.text.split()) / w) if w <= 40 else 0 for b, w in zip(blocks, words)]
+    out[:, k + 7] = [min(1.0, 3 * sum(w.strip(".,:!?()").lower() in CUES for w in b.text.split()) / w) if w <= CUE_WORDS else 0 for b, w in zip(blocks, words)]
     out[:, k + 8], out[:, k + 9] = [b.home for b in blocks], [b.aside for b in blocks]
     k += SCALARS
     own, whole, at, parents = _masses(page, words)
@@ -471,7 +474,7 @@ def varied(page: Page, y: np.ndarray, r: random.Random) -> tuple[Page, np.ndarra
     """The page's own texts laid out anew, with labels that are known by construction."""
     inside = [b for b, k in zip(page.blocks, y) if k]
     # words of the page itself and, as it may be short, made-up ones
-    bag = [w for b in page.blocks for w in b.text.split()][:5000] + ["".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 9))) for _ in range(40)]
+    bag = [w for b in page.blocks for w in b.text.split()][:BAG_WORDS] + ["".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 9))) for _ in range(40)]
     sheet = _Sheet(r)
 
     def some(n: int) -> str:

@@ -482,6 +482,13 @@ def test_html_sample_is_distinct_spread_and_bounded(spark):
     assert max(len(x["html"]) for x in rows) < 1000
 
 
+def test_html_tags_with_loose_quotes_and_elements_without_text():
+    said = lambda page: [b.text for b in html_extract.blocks_of(page).blocks]
+    assert said("<p data-x=it's>Hello</p><p title=\"a > b\">there</p><p class = 'x > y' id=z\">you</p>") == ["Hello", "there", "you"]
+    assert said("<p a=\"1\" b='2\" c=3>x</p>" + "<p" + " a='" * 3000 + ">y") != []  # in time that grows with the page
+    assert said("<p>one<iframe src=q>no frames</iframe> two</p><noembed>old</noembed>") == ["one two"]
+
+
 def test_html_repeated_rows_extra_columns_and_long_pages(spark, monkeypatch):
     monkeypatch.setattr(html_extract, "SEQUENCES", 200)
     r = random.Random(2)
