@@ -343,6 +343,16 @@ def repaired(rows: DataFrame, faults: DataFrame, ops: DataFrame) -> DataFrame:
     return steps.select("conv", "at", F.posexplode(F.concat(inserted, own)).alias("seq", "e")).select("conv", "at", "seq", "e.edit", "e.cost", "e.role", "e.text")
 
 
+def costs(faults: DataFrame, ops: DataFrame) -> DataFrame:
+    """(conv, cost) of all edits, without the texts: an undeleted turn's fault is that it is truncated, or it has none."""
+    own = F.when(F.col("letter") == "D", DELETE).when(F.col("letter") == "R", REROLE).otherwise(0)
+    paid = ops.select("conv", "at", (own + INSERT * F.col("inserts")).alias("cost"), F.col("letter").isin("K", "R").alias("said"))
+    cut = faults.filter("fault = 3").select("at", F.lit(TRUNCATED).alias("more"))
+    paid = paid.join(cut, "at", "left").select("conv", (F.col("cost") + F.when(F.col("said"), F.coalesce("more", F.lit(0))).otherwise(0)).alias("cost"))
+    gone = faults.filter("fault IN (1, 2)").select("conv", F.lit(DELETE).alias("cost"))
+    return paid.unionByName(gone).groupBy("conv").agg(F.sum("cost").alias("cost"))
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The audit and the hash of each conversation; its edits come in order and none is held."""
     conv, letters, digest, empty = None, [], hashlib.sha256(), True
@@ -369,9 +379,9 @@ def repair_digests(turns: DataFrame, bits: int = BITS, passes: int = PASSES, dam
     plain = _plain(turns)
     rows = ordered(damage(plain) if damaged else plain)
     faults = C.written(with_faults(rows), "faults")
-    done = C.written(repaired(rows, faults, edits(faults, bits, passes)), "repaired")
-    text = done.repartition("conv").sortWithinPartitions("conv", "at", "seq").mapInArrow(_digest, "conv string, audit string, repaired_sha256 string")
-    cost = done.groupBy("conv").agg(F.sum("cost").alias("cost"))
+    ops = C.written(edits(faults, bits, passes), "edits")
+    text = repaired(rows, faults, ops).repartition("conv").sortWithinPartitions("conv", "at", "seq").mapInArrow(_digest, "conv string, audit string, repaired_sha256 string")
+    cost = costs(faults, ops)
     every = plain.groupBy("conv").agg(F.first("conv_id").alias("conv_id"))
     counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
     out = every.join(statistics(faults, bits), "conv", "left").join(cost, "conv", "left").join(text, "conv", "left")
