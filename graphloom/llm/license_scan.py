@@ -4,7 +4,7 @@ What is compared: a licence file (its name says so) as a whole; of every file it
 each line that speaks of a licence. Equal units are one row, with their count; each is compared to the licence templates by
 the cosine of sparse TF-IDF vectors ((1 + ln tf) idf, idf over all units), and a template counts from MIN_COSINE on. A
 licence may have several templates: its notices, its title, its text. A file's own licence is that of its best unit; an SPDX
-identifier says its licence itself. A licence file also covers its directory and everything below: a file without an own
+expression is the licence itself, whole and as written ("MIT OR Apache-2.0", "GPL-2.0-or-later"). A licence file also covers its directory and everything below: a file without an own
 licence takes the one of its nearest ancestor directory that has a licence file, by joins on the ancestors' paths.
 
 Templates are a table (license, template), by default TEMPLATES; read_templates() takes a folder of licence texts. Texts are
@@ -76,9 +76,12 @@ TEMPLATES = [
 SAYS = r"(?i)licen[sc]e[ds]?\b|\bcopyright\b|spdx-|permission is (?:hereby )?granted|redistribution and use|public domain"
 NAMED = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 COMMENT = r"^[ \t]*(#|//|/\*|\*|--|;|%|<!--)"
-SPDX = r"(?i)SPDX-License-Identifier:[ \t]*\(?([a-z0-9.-]*[a-z0-9])"
+_ID = r"(?:\([ \t]*)*[a-z0-9.-]*[a-z0-9]\+?(?:[ \t]*\))*"
+#: An expression of identifiers, joined by AND, OR or WITH (in capitals).
+SPDX = rf"(?i)SPDX-License-Identifier:[ \t]*({_ID}(?:[ \t]+(?-i:AND|OR|WITH)[ \t]+{_ID})*)"
 _NOT_TERM = r"[^\p{L}\p{N}.]+"
-_LATER = r"(?i)(-only|-or-later)$"
+#: Parentheses around the whole of an expression, or that have no other.
+_AROUND = r"^\([ \t]*([^()]*?)[ \t]*\)?$|^([^()]*?)[ \t]*\)$"
 
 
 def _terms(text: Column) -> Column:
@@ -143,7 +146,7 @@ def scan(files: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """One row per row of files (doc_id, path, text): doc_id, path, license, how ("own", "inherited" or "none"), cosine
     (of the deciding unit; 1 of an SPDX identifier), from_dir (the directory inherited from)."""
     rows = files.select("doc_id", "path", "text", F.monotonically_increasing_id().alias("row_key"))
-    spdx = F.regexp_replace(F.nullif(F.regexp_extract("text", SPDX, 1), F.lit("")), _LATER, "")
+    spdx = F.regexp_replace(F.regexp_replace(F.nullif(F.regexp_extract("text", SPDX, 1), F.lit("")), _AROUND, "$1$2"), r"[ \t]+", " ")
     # the only step that reads the texts; row numbers are written with it
     rows = C.written(rows.select("row_key", "doc_id", "path", spdx.alias("spdx"), _units(F.col("text"), F.col("path")).alias("units")), "units")
     each = rows.select("row_key", F.explode("units").alias("unit")).withColumn("unit_id", F.md5("unit"))
@@ -179,7 +182,7 @@ def _oracle() -> str:
     return rf"""
 WITH f AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') AS top, coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') || '/' || (doc_id // 64) AS leaf, regexp_matches(regexp_extract(coalesce(text, ''), '^([^\n]*)', 1), '{SAYS}') AS lic FROM documents),
 p AS (SELECT doc_id, text, lic, string_split(text, chr(10)) AS ls, CASE WHEN NOT lic OR doc_id % 2 = 0 THEN leaf ELSE top END AS dir, CASE WHEN lic THEN '/LICENSE-' || doc_id ELSE '/' || doc_id || '.txt' END AS name,
-      regexp_replace(nullif(regexp_extract(text, '{SPDX}', 1), ''), '{_LATER}', '') AS spdx FROM f),
+      regexp_replace(regexp_replace(nullif(regexp_extract(text, '{SPDX}', 1), ''), '{_AROUND}', '\1\2'), '[ \t]+', ' ', 'g') AS spdx FROM f),
 c AS (SELECT *, list_position(list_transform(ls, lambda x: regexp_matches(x, '{COMMENT}')), false) AS code FROM p WHERE regexp_matches(text, '{SAYS}')),
 l AS (SELECT DISTINCT doc_id, trim(regexp_replace(u, '[\x20\x09-\x0D]+', ' ', 'g')) AS unit FROM (
       SELECT doc_id, text AS u FROM c WHERE lic

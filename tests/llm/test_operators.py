@@ -395,10 +395,16 @@ def test_license_texts_headers_and_identifiers(spark):
         (13, "i/l.py", "-- " + wrapped(template("LGPL-2.1", 1), "-- ")[3:] + code),
     ]
     got = {r["doc_id"]: (r["license"], r["how"]) for r in scanned(spark, files)}
-    want = ["MIT", "GPL-3.0", "Apache-2.0", "BSD-3-Clause", "BSD-2-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "MIT", "GPL-2.0", "ISC", None, "LGPL-2.1"]
+    want = ["MIT", "GPL-3.0", "Apache-2.0", "BSD-3-Clause", "BSD-2-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "MIT", "GPL-2.0-or-later", "ISC", None, "LGPL-2.1"]
     assert got == {i + 1: (w, "own" if w else "none") for i, w in enumerate(want)}
 
 
+def test_license_expressions_stay_whole(spark):
+    said = {"MIT OR Apache-2.0": "MIT OR Apache-2.0", "(MIT)": "MIT", "(MIT OR  GPL-2.0+) AND BSD-3-Clause */": "(MIT OR GPL-2.0+) AND BSD-3-Clause", "GPL-2.0-only WITH Classpath-exception-2.0. Other": "GPL-2.0-only WITH Classpath-exception-2.0", "MIT or so": "MIT", "( LGPL-2.1-or-later AND\tISC )": "LGPL-2.1-or-later AND ISC", "(MIT": "MIT", "": None}
+    got = {r["doc_id"]: r["license"] for r in scanned(spark, [(i, f"{i}/x.c", f"/* x */\n// SPDX-License-Identifier: {t}\ncode") for i, t in enumerate(said)])}
+    assert got == dict(enumerate(said.values()))
+
+
 def test_license_ties_repeated_rows_and_shared_ids(spark, tmp_path):
     mit, apache = template("MIT"), template("Apache-2.0")
     files = [(1, "p/LICENSE", mit), (1, "p/LICENSE", mit), (2, "p/NOTICE", apache), (3, "p/x", "none"), (4, "q/x", mit), (4, "q/x", "text"), (None, "p/q/r", None), (5, "y", apache + "\n" + mit), (6, "z", "long " * 50_000 + "\n" + mit)]
