@@ -6,8 +6,8 @@ partitioning. Each family gives (graphs, nodes, edges) with nodes 0..n-1 and edg
 
 from __future__ import annotations
 
+import hashlib
 import math
-import random
 from collections.abc import Iterator
 
 import pandas as pd
@@ -122,33 +122,103 @@ def er_graphs(specs: DataFrame, p: float = 0.1, seed: int = 42, max_attempts: in
     raise RuntimeError(f"graphs are not connected after {max_attempts} attempts: raise p")
 
 
-def _draw(specs: Iterator[pd.DataFrame], grow, seed: int) -> Iterator[pd.DataFrame]:
+#: Nodes of a graph that grow in one task; nodes that one row gives; draws of a node at first, for each of its links.
+HEAD, BLOCK, FIRST_DRAWS = 1024, 1 << 16, 2
+
+
+def _heads(specs: Iterator[pd.DataFrame], m: int, seed: int, most: int) -> Iterator[pd.DataFrame]:
+    """(bundle, graph_id, node, ends) of each graph's nodes behind the star of m + 1 nodes and before `most`, one after the other."""
     for frame in specs:
+        rows = []
         for bundle, graph_id, n in zip(frame["bundle"], frame["graph_id"], frame["num_nodes"]):
-            pairs = grow(int(n), random.Random(f"{seed}|{bundle}|{graph_id}"))
-            yield pd.DataFrame({"bundle": bundle, "graph_id": graph_id, "src": [a for a, _ in pairs], "dst": [b for _, b in pairs], "weight": 1.0}).astype({"src": "int64", "dst": "int64"})
+            places = [x for i in range(1, m + 1) for x in (i, 0)]
+            for node in range(m + 1, min(n, most)):
+                found: dict[int, None] = {}
+                draw = 0
+                while len(found) < m:
+                    u = int(hashlib.md5(f"{seed}|end|{bundle}|{graph_id}|{node}|{draw}".encode()).hexdigest()[:13], 16) / (1 << 52)
+                    found.setdefault(places[int(u * len(places))])
+                    draw += 1
+                rows.append((bundle, graph_id, node, list(found)))
+                for end in found:
+                    places += (node, end)
+        yield pd.DataFrame(rows, columns=["bundle", "graph_id", "node", "ends"])
+
+
+def _later_nodes(specs: DataFrame, first: int) -> DataFrame:
+    """The nodes from `first` on, dealt out in blocks."""
+    n = F.col("num_nodes").cast("long")
+    rows = specs.filter(n > first).select(*K, n.alias("n")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - first - 1) / BLOCK)))).repartition(*K, "block")
+    first = F.col("block") * BLOCK + first
+    return rows.select(*K, F.explode(F.sequence(first, F.least(first + BLOCK, F.col("n")) - 1)).alias("node"))
 
 
-def _attach(n: int, m: int, draw: random.Random) -> list[tuple[int, int]]:
-    """A star of m + 1 nodes, then nodes with m links each to others picked by their degree."""
-    m = min(m, n - 1)
+def ba_edges(specs: DataFrame, m: int = 3, seed: int = 42) -> DataFrame:
+    """A star of m + 1 nodes, then nodes with m links each to others picked by their degree; no graph is one task.
+
+    Link l has two places in a row of link ends, 2 l for its new node and 2 l + 1 for the one it goes to. A node draws places of earlier nodes'
+    links by hash, one after the other, until m different nodes are found, so a node is found as often as it has links. An even place says
+    which node it is; an odd one waits for that link. The first HEAD nodes of each graph grow in order in a task; all later nodes of all
+    graphs draw at once, and in a round those settle whose draws up to the m-th different node are known, and their links go to those that wait.
+    A draw waits for an earlier node only, and places are drawn evenly, so rounds grow with the logarithm of the nodes and no link is waited for
+    by many. HEAD changes no edge."""
     if m < 1:
-        return []
-    pairs = [(0, i) for i in range(1, m + 1)]
-    ends = [x for pair in pairs for x in pair]
-    for new in range(m + 1, n):
-        chosen: set[int] = set()
-        while len(chosen) < m:
-            chosen.add(draw.choice(ends))
-        pairs += [(old, new) for old in sorted(chosen)]
-        ends += [*sorted(chosen), *[new] * m]
-    return pairs
+        return specs.sparkSession.createDataFrame([], _EDGES)
+
+    def draws(nodes: DataFrame, first: Column | int, last: Column | int) -> DataFrame:
+        rows = nodes.withColumn("t", F.explode(F.sequence(F.lit(first) if isinstance(first, int) else first, (F.lit(last) if isinstance(last, int) else last) - 1)))
+        rows = rows.withColumn("place", F.floor(uniform(seed, F.lit("end"), *K, "node", "t") * (2 * m * (F.col("node") - m))))
+        link = F.shiftright("place", 1)
+        new = F.when(link < m, link + 1).otherwise(F.floor(link / m) + m)
+        end = F.when(F.col("place") % 2 == 0, new).when(link < m, F.lit(0))
+        return rows.select(*K, "node", "t", link.alias("link"), end.cast("long").alias("end"))
+
+    def links(of: DataFrame) -> DataFrame:
+        rows = of.filter("done").select(*K, "node", F.posexplode("ends").alias("j", "found"))
+        return rows.select(*K, ((F.col("node") - m) * m + F.col("j")).alias("link"), "found")
+
+    def told(waiting: DataFrame, settled: DataFrame) -> DataFrame:
+        """Draws with the ends of the links that have settled; those that are known or wait on go by."""
+        rows = waiting.join(settled, [*K, "link"], "left")
+        return rows.select(*K, "node", "t", "link", F.coalesce("end", "found").alias("end"))
+
+    small = specs.filter("num_nodes > 1").select(*K, F.least(F.lit(m), F.col("num_nodes") - 1).cast("long").alias("m"))
+    edges = small.select(*K, F.lit(0).cast("long").alias("src"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("dst"))
+    head = max(HEAD, m + 1)
+    early = specs.filter(F.col("num_nodes") > m + 1).select(*K, "num_nodes").repartition(*K).mapInPandas(lambda it: _heads(it, m, seed, head), "bundle string, graph_id long, node long, ends array<bigint>")
+    tables = [shared.stored(early.withColumn("done", F.lit(True)))]
+    left = specs.filter(F.col("num_nodes") > head).limit(1).count()
+    if left:
+        rows = draws(_later_nodes(specs, head), 0, FIRST_DRAWS * m)
+        rows = told(rows.filter("end IS NULL"), links(tables[0])).unionByName(rows.filter("end IS NOT NULL"))
+    while left:
+        each = rows.groupBy(*K, "node").agg(F.sort_array(F.collect_list(F.struct("t", "link", "end"))).alias("d"))
+        # the ends before the first draw that waits
+        each = each.withColumn("before", F.coalesce(F.get(F.filter("d", lambda x: x["end"].isNull()), F.lit(0))["t"], F.size("d")))
+        each = each.withColumn("ends", F.slice(F.array_distinct(F.slice(F.col("d.end"), F.lit(1), F.col("before"))), 1, m))
+        each = each.withColumn("done", F.size("ends") == m).withColumn("short", ~F.col("done") & (F.col("before") == F.size("d")))
+        each = shared.stored(each.select(*K, "node", "ends", "done", "short", F.when(~F.col("done"), F.col("d")).alias("d")))
+        tables.append(each)
+        left, short = each.agg(F.count_if(~F.col("done")), F.count_if("short")).first()
+        if not left:
+            break
+        waiting = each.filter("NOT done")
+        rows = waiting.select(*K, "node", F.inline("d")).select(*K, "node", "t", "link", "end")
+        rows = told(rows.filter("end IS NULL"), links(each)).unionByName(rows.filter("end IS NOT NULL"))
+        if short:  # as many draws again, whose links may have settled in any round
+            again = draws(waiting.filter("short").select(*K, "node", F.size("d").alias("had")), F.col("had"), 2 * F.col("had"))
+            known = links(tables[0])
+            for table in tables[1:]:
+                known = known.unionByName(links(table))
+            rows = rows.unionByName(told(again.filter("end IS NULL"), known)).unionByName(again.filter("end IS NOT NULL"))
+    for table in tables:
+        edges = edges.unionByName(table.filter("done").select(*K, F.explode("ends").alias("src"), F.col("node").alias("dst")))
+    return edges.withColumn("weight", F.lit(1.0))
 
 
 def ba_graphs(specs: DataFrame, m: int = 3, seed: int = 42) -> Family:
-    """Preferential attachment: one graph grows step by step in a task, graphs grow side by side."""
-    grown = specs.select(*K, "num_nodes").mapInPandas(lambda it: _draw(it, lambda n, draw: _attach(n, m, draw), seed), _EDGES)
-    return _family(specs, grown, "BA")
+    """Preferential attachment, m links a node (fewer in a graph of at most m nodes)."""
+    return _family(specs, ba_edges(specs, m, seed), "BA")
 
 
 def ws_lattice(specs: DataFrame, k: int = 6) -> DataFrame:

@@ -306,7 +306,16 @@ def er_graphs(spark, sf_dir):
     return _drawn(synth.er_graphs(customer_specs(spark, sf_dir), 0.1))
 
 
-@query(None, SPECS)
+def ba_sql(m: int, draws: int) -> str:
+    """One node after the other: the first m different ends among its draws from the list of all link ends."""
+    u = uniform_sql(42, "'end'", *_ID, "(node + 1)::VARCHAR", "t::VARCHAR")
+    return f""", ba AS (SELECT bundle, graph_id, num_nodes::BIGINT AS n, least({m}, num_nodes - 1)::BIGINT AS node, flatten(list_transform(range(least({m}, num_nodes - 1)), lambda l: [l + 1, 0])) AS ends, list_transform(range(least({m}, num_nodes - 1)), lambda l: [0, l + 1]) AS links FROM specs WHERE num_nodes > 1
+UNION ALL SELECT bundle, graph_id, n, node + 1, list_concat(ends, flatten(list_transform(found, lambda x: [node + 1, x]))), list_transform(found, lambda x: [x, node + 1])
+FROM (SELECT *, list_filter(c, lambda x, i: list_position(c, x) = i)[1:{m}] AS found FROM (SELECT *, list_transform(range({draws}), lambda t: ends[1 + floor({u} * len(ends))::BIGINT]) AS c FROM ba WHERE node + 1 < n)))
+SELECT bundle, graph_id, link[1] AS src, link[2] AS dst FROM (SELECT bundle, graph_id, unnest(links) AS link FROM ba)"""
+
+
+@query(ba_sql(3, 96), SPECS.replace("WITH", "WITH RECURSIVE", 1))
 def ba_graphs(spark, sf_dir):
     return _drawn(synth.ba_graphs(customer_specs(spark, sf_dir)))
 

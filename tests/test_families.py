@@ -1,6 +1,7 @@
 """Synthetic families, splits and run names: rules and edge cases."""
 
 import collections
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,47 @@ def test_preferential_attachment(specs):
         assert pieces(n, found[g.graph_id]) == 1
 
 
+def grown(graph, n, m, seed=42):
+    """Node by node, with the same draws."""
+    m = min(m, n - 1)
+    pairs = [(0, i) for i in range(1, m + 1)]
+    ends = [x for _, i in pairs for x in (i, 0)]
+    for new in range(m + 1, n):
+        found, t = [], 0
+        while len(found) < m:
+            u = int(hashlib.md5(f"{seed}|end|b|{graph}|{new}|{t}".encode()).hexdigest()[:13], 16) / 2**52
+            end, t = ends[int(u * len(ends))], t + 1
+            found += [end] if end not in found else []
+        pairs += [(old, new) for old in found]
+        ends += [x for old in found for x in (new, old)]
+    return pairs
+
+
+@pytest.mark.parametrize(("m", "first", "head"), [(1, 2, 0), (4, 1, 0), (3, 4, 12), (5, 2, 1024)])
+def test_attachment_in_rounds_equals_growth_by_nodes(spark, m, first, head, monkeypatch):
+    """With few draws at first, nodes draw again; graphs are cut into blocks, and where the rounds begin changes nothing."""
+    monkeypatch.setattr(synth, "HEAD", head)
+    monkeypatch.setattr(synth, "FIRST_DRAWS", first)
+    monkeypatch.setattr(synth, "BLOCK", 7)
+    sizes = [1, 2, 3, 4, 6, 7, 40, 40]
+    specs = spark.createDataFrame([("b", i, n) for i, n in enumerate(sizes)], SPECS)
+    found = by_graph(synth.ba_edges(specs, m))
+    assert {g: sorted(p) for g, p in found.items()} == {g: sorted(grown(g, n, m)) for g, n in enumerate(sizes) if n > 1}
+    assert synth.ba_edges(specs, 0).count() == synth.ba_edges(specs.limit(0), m).count() == 0
+
+
+def test_attachment_follows_degrees(spark):
+    """Of all nodes 2 / (m + 2) have m links, 2 m / ((m + 2) (m + 3)) one more, in the limit; node 0 has m of
+    the 2 m link ends when the star is made, so some m sqrt(n / (m + 1)) at last. Most of these nodes settle in rounds."""
+    n, m = 4000, 3
+    pairs = by_graph(synth.ba_edges(spark.createDataFrame([("b", 0, n)], SPECS), m))[0]
+    degree = collections.Counter(x for pair in pairs for x in pair)
+    share = collections.Counter(degree.values())
+    assert len(pairs) == len(set(pairs)) == m + (n - m - 1) * m and pieces(n, pairs) == 1
+    assert abs(share[m] / n - 2 / (m + 2)) < 0.025 and abs(share[m + 1] / n - 2 * m / ((m + 2) * (m + 3))) < 0.025
+    assert 0.4 < degree[0] / (m * (n / (m + 1)) ** 0.5) < 2.5
+
+
 def test_small_worlds_keep_the_ring_without_rewiring(specs):
     lattice = {g: sorted(p) for g, p in by_graph(synth.ws_lattice(specs)).items()}
     assert {g: sorted(p) for g, p in by_graph(synth.ws_graphs(specs, p=0.0)[2]).items()} == lattice
