@@ -1,9 +1,10 @@
 """HTML main-text extraction by a recurrent block labeller.
 
 A page becomes the sequence of its leaf blocks. Each block's vector holds its tag path (tags with class and id words,
-hashed), its words (hashed, as shares), its length, punctuation, share of link text and place, and the same sums of the
-container round it and of the one round that; a numpy bidirectional LSTM reads the whole sequence and labels every block,
-so each decision sees the document on both sides. The text is the blocks that are labelled as content, in page order.
+hashed), its words (hashed, as shares), its length, punctuation, share of link text and place, the same sums of the
+container round it and of the one round that, and how heavy these are beside their siblings; a numpy bidirectional LSTM reads
+the whole sequence and labels every block from its two states alone, so each decision sees the document on both sides. The
+rules that label training pages are no part of the vectors. The text is the blocks that are labelled as content, in page order.
 
 The model is trained when the job starts, on TRAIN_PAGES pages of at most TRAIN_BYTES each (distinct html, spread over
 hosts: the only thing that is sampled, and bounded by these two). Their blocks are labelled by sectioning markup or, where
@@ -37,12 +38,12 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Pages and bytes of each that the sample has at most; sequences that a model learns from; passes over them; cells a side.
-TRAIN_PAGES, TRAIN_BYTES, SEQUENCES, EPOCHS, HIDDEN = 96, 200_000, 1056, 12, 16
+TRAIN_PAGES, TRAIN_BYTES, SEQUENCES, EPOCHS, HIDDEN = 96, 200_000, 4224, 8, 24
 #: Words of a training page of which made-up sections consist; words that a block has at most for its share of CUES to count.
 BAG_WORDS, CUE_WORDS = 5000, 40
 #: Tags are hashed into the first TAG_DIMS places of the path, class and id words into the others.
 TAG_DIMS, PATH_DIMS, WORD_DIMS = 32, 128, 32
-SCALARS, CONTAINER_DIMS = 10, 9
+SCALARS, CONTAINER_DIMS = 8, 16
 #: The share of a page's prose that the container of its article holds at least, where markup does not name it.
 MAIN_SHARE = 0.6
 
@@ -68,6 +69,7 @@ ASIDE_NAMES = frozenset("nav navbar menu header masthead footer aside sidebar ad
 HOME = frozenset(("article", "main"))
 #: Words that menus, notices, forms and footers often say.
 CUES = frozenset("home about contact login register search subscribe newsletter cookie cookies privacy terms policy accept reply share related advertisement sponsored comments comment copyright rights reserved menu follow email sign next previous more".split())
+_CUE_LIST = sorted(CUES)
 LEAVES = {"p": 0, "li": 1, "h1": 2, **dict.fromkeys(("h2", "h3", "h4", "h5", "h6"), 3), "td": 4, "th": 4, "dt": 5, "dd": 5, "blockquote": 0, "pre": 0, **dict.fromkeys(("div", "section", "article", "main", "body"), 6)}
 DIMS = PATH_DIMS + WORD_DIMS + SCALARS + CONTAINER_DIMS + 8
 
@@ -242,7 +244,6 @@ def _vectors(page: Page) -> np.ndarray:
     out[:, k + 5] = [b.text[-1] in ".!?…:;,\"”»)" for b in blocks]
     out[:, k + 6] = ["©" in b.text for b in blocks]
     out[:, k + 7] = [min(1.0, 3 * sum(w.strip(".,:!?()").lower() in CUES for w in b.text.split()) / w) if w <= CUE_WORDS else 0 for b, w in zip(blocks, words)]
-    out[:, k + 8], out[:, k + 9] = [b.home for b in blocks], [b.aside for b in blocks]
     k += SCALARS
     own, whole, at, parents = _masses(page, words)
     up = parents[at]
@@ -252,7 +253,16 @@ def _vectors(page: Page) -> np.ndarray:
         out[:, k + 2 * j + 1] = mass[1][where] / np.maximum(mass[0][where], 1)
     out[:, k + 6] = np.minimum(np.log1p(own[2][at]) / 4, 1.5)
     out[:, k + 7] = np.minimum(np.log1p(own[0][at] / np.maximum(own[2][at], 1)) / 5, 1.5)
-    out[:, k + 8] = _main(page, words)[1][at]
+    out[:, k + 8], out[:, k + 9] = at == 0, up == 0
+    for j, where in enumerate((at, up)):  # whether the block before and the one behind lie in the same
+        same = where[1:] == where[:-1]
+        out[1:, k + 10 + 2 * j], out[:-1, k + 11 + 2 * j] = same, same
+    # words of the container, and of the one round it, to those of the heaviest part of what is next to it
+    most = own[0].copy()
+    np.maximum.at(most, parents[1:], whole[0][1:])
+    beside = whole[0] / np.maximum(most[parents], 1)
+    beside[0] = 1
+    out[:, k + 14], out[:, k + 15] = beside[at], beside[up]
     k += CONTAINER_DIMS
     out[np.arange(n), k + np.array([b.leaf for b in blocks])] = 1
     return out
@@ -276,7 +286,6 @@ class Labeller:
             w["h" + d] = r.normal(0, 0.2, (h, 4 * h)).astype(np.float32)
             w["c" + d] = np.concatenate([np.zeros(h), np.ones(h), np.zeros(2 * h)]).astype(np.float32)
         w["o"] = r.normal(0, 0.2, 2 * h).astype(np.float32)
-        w["p"] = r.normal(0, 0.05, DIMS).astype(np.float32)
         w["z"] = np.zeros(1, np.float32)
         self.w = w
 
@@ -304,16 +313,16 @@ class Labeller:
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         f, _ = self._run(x, mask, "f")
         b, _ = self._run(x, mask, "b")
-        return np.concatenate([f, b], 2) @ self.w["o"] + x @ self.w["p"] + self.w["z"]
+        return np.concatenate([f, b], 2) @ self.w["o"] + self.w["z"]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         h, g = HIDDEN, {k: np.zeros_like(v) for k, v in self.w.items()}
         f, kf = self._run(x, mask, "f", True)
         b, kb = self._run(x, mask, "b", True)
         both = np.concatenate([f, b], 2)
-        d = np.where(mask, _sigmoid(both @ self.w["o"] + x @ self.w["p"] + self.w["z"]) - y, 0) / max(mask.sum(), 1)
+        d = np.where(mask, _sigmoid(both @ self.w["o"] + self.w["z"]) - y, 0) / max(mask.sum(), 1)
         d = d.astype(np.float32)
-        g["o"], g["p"], g["z"] = np.einsum("nt,nth->h", d, both), np.einsum("nt,ntd->d", d, x), d.sum(keepdims=True)[0]
+        g["o"], g["z"] = np.einsum("nt,nth->h", d, both), d.sum(keepdims=True)[0]
         back = d[:, :, None] * self.w["o"]
         for name, kept, outer in (("f", kf, back[:, :, :h]), ("b", kb, back[:, :, h:])):
             ds, dc = np.zeros((len(x), h), np.float32), np.zeros((len(x), h), np.float32)
@@ -333,18 +342,19 @@ class Labeller:
         r = np.random.default_rng(seed)
         m, v, step = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2)), None, 0
         m, v = m
-        for epoch in range(epochs):
+        for _ in range(epochs):
             # pages of like length share a step
             order = sorted(r.permutation(len(pages)).tolist(), key=lambda i: len(pages[i][0]) // 8)
-            groups = [order[lo : lo + 32] for lo in range(0, len(order), 32)]
+            groups = [order[lo : lo + 16] for lo in range(0, len(order), 16)]
             for k in r.permutation(len(groups)):
                 x, mask, y = _padded([pages[i] for i in groups[k]])
                 step += 1
+                pace = rate * (1 - (step - 1) / (epochs * len(groups)))
                 for k, g in self.gradients(x, mask, y).items():
                     g = np.clip(g, -1, 1)
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.99 * v[k] + 0.01 * g * g
-                    self.w[k] -= (rate * (0.5 if epoch > epochs // 2 else 1) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                    self.w[k] -= (pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
 
 def _padded(pages: list[tuple[np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -404,7 +414,7 @@ class _Sheet:
         self.r = r
         self.told = r.choice((1.0, 0.5, 0.0, 0.0))  # how often a container's name tells what it is
         self.lax = r.choice((0.0, 0.0, 0.5, 1.0))
-        self.flat = r.choice(("p", "p", "div"))
+        self.flat = r.choice(("p", "div"))
         self.bare = r.random() < 0.3  # sections of their own container only
         self.of_block = self.opaque(("div",)) if r.random() < 0.6 else "div"
 
@@ -499,6 +509,8 @@ def varied(page: Page, y: np.ndarray, r: random.Random) -> tuple[Page, np.ndarra
         own.append(sheet.block(tag, f"<b>{text}</b>" if r.random() < 0.1 else text))
         if r.random() < 0.04:
             own.append(section(("ad", "related", "share", "notice")))
+        if r.random() < 0.02:  # an article may say what menus and footers say
+            own.append(sheet.block(sheet.flat, _MARK + " ".join(r.sample(_CUE_LIST, r.randint(1, 3))).capitalize() + "."))
     if r.random() < 0.25:  # a table of data
         own.append("<table>" + "".join("<tr>" + "".join(sheet.block("td", _MARK + entities.escape(some(r.randint(1, 4)))) for _ in range(2)) + "</tr>" for _ in range(r.randint(1, 4))) + "</table>")
     main = "".join(own)
@@ -535,7 +547,7 @@ def train_labeller(pages: list[str], hosts: list[str | None] | None = None, copi
     for page, host in zip(parsed, hosts or [None] * len(parsed)):
         if page.blocks:
             y = labelled(page, frozenset(t for t, n in seen[host].items() if n > 1) if hosts and host else frozenset())
-            data += [(page, y)] + [varied(page, y, r) for _ in range(copies)]
+            data += [(page, y)] * (1 + copies // 8) + [varied(page, y, r) for _ in range(copies)]  # an eighth are pages as they are
     if not data:
         data = [varied(Page([], [0]), np.zeros(0), r) for _ in range(SEQUENCES // 4)]
     model = Labeller()
