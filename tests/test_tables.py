@@ -139,3 +139,13 @@ def test_scratch_removes_what_was_stored(spark, parts):
         files = [f.removeprefix("file:") for df in (kept, table) for f in df.inputFiles()]
         assert kept.count() == table.count() == 27 and all(os.path.exists(f) for f in files)
     assert files and not any(os.path.exists(f) for f in files)
+
+
+def test_stored_tables_are_no_broadcast_by_the_size_of_their_files(spark):
+    """A million rows whose columns repeat are a small file; a join of it must not pass them through the driver."""
+    rows = spark.range(1_000_000).selectExpr("'b' AS bundle", "id div 100000 AS graph_id", "id % 1000 AS node", "0 AS idx")
+    with shared.scratch(spark):
+        one, two = shared.stored(rows), shared.stored(rows)
+        assert int(two._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 10 << 20
+        for found in (one.join(two, ["bundle", "graph_id", "node"]), one.join(two.groupBy("bundle", "graph_id").count(), ["bundle", "graph_id"], "left_semi")):
+            assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
