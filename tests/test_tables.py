@@ -149,3 +149,15 @@ def test_stored_tables_are_no_broadcast_by_the_size_of_their_files(spark):
         assert int(two._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 10 << 20
         for found in (one.join(two, ["bundle", "graph_id", "node"]), one.join(two.groupBy("bundle", "graph_id").count(), ["bundle", "graph_id"], "left_semi")):
             assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_graphs_without_a_common_node_take_no_place_in_a_batch(spark):
+    """Graph 2 has two nodes, of which the truth lacks both: 33 graphs are left, the last one alone in its batch."""
+    from graphloom.plans import checks
+
+    size = F.when(F.col("graph_id") == 2, 2).otherwise(F.col("graph_id") % 5 + 4)
+    nodes = spark.range(2, 36).select(F.lit("b").alias("bundle"), F.col("id").alias("graph_id")).withColumn("idx", F.explode(F.sequence(F.lit(0), (size - 1).cast("int")))).withColumn("node", F.col("idx").cast("long"))
+    graphs = nodes.select("bundle", "graph_id").distinct()
+    got = dict(rows(checks.loss_per_batch(graphs, nodes, None), "batch_id", "loss"))
+    alone = dict(rows(checks.align_lengths(graphs, nodes, None), "graph_id", "mse"))
+    assert len(alone) == 33 and set(got) == {0, 1} and got[1] == pytest.approx(alone[35], abs=1e-9)
