@@ -15,7 +15,7 @@ from . import pairs as P
 
 def align_lengths(pred: DataFrame, true: DataFrame) -> DataFrame:
     """(x, y, tx, ty) of the nodes that both have, by idx: the longer side is cut."""
-    return pred.select(*K, "idx", "x", "y").join(true.select(*K, "idx", F.col("x").alias("tx"), F.col("y").alias("ty")), [*K, "idx"])
+    return pred.select(*K, "idx", "x", "y").join(true.select(*K, "idx", F.col("x").alias("tx"), F.col("y").alias("ty")).hint("merge"), [*K, "idx"])
 
 
 def _mse() -> Column:

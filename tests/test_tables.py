@@ -161,3 +161,13 @@ def test_graphs_without_a_common_node_take_no_place_in_a_batch(spark):
     got = dict(rows(checks.loss_per_batch(graphs, nodes, None), "batch_id", "loss"))
     alone = dict(rows(checks.align_lengths(graphs, nodes, None), "graph_id", "mse"))
     assert len(alone) == 33 and set(got) == {0, 1} and got[1] == pytest.approx(alone[35], abs=1e-9)
+
+
+def test_layouts_of_both_sides_meet_by_a_merge(spark):
+    """What a join gives has no hint of its own, and is taken for as small as the files below it."""
+    from graphloom.operators import losses as G
+
+    with shared.scratch(spark):
+        nodes = shared.stored(spark.range(1000).selectExpr("'b' AS bundle", "id div 50 AS graph_id", "id AS node", "int(id % 50) AS idx"))
+        both = [L.normalize_coords(f(nodes)) for f in (L.grid_positions, L.circular_layout)]
+        assert "Broadcast" not in G.align_lengths(*both)._jdf.queryExecution().executedPlan().toString()
