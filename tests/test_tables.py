@@ -171,3 +171,19 @@ def test_layouts_of_both_sides_meet_by_a_merge(spark):
         nodes = shared.stored(spark.range(1000).selectExpr("'b' AS bundle", "id div 50 AS graph_id", "id AS node", "int(id % 50) AS idx"))
         both = [L.normalize_coords(f(nodes)) for f in (L.grid_positions, L.circular_layout)]
         assert "Broadcast" not in G.align_lengths(*both)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_split_once(spark):
+    """Filters on tokens went below the split, and each of their conditions split the line again."""
+    lines = spark.range(10).selectExpr("'b' AS bundle", "id AS graph_id", "id AS line_no", "concat(' ', id, '\t', id + 1, ' 2.5 ', id) AS value")
+    for found in (T.parse_edge_lines(lines), T.rejected_lines(lines, "edges"), T.parse_community_lines(lines)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_") == 1 and "split(" not in plan
+
+
+def test_weights_as_a_cast_reads_them(spark):
+    texts = ["2.5", "-1e3", "+.5", "1.", "NaN", "-Infinity", "inf", "-inf", "1d", "0x1p3", "nan", "heavy", "e5", "x1", "--1", "1,5", "i", "ñ", "١"]
+    lines = spark.createDataFrame([("b", i, 1, f"1 2 {t}") for i, t in enumerate(texts)], "bundle string, graph_id long, line_no long, value string")
+    want = {r.graph_id: str(r.w) for r in lines.selectExpr("graph_id", "try_cast(split(value, ' ')[2] AS double) AS w").collect() if r.w is not None}
+    assert {r.graph_id: str(r.weight) for r in T.parse_edge_lines(lines).collect()} == want and 5 < len(want) < len(texts)
+    assert {r.graph_id for r in T.rejected_lines(lines, "edges").collect()} == set(range(len(texts))) - set(want)
