@@ -187,3 +187,20 @@ def test_weights_as_a_cast_reads_them(spark):
     want = {r.graph_id: str(r.w) for r in lines.selectExpr("graph_id", "try_cast(split(value, ' ')[2] AS double) AS w").collect() if r.w is not None}
     assert {r.graph_id: str(r.weight) for r in T.parse_edge_lines(lines).collect()} == want and 5 < len(want) < len(texts)
     assert {r.graph_id for r in T.rejected_lines(lines, "edges").collect()} == set(range(len(texts))) - set(want)
+
+
+def test_graphs_of_orders_lie_by_graph(spark):
+    """Nodes and edges of the derived graphs meet, and are counted by node, without a further exchange."""
+    from graphloom.operators import structure
+    from graphloom.plans import fixtures
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with shared.scratch(spark):
+            _, nodes, edges = fixtures.order_graph(spark, "/root/testdata/sf0.001")
+            plan = structure.degrees(nodes, edges)._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and plan.count("Bucketed: true") == 2
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
