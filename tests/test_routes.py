@@ -149,3 +149,28 @@ def test_triangles_of_a_dense_graph_in_slices(spark):
     pairs = [(i, j) for i in range(40) for j in range(i + 1, 40)]
     edges = spark.createDataFrame([("b", 1, a, b, 1.0) for a, b in pairs], KEY + "src long, dst long, weight double")
     assert {r["triangles"] for r in S.triangles(edges, size=7).collect()} == {39 * 38 // 2}
+
+
+@pytest.mark.parametrize("hops", [1, 3])
+def test_rounds_over_edges_that_lie_by_graph_exchange_nothing(spark, frames, graphs, hops):
+    from graphloom import shared
+
+    nodes, edges, feat = frames
+    before = {k: spark.conf.get(k) for k in ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    shared.by_graph(spark)
+    try:
+        with shared.scratch(spark):
+            lie = [shared.kept_by_graph(df, "lie", 4) for df in (nodes, edges)]
+            got = M.propagate_hops(*lie, hops, False, 2)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "SortAggregate" not in plan
+            got = by_node(got, "f")
+        for g, (n, pairs) in graphs.items():
+            a = matrix(n, pairs) + np.eye(n)
+            d = 1 / np.sqrt(a.sum(1))
+            want = np.linalg.matrix_power(d[:, None] * a * d[None], hops) @ np.array([feat[g, v] for v in range(n)])
+            assert all(np.allclose(got[g, v][0], want[v], atol=1e-12) for v in range(n))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
