@@ -174,3 +174,22 @@ def test_rounds_over_edges_that_lie_by_graph_exchange_nothing(spark, frames, gra
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_components_of_edges_that_lie_by_graph_lie_so_too(spark, frames):
+    from graphloom import shared
+    from graphloom.operators import prep
+
+    nodes, edges, _ = frames
+    before = {k: spark.conf.get(k) for k in ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    want = by_node(prep.connected_components(nodes, edges), "component")
+    shared.by_graph(spark)
+    try:
+        with shared.scratch(spark):
+            lie = [shared.kept_by_graph(df, "lie", 4) for df in (nodes, edges)]
+            assert "Exchange" not in prep.smallest_reached(*lie)._jdf.queryExecution().executedPlan().toString()
+            assert by_node(prep.connected_components(*lie), "component") == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
