@@ -193,3 +193,34 @@ def test_components_of_edges_that_lie_by_graph_lie_so_too(spark, frames):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_corners_of_edges_that_lie_by_graph_exchange_nodes_only(spark, frames, graphs, monkeypatch):
+    """Degrees, triangles and clustering of whole graphs, some at a time; and every feature of their nodes, in the steps smallest and as they are."""
+    from graphloom import shared
+
+    nodes, edges, _ = frames
+    before = {k: spark.conf.get(k) for k in ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    want = by_node(S.with_clustering(nodes, edges), "degree", "triangles", "clustering")
+    shared.by_graph(spark)
+    try:
+        with shared.scratch(spark):
+            lie = [shared.kept_by_graph(df, "lie", 4) for df in (nodes, edges)]
+            found = S.with_clustering(*lie)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 1 and "Exchange" not in plan[plan.index("MapInArrow") :]
+            assert by_node(found, "degree", "triangles", "clustering") == want
+            monkeypatch.setattr(S, "TOGETHER", 20)
+            monkeypatch.setattr(S, "WEDGES", 3)
+            rows = S.corners(lie[1]).collect()
+            steps = list(S._corner_rows(iter([S.pa.RecordBatch.from_pylist([{"bundle": "b", "graph_id": g, "src": [a for a, _ in e], "dst": [b for _, b in e]} for g, (_, e) in graphs.items() if e])])))
+            assert len(steps) == 3 and {(r.graph_id, r.node): (r.degree, r.triangles) for r in rows} == {(r["graph_id"], r["node"]): (r["degree"], r["triangles"]) for s in steps for r in s.to_pylist()}
+        for g, (n, pairs) in graphs.items():
+            a = matrix(n, pairs)
+            t = np.diag(a @ a @ a) / 2
+            assert all(want[g, v][:2] == (a[v].sum(), t[v]) for v in range(n))
+            assert all((r.degree, r.triangles) == (a[r.node].sum(), t[r.node]) for r in rows if r.graph_id == g)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
