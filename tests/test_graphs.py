@@ -214,3 +214,24 @@ def test_components_counted_without_their_numbers_and_without_broadcasts(spark):
     roots = prep.smallest_reached(nodes, edges)
     assert "Broadcast" not in roots._jdf.queryExecution().executedPlan().toString()
     assert {r["graph_id"]: r["n_components"] for r in prep.count_components(nodes, edges).collect()} == {1: 3, 2: 1}
+
+
+@pytest.mark.parametrize("held", [1 << 20, 40])
+def test_links_of_a_large_graph_stay_dealt(spark, held, tmp_path, monkeypatch):
+    """Paths, stars whose centre has the largest number, and a random graph, all in one: a task sends no more links
+    than nodes, and nothing is joined by graph alone, which would deal all links to one task."""
+    r = random.Random(9)
+    n = 3000
+    path = list(range(800))
+    r.shuffle(path)
+    pairs = list(zip(path, path[1:])) + [(800 + i, 1599) for i in range(799)] + [(1600 + r.randrange(1400), 1600 + r.randrange(1400)) for _ in range(1500)]
+    r.shuffle(pairs)
+    nodes, edges = graph(spark, pairs, n)
+    kept, made = [], prep.kept_by_graph
+    monkeypatch.setattr(prep, "kept_by_graph", lambda *a: kept.append(made(*a)) or kept[-1])
+    joins, join = [], type(edges).join
+    monkeypatch.setattr(type(edges), "join", lambda self, other, on=None, how=None: joins.append((on, how)) or join(self, other, on, how))
+    got = prep.smallest_reached(nodes, edges, large=True, held=held).collect()
+    assert {x.node: x.root for x in got} == dict(enumerate(roots(n, pairs)))
+    assert [how for on, how in joins if on == prep.K] == ["left_semi"] and "Broadcast" not in kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert kept[0].count() <= (4 * n if held > n else 2 * len(pairs))
