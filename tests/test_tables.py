@@ -204,3 +204,26 @@ def test_graphs_of_orders_lie_by_graph(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_dataset_of_graphs_that_lie_so_exchanges_no_node_or_edge(spark):
+    """What the job keeps between its steps lies by graph too, so that after the tables of orders are made only graphs and counts are exchanged."""
+    from graphloom.plans import checks, fixtures
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with shared.scratch(spark):
+            graphs, nodes, edges = fixtures.order_graph(spark, "/root/testdata/sf0.001")
+            samples = checks._samples(graphs, nodes, edges)
+            plan = samples._jdf.queryExecution().executedPlan().toString()
+            moved = [line for line in plan.splitlines() if "Exchange" in line]
+            assert len(moved) == 1  # the customers, who bring their graphs' types
+            first = min(samples.collect(), key=lambda s: (s.bundle, s.graph_id))
+            places = {r.node: r.idx for r in nodes.filter((F.col("bundle") == first.bundle) & (F.col("graph_id") == first.graph_id)).collect()}
+            mine = edges.filter((F.col("bundle") == first.bundle) & (F.col("graph_id") == first.graph_id)).collect()
+            want = sorted((places[e.src], places[e.dst]) for e in mine)
+            assert [(e.src, e.dst) for e in first.edge_index] == want + [(b, a) for a, b in want]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
