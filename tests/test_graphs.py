@@ -235,3 +235,16 @@ def test_links_of_a_large_graph_stay_dealt(spark, held, tmp_path, monkeypatch):
     assert {x.node: x.root for x in got} == dict(enumerate(roots(n, pairs)))
     assert [how for on, how in joins if on == prep.K] == ["left_semi"] and "Broadcast" not in kept[0]._jdf.queryExecution().executedPlan().toString()
     assert kept[0].count() <= (4 * n if held > n else 2 * len(pairs))
+
+
+def test_forces_are_the_same_in_steps_of_any_size(monkeypatch):
+    """To the last bit those of the plain formula, with arrays that are used again for steps, graphs and rows that don't come out even."""
+    draw = np.random.default_rng(5)
+    for g, n in ((1, 1), (7, 2), (5, 38), (2, 201)):
+        x, y = draw.random((2, g, n))
+        dx, dy = x[:, :, None] - x[:, None], y[:, :, None] - y[:, None]
+        by = 1 / (n * np.maximum(dx * dx + dy * dy, 0.01**2))
+        want = [np.add.reduceat((d * by).ravel(), np.arange(0, d.size, n)).reshape(g, n) for d in (dx, dy)]
+        for most in (1, 300, 3 * n * n + 1, 1 << 15):
+            monkeypatch.setattr(L, "PUSHED", most)
+            assert all((a == b).all() for a, b in zip(L._push(x, y), want, strict=True))
