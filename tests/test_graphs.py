@@ -267,3 +267,24 @@ def test_tasks_of_more_links_than_they_hold(spark, held, monkeypatch):
     assert len(got) == 60 * 12 and all(r["root"] == want[2 * r["graph_id"] + (r["bundle"] == "b")][r["node"]] for r in got)
     if held == 400:
         assert kept[0].count() == kept[0].select("bundle", "graph_id", "node").distinct().count()
+
+
+@pytest.mark.parametrize("size", [structure.LIST, 4])
+def test_lists_go_once_to_a_block_of_nodes(spark, size):
+    """Numbers that are dense, sparse and below zero; copies for each node are made behind the exchange, and none is sorted."""
+    rng = random.Random(3)
+    dense = {tuple(sorted(rng.sample(range(300), 2))) for _ in range(3000)}
+    rows = {(g, a, b) for a, b in dense for g in (1, 2)} if size > 4 else {(1, a, b) for a, b in dense}
+    at = lambda g, v: v if g == 1 else (v - 150) * 1_000_003
+    edges = spark.createDataFrame([("b", g, at(g, a), at(g, b), 1.0) for g, a, b in rows], EDGES)
+    got = structure.triangles(edges, size=size)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    join = plan[plan.index("ShuffledHashJoin") :]
+    assert "BuildRight" in join.splitlines()[0] and join.index("explode(filter" if size > 4 else "explode(to") < join.index("REPARTITION_BY_NUM")
+    if size > 4:
+        assert "ENSURE_REQUIREMENTS" not in join and "Sort " not in join
+    near = {v: {x for e in dense if v in e for x in e} - {v} for v in range(300)}
+    want = {v: sum(1 for a, b in dense if a in near[v] and b in near[v]) for v in range(300)}
+    rows = got.collect()
+    for g in (1, 2) if size > 4 else (1,):
+        assert {r.node: r.triangles for r in rows if r.graph_id == g} == {at(g, v): n for v, n in want.items() if n}
